@@ -76,18 +76,28 @@ def number_text(text: Column, logical: str, grammar: str = IMPORT, currency: str
     return F.replace(rewritten, F.lit(","), F.lit(""))
 
 
-def parse_decimal(text: Column, grammar: str = IMPORT, currency: str = "¤") -> Column:
-    return number_text(text, L.DECIMAL, grammar, currency).try_cast("decimal(38,12)")
+def decimal_of(number: Column) -> Column:
+    """Decimal of the plain text ``number_text`` made; NULL beyond 26 integer digits."""
+    return number.try_cast("decimal(38,12)")
 
 
-def parse_float(text: Column, grammar: str = IMPORT, currency: str = "¤") -> Column:
+def float_of(number: Column, text: Column) -> Column:
+    """Double of plain number text, or one of the special words of the cell."""
     word = F.lower(text)
     special = (
         F.when(word == "nan", F.lit(float("nan")))
         .when(word.isin("infinity", "+infinity"), F.lit(float("inf")))
         .when(word == "-infinity", F.lit(float("-inf")))
     )
-    return F.coalesce(number_text(text, L.FLOAT, grammar, currency).try_cast("double"), special)
+    return F.coalesce(number.try_cast("double"), special)
+
+
+def parse_decimal(text: Column, grammar: str = IMPORT, currency: str = "¤") -> Column:
+    return decimal_of(number_text(text, L.DECIMAL, grammar, currency))
+
+
+def parse_float(text: Column, grammar: str = IMPORT, currency: str = "¤") -> Column:
+    return float_of(number_text(text, L.FLOAT, grammar, currency), text)
 
 
 def _utc_clock(text: Column) -> Column:
@@ -118,9 +128,8 @@ def parse_datetime(text: Column) -> Column:
     )
 
 
-def parse_cell(cell: Column, logical: str, grammar: str = IMPORT, currency: str = "¤") -> Column:
-    """Typed value of a text cell: blank and unparsable cells are NULL."""
-    text = trimmed(cell)
+def parse_text(text: Column, logical: str, grammar: str = IMPORT, currency: str = "¤") -> Column:
+    """Typed value of trimmed text: NULL when the text is NULL or does not fit."""
     if logical == L.BIT:
         return parse_bool(text, grammar)
     if logical == L.INT:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from quayside import types as L
 from quayside.errors import InputError
-from quayside.functions.parsing import CHUNK, IMPORT, parse_cell, trimmed
+from quayside.functions.parsing import CHUNK, IMPORT, parse_text, trimmed
 from quayside.functions.render import render_value
 from quayside.sources.tabular import FILE, LOCATION, ROW_NO
 
@@ -51,44 +51,54 @@ _DIRECT = {
 
 def convert_cell(cell: Column, source: T.DataType, logical: str, grammar: str = IMPORT,
                  currency: str = "¤") -> Column:
-    """Typed value of a cell; NULL when it is blank or does not fit."""
-    if isinstance(source, _DIRECT.get(logical, ())):
+    """Typed value of one cell; NULL when it is blank or does not fit."""
+    if _is_direct(source, logical):
         return cell.try_cast(L.SPARK_TYPES[logical])
-    if not isinstance(source, T.StringType):
-        cell = render_value(cell, source)
-    return parse_cell(cell, logical, grammar, currency)
+    return parse_text(cell_text(cell, source), logical, grammar, currency)
+
+
+def _is_direct(source: T.DataType, logical: str) -> bool:
+    return isinstance(source, _DIRECT.get(logical, ()))
+
+
+def cell_text(cell: Column, source: T.DataType) -> Column:
+    """Trimmed text of a cell of any type; NULL when blank."""
+    return trimmed(cell if isinstance(source, T.StringType) else render_value(cell, source))
 
 
 def convert(df: DataFrame, columns: Sequence[L.ColumnDef], grammar: str = IMPORT,
             currency: str = "¤") -> DataFrame:
     """Typed columns, the carried row location, and ``_errors``: one entry per failed cell.
 
-    ``df`` holds the same columns by position. One projection types the cells, a second compares
-    each typed cell with its raw text; both stay in one stage, without a shuffle or Python.
+    ``df`` holds the same columns by position. The first projection trims each cell once, the second
+    types it, the third compares both; all of it runs in one stage, without a shuffle or Python.
     """
     carried = [c for c in LOCATION if c in df.columns]
     sources = [f for f in df.schema.fields if f.name not in LOCATION]
     if len(sources) != len(columns):
         raise InputError("the files must share the same columns as the selected schema")
-    typed, raw = [], []
-    for i, (field, column) in enumerate(zip(sources, columns)):
-        cell = F.col(f"`{field.name}`")
-        typed.append(convert_cell(cell, field.dataType, column.logical, grammar, currency)
-                     .alias(column.name, metadata=column.field().metadata))
-        if column.logical != L.TEXT:
-            text = cell if isinstance(field.dataType, T.StringType) else render_value(cell, field.dataType)
-            raw.append(trimmed(text).alias(f"_raw{i}"))
-    cells = df.select(*typed, *raw, *carried)
+    pairs = list(enumerate(zip(sources, columns)))
+    parsed = [i for i, (f, c) in pairs if not _is_direct(f.dataType, c.logical)]
+    checked = [i for i, (f, c) in pairs if c.logical != L.TEXT and f.dataType != L.SPARK_TYPES[c.logical]]
+    texts = df.select(
+        *[cell_text(F.col(f"`{f.name}`"), f.dataType).alias(f"_text{i}") for i, (f, _) in pairs
+          if i in parsed or i in checked],
+        *[F.col(f"`{f.name}`").alias(f"_cell{i}") for i, (f, _) in pairs if i not in parsed],
+        *carried)
+    typed = texts.select(
+        *[(parse_text(F.col(f"_text{i}"), c.logical, grammar, currency) if i in parsed
+           else F.col(f"_cell{i}").try_cast(L.SPARK_TYPES[c.logical]))
+          .alias(c.name, metadata=c.field().metadata) for i, (_, c) in pairs],
+        *[f"_text{i}" for i in checked], *carried)
     failures = [
-        F.when(F.col(f"_raw{i}").isNotNull() & F.col(f"`{c.name}`").isNull(), F.struct(
-            F.lit(c.name).alias("column_name"), F.col(f"_raw{i}").alias("raw_value"),
-            F.lit(MESSAGES[grammar][c.logical]).alias("message")))
-        for i, c in enumerate(columns) if c.logical != L.TEXT
+        F.when(F.col(f"_text{i}").isNotNull() & F.col(f"`{columns[i].name}`").isNull(), F.struct(
+            F.lit(columns[i].name).alias("column_name"), F.col(f"_text{i}").alias("raw_value"),
+            F.lit(MESSAGES[grammar][columns[i].logical]).alias("message")))
+        for i in checked
     ]
     none = F.array().cast("array<struct<column_name:string,raw_value:string,message:string>>")
     errors = F.array_compact(F.array(*failures)) if failures else none
-    return cells.select(
-        *[F.col(f"`{c.name}`") for c in columns], *carried, errors.alias(ERRORS))
+    return typed.select(*[F.col(f"`{c.name}`") for c in columns], *carried, errors.alias(ERRORS))
 
 
 def empty_row(names: Sequence[str]) -> Column:

@@ -80,13 +80,6 @@ def _base_name(path: str) -> str:
     return os.path.basename(unquote(path.rstrip("/")))
 
 
-def _file_lookup(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    rows = [(_base_name(p), i) for i, p in enumerate(paths)]
-    if len({name for name, _ in rows}) != len(rows):
-        raise InputError("two input files have the same name")
-    return spark.createDataFrame(rows, f"{FILE} string, {FILE_SEQ} int")
-
-
 def _blank(cell: Column) -> Column:
     return cell.isNull() | (F.btrim(cell, F.lit(BLANKS)) == "")
 
@@ -119,19 +112,18 @@ def read_csv(spark: SparkSession, paths: Sequence[str], multiline: bool = True)
         "emptyValue": "", "nullValue": "", "mode": "PERMISSIVE", "maxCharsPerColumn": -1,
     }
     paths = list(paths)
-    lookup = _file_lookup(spark, paths)
     header = trim_headers(_csv_header(spark, paths[0]))
     check_headers_unique(header)
     cells = [f"c{i}" for i in range(len(header))]
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in cells] + [T.StructField("_bad", T.StringType())])
-    raw = (
-        spark.read.options(**options).option("header", False)
-        .option("columnNameOfCorruptRecord", "_bad").schema(schema).csv(paths)
-        .select(*cells, "_bad",
-                F.col("_metadata.file_name").alias(FILE),
-                F.col("_metadata.file_block_start").alias("_block"))
-    )
+    reader = (spark.read.options(**options).option("header", False)
+              .option("columnNameOfCorruptRecord", "_bad").schema(schema))
+    raw = reduce(DataFrame.unionByName, [
+        reader.csv(path).select(
+            *cells, "_bad", F.lit(seq).alias(FILE_SEQ), F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_block"))
+        for seq, path in enumerate(paths)])
     # A line of blanks only is no row; for several columns it arrives as a short row.
     if len(cells) > 1:
         raw = raw.filter(F.col("_bad").isNull() | ~_blank(F.col("_bad")))
@@ -139,11 +131,12 @@ def read_csv(spark: SparkSession, paths: Sequence[str], multiline: bool = True)
         raw = raw.filter(~_blank(F.col("c0")))
     staged = materialise(raw.withColumn("_mono", F.monotonically_increasing_id()), "csv-rows")
 
-    splits = staged.groupBy(FILE, "_block").agg(
+    split = [FILE_SEQ, "_path", "_block"]
+    splits = staged.groupBy(*split).agg(
         F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("n"),
         F.count("_bad").alias("ragged"),
         F.min_by(F.array(*[_normal_header(F.col(c)) for c in cells]), F.col("_mono")).alias("head"))
-    in_order = Window.partitionBy(FILE).orderBy("_block")
+    in_order = Window.partitionBy(FILE_SEQ, "_path").orderBy("_block")
     before = F.coalesce(F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     located = splits.withColumn("_before", before).withColumn("_nth", F.row_number().over(in_order))
 
@@ -156,15 +149,19 @@ def read_csv(spark: SparkSession, paths: Sequence[str], multiline: bool = True)
     if verdict["ragged"]:
         raise InputError("a row in the CSV file does not match the number of header columns")
 
-    bounds = located.select(FILE, "_block", "_first", "_before")
+    # One small row per input split.
+    bounds = located.select(*split, "_first", "_before")
     local = bounds.take(_MAX_LOCAL_SPLITS + 1)
     if len(local) <= _MAX_LOCAL_SPLITS:
         bounds = F.broadcast(spark.createDataFrame(local, bounds.schema))
     row_no = F.col("_mono") - F.col("_first") + F.col("_before")
-    decoded = staged.join(bounds, [FILE, "_block"]).withColumn(ROW_NO, row_no).filter(F.col(ROW_NO) > 0)
-    return decoded.withColumn(FILE, F.url_decode(F.replace(F.col(FILE), F.lit("+"), F.lit("%2B")))).join(
-        F.broadcast(lookup), FILE).select(
-        *[F.col(c).alias(h) for c, h in zip(cells, header)], *LOCATION)
+    return staged.join(bounds, split).withColumn(ROW_NO, row_no).filter(F.col(ROW_NO) > 0).select(
+        *[F.col(c).alias(h) for c, h in zip(cells, header)], _file_name("_path").alias(FILE), FILE_SEQ, ROW_NO)
+
+
+def _file_name(path: str) -> Column:
+    """Last part of a file URI, decoded."""
+    return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
 
 
 # ------------------------------------------------------------------------------------------- CSV.zip
@@ -172,7 +169,7 @@ def read_csv(spark: SparkSession, paths: Sequence[str], multiline: bool = True)
 def _archive_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Unpack archives: one output row per CSV line, headers included (line number 0)."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        for seq, path, content in zip(batch[FILE_SEQ], batch["path"], batch["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 names = [n for n in archive.namelist()
                          if not n.endswith("/") and n.lower().endswith(".csv")]
@@ -181,21 +178,22 @@ def _archive_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for entry_no, name in enumerate(names):
                     with archive.open(name) as raw:
                         text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
-                        yield from _entry_batches(path, name, entry_no, csv.reader(text))
+                        yield from _entry_batches((seq, path, name, entry_no), csv.reader(text))
 
 
-def _entry_batches(path: str, name: str, entry_no: int, rows) -> Iterator[pd.DataFrame]:
+def _entry_batches(place: tuple, rows) -> Iterator[pd.DataFrame]:
+    names = [FILE_SEQ, "path", "entry", "entry_no", "line_no", "fields"]
     pending, line_no = [], 0
     for fields in rows:
         if not fields or (len(fields) == 1 and not fields[0].strip()):
             continue
-        pending.append((path, name, entry_no, line_no, fields))
+        pending.append((*place, line_no, fields))
         line_no += 1
         if len(pending) == _ZIP_BATCH_ROWS:
-            yield pd.DataFrame(pending, columns=["path", "entry", "entry_no", "line_no", "fields"])
+            yield pd.DataFrame(pending, columns=names)
             pending = []
     if pending:
-        yield pd.DataFrame(pending, columns=["path", "entry", "entry_no", "line_no", "fields"])
+        yield pd.DataFrame(pending, columns=names)
 
 
 def read_zipped_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -204,17 +202,13 @@ def read_zipped_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     The ZIP format has no Spark reader, so a small Python helper turns each archive into rows.
     """
     paths = list(paths)
-    lookup = _file_lookup(spark, paths)
-    unpacked = (
-        spark.read.format("binaryFile").load(paths).select("path", "content")
-        .mapInPandas(_archive_rows, "path string, entry string, entry_no int, line_no long, fields array<string>")
-        .withColumn(FILE, F.url_decode(F.replace(
-            F.substring_index("path", "/", -1), F.lit("+"), F.lit("%2B"))))
-        .join(F.broadcast(lookup), FILE)
-        .drop("path")
-    )
+    content = reduce(DataFrame.unionByName, [
+        spark.read.format("binaryFile").load(path).select(F.lit(seq).alias(FILE_SEQ), "path", "content")
+        for seq, path in enumerate(paths)])
+    unpacked = content.mapInPandas(
+        _archive_rows, f"{FILE_SEQ} int, path string, entry string, entry_no int, line_no long, fields array<string>")
     staged = materialise(unpacked, "zip-rows")
-    first = staged.filter("line_no = 0").orderBy(FILE_SEQ, "entry_no").select("fields").head()
+    first = staged.filter("line_no = 0").orderBy(FILE_SEQ, "path", "entry_no").select("fields").head()
     if first is None:
         raise InputError("the CSV.zip files are empty")
     header = trim_headers(first["fields"])
@@ -230,7 +224,7 @@ def read_zipped_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         raise InputError("a row in the CSV file does not match the number of header columns")
     return staged.filter("line_no > 0").select(
         *[F.col("fields")[i].alias(h) for i, h in enumerate(header)],
-        F.concat_ws("/", FILE, "entry").alias(FILE), FILE_SEQ, F.col("line_no").alias(ROW_NO))
+        F.concat_ws("/", _file_name("path"), "entry").alias(FILE), FILE_SEQ, F.col("line_no").alias(ROW_NO))
 
 
 # ------------------------------------------------------------------------------------------- Parquet
@@ -262,7 +256,7 @@ def read_parquet(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     for seq, (path, schema) in enumerate(zip(paths, schemas)):
         cells = [F.col(leaf).alias(name) for (leaf, _), name in zip(leaf_columns(schema), header)]
         part = spark.read.schema(schema).parquet(path).select(
-            *cells, F.col("_metadata.file_name").alias(FILE), F.lit(seq).alias(FILE_SEQ),
+            *cells, _file_name("_metadata.file_path").alias(FILE), F.lit(seq).alias(FILE_SEQ),
             (F.col("_metadata.row_index") + 1).alias(ROW_NO))
         if any(other != types[0] for other in types):
             part = as_text(part, header)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from quayside.operators.replace import TableReplacer
+from quayside.sources.tabular import FILE, FILE_SEQ, ROW_NO
 
 
 def stream_chunks(replacer: TableReplacer, session_id: str, folder: str, schema: T.StructType,
@@ -21,5 +23,7 @@ def stream_chunks(replacer: TableReplacer, session_id: str, folder: str, schema:
 
     stream = (replacer.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
               .parquet(folder))
-    return (stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    located = stream.select("*", F.col("_metadata.file_name").alias(FILE), F.lit(0).alias(FILE_SEQ),
+                            (F.col("_metadata.row_index") + 1).alias(ROW_NO))
+    return (located.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
