@@ -63,8 +63,9 @@ def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None
     left, right = rows_of(spark_frame), rows_of(sql_frame)
     if left == right:
         return None
-    only_left = [r for r in left if r not in set(right)][:3]
-    only_right = [r for r in right if r not in set(left)][:3]
+    in_left, in_right = set(left), set(right)
+    only_left = [r for r in left if r not in in_right][:3]
+    only_right = [r for r in right if r not in in_left][:3]
     return f"{len(left)} rows != {len(right)} rows\n  spark only {only_left}\n  sql only   {only_right}"
 
 
