@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quayside import types as L
 from quayside.operators.convert import (
-    ERRORS, ImportResult, accept_gate, convert, drop_empty_rows, import_errors, result_aggregates)
-from quayside.operators.rowindex import add_surrogate_key, surrogate_key_name
+    ImportResult, accept_gate, convert, drop_empty_rows, import_errors, result_aggregates)
+from quayside.operators.rowindex import row_index, row_index_by_location, surrogate_key_name
 from quayside.sources.tables import publish
-from quayside.sources.tabular import FILE_SEQ, LOCATION, ROW_NO, data_columns
-from quayside.storage import fresh_path
+from quayside.sources.tabular import FILE, FILE_SEQ, ROW_NO
+from quayside.storage import delete_path, fresh_path, materialise
 
 
 def load_table(df: DataFrame, columns: Sequence[L.ColumnDef], table: str, on_errors: str = "fail",
@@ -23,25 +23,35 @@ def load_table(df: DataFrame, columns: Sequence[L.ColumnDef], table: str, on_err
 
     Counts come from the write job itself (``observe``). The old table stays in place until the new
     data is complete and accepted. Returns the counts and the rejects. A dense key costs one more
-    write (see ``row_index``); ``dense_key=False`` numbers the rows in the same job, with gaps.
+    write, of the converted rows, which the rejects are then read from; ``dense_key=False`` numbers
+    the rows in the conversion job itself, with gaps.
     """
-    spark: SparkSession = df.sparkSession
+    spark = df.sparkSession
     names = [c.name for c in columns]
-    converted = convert(df, columns, currency=currency)
+    key = surrogate_key_name(names)
     counts = Observation()
+    converted = convert(df, columns, currency=currency)
     watched = converted.observe(counts, *result_aggregates(names))
-    carried = [c for c in LOCATION if c in converted.columns]
-    kept = drop_empty_rows(watched, names).select(*names, *carried)
-    order = [c for c in (FILE_SEQ, ROW_NO) if c in carried]
-    # The staged text already lies in file order inside each split, so a key that may have gaps
-    # needs no sort; a dense one follows file and row.
-    keyed = add_surrogate_key(kept, order if dense_key else (), dense_key, data_columns=names)
-    key = surrogate_key_name(names)
     target = path or fresh_path(spark, "table-" + table.replace(".", "-"))
-    keyed.select(key, *names).write.parquet(target)
+    if dense_key:
+        converted = materialise(watched, "converted")
+        kept = drop_empty_rows(converted, names)
+        if FILE_SEQ in kept.columns and ROW_NO in kept.columns:
+            keyed = row_index_by_location(kept, [c for c in (FILE_SEQ, FILE) if c in kept.columns], ROW_NO, key)
+        else:
+            keyed = row_index(kept, (), key)
+    else:
+        keyed = drop_empty_rows(watched, names).withColumn(key, F.monotonically_increasing_id() + 1)
+    if not dense_key:
+        keyed.select(key, *names).write.parquet(target)
     seen = counts.get
     result = ImportResult(seen["rows_read"], seen["rows_copied"], seen["empty_rows"], seen["errors"], True)
-    accept_gate(result, on_errors)
-    schema = spark.read.parquet(target).schema
-    publish(spark, table, target, schema, {"quayside.key": key})
+    try:
+        accept_gate(result, on_errors)
+        if dense_key:
+            keyed.select(key, *names).write.parquet(target)
+    except Exception:
+        delete_path(spark, target)
+        raise
+    publish(spark, table, target, keyed.select(key, *names).schema, {"quayside.key": key})
     return result, import_errors(converted)

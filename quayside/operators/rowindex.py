@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.storage import materialise
@@ -20,25 +20,27 @@ _POSITION = "__position"
 _POSITION_BITS = 33
 # One offset per task is broadcast up to this many tasks; beyond it Spark joins by shuffle.
 MAX_BROADCAST_OFFSETS = 200_000
+# Rows per block of ``row_index_by_location``.
+BLOCK_ROWS = 1_000_000
 
 
 def _as_columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def offset_table(spark: SparkSession, counts: DataFrame, key: str) -> DataFrame:
-    """``(key, offset)`` from ``(key, n)``: rows before each key in key order.
+def offset_table(counts: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, offset)`` from ``(keys, n)``: rows before each group in key order.
 
-    ``counts`` has one row per task. The window below runs over those few rows only; the result is
-    rebuilt as a local relation, so its size is known exactly when Spark picks the join.
+    ``counts`` has one row per task or block. The window below runs over those few rows only; the
+    result is rebuilt as a local relation, so its size is known exactly before it is broadcast.
     """
     before = F.coalesce(
-        F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(key, before.alias("offset"))
+        F.sum("n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*keys, before.alias("offset"))
     rows = offsets.take(MAX_BROADCAST_OFFSETS + 1)
     if len(rows) > MAX_BROADCAST_OFFSETS:
         return offsets
-    return F.broadcast(spark.createDataFrame(rows, offsets.schema))
+    return F.broadcast(counts.sparkSession.createDataFrame(rows, offsets.schema))
 
 
 def row_index(df: DataFrame, order: Sequence[str | Column] = (), name: str = "row_index") -> DataFrame:
@@ -56,12 +58,26 @@ def row_index(df: DataFrame, order: Sequence[str | Column] = (), name: str = "ro
         _POSITION, F.col(_POSITION).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
     fixed = materialise(numbered, "row-index")
     counts = fixed.groupBy(_TASK).agg(F.count(F.lit(1)).alias("n"))
-    offsets = offset_table(df.sparkSession, counts, _TASK)
+    offsets = offset_table(counts, _TASK)
     indexed = fixed.join(offsets, _TASK, "inner")
     return indexed.withColumn(name, F.col("offset") + F.col(_POSITION) + 1).drop(
         _TASK, _POSITION, "offset")
 
 
+def row_index_by_location(df: DataFrame, files: Sequence[str], row_no: str, name: str = "row_index") -> DataFrame:
+    """Dense 1..n index in (file, row number) order for rows that carry their place.
+
+    Row numbers cut every file into blocks of a fixed size, so the shuffle needs no sampling, every
+    window is small whatever the size of a file, and a second evaluation gives the same numbers.
+    """
+    block = [*files, _TASK]
+    blocked = df.withColumn(_TASK, F.floor(F.col(row_no) / F.lit(BLOCK_ROWS)))
+    offsets = offset_table(blocked.groupBy(*block).agg(F.count(F.lit(1)).alias("n")), *block)
+    place = F.row_number().over(Window.partitionBy(*block).orderBy(row_no))
+    return blocked.withColumn(_POSITION, place).join(offsets, block).withColumn(
+        name, F.col("offset") + F.col(_POSITION)).drop(_TASK, _POSITION, "offset")
+
+
 def surrogate_key_name(columns: Sequence[str]) -> str:
     """``Id``, or ``MyPK_id`` when the table already has a column of that name (any case)."""
     return "MyPK_id" if any(c.lower() == "id" for c in columns) else "Id"

@@ -209,8 +209,9 @@ def load_table_events(portal: Portal) -> DataFrame:
     table = "quayside_loads." + fresh_path(portal.spark, "t").rsplit("/", 1)[-1].replace("-", "_")
     rows = read_tabular(portal.spark, [write_csv(portal)])
     columns = [L.ColumnDef(ROW_KEY, L.BIG_INT), *COLUMNS]
-    # File order of a folder is not the order of the keys: sort by key through one file sequence.
-    placed = rows.withColumn(FILE_SEQ, F.lit(0)).withColumn(ROW_NO, F.col(ROW_KEY).cast("bigint"))
+    # The parts of a written folder have no order of their own: number the rows by their key.
+    placed = rows.withColumn(FILE, F.lit("events")).withColumn(FILE_SEQ, F.lit(0)).withColumn(
+        ROW_NO, F.col(ROW_KEY).cast("bigint"))
     load_table(placed, columns, table, on_errors="null")
     loaded = portal.spark.table(table)
     return _comparable(loaded.select("Id", F.col(ROW_KEY), *NAMES), ROW_KEY).join(
