@@ -31,6 +31,10 @@ _DIGITS = r"(?:[0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)"
 _EXPONENT = r"(?:[eE][+-]?[0-9]+)?"
 _PLAIN_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
 
+_INTEGER = r"^[+-]?[0-9]+$"
+# Beyond this a number has no room in DECIMAL(38, 12).
+_DECIMAL_LIMIT = 1e26
+
 _CLOCK = r"(?:[T ]\s*[0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2}(?:\.[0-9]{1,9})?)?)?"
 _ZONE = r"(?:Z|[+-][0-9]{1,2}(?::?[0-9]{2})?)"
 _YEAR_FIRST = rf"^[0-9]{{4}}(?:-[0-9]{{1,2}}-|/[0-9]{{1,2}}/)[0-9]{{1,2}}{_CLOCK}\s*{_ZONE}?$"
@@ -39,6 +43,8 @@ _HALF_DAY = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?
 _MONTH = r"(?:[Jj]an|[Ff]eb|[Mm]ar|[Aa]pr|[Mm]ay|[Jj]un|[Jj]ul|[Aa]ug|[Ss]ep|[Oo]ct|[Nn]ov|[Dd]ec)[a-z]*"
 _DAY_MONTH = rf"^[0-9]{{1,2}} {_MONTH},? [0-9]{{4}}{_CLOCK}$"
 _MONTH_DAY = rf"^{_MONTH} [0-9]{{1,2}},? [0-9]{{4}}{_CLOCK}$"
+# Every accepted time starts like one of these; no number or boolean does.
+_TIME_SHAPE = rf"^(?:[0-9]{{4}}[-/][0-9]|[0-9]{{1,2}}/[0-9]|[0-9]{{1,2}} [A-Za-z]{{3}}|{_MONTH} [0-9])"
 _ENDS_WITH_ZONE = r":[0-9.]+\s*[Z+-]|[0-9]\s*Z$"
 
 
@@ -55,7 +61,11 @@ def parse_bool(text: Column, grammar: str = IMPORT) -> Column:
 
 
 def parse_integer(text: Column, spark_type: str = "int") -> Column:
-    return text.try_cast(spark_type)
+    # The cast sees digits only: an exception per bad cell would cost far more than the test.
+    value = F.when(text.rlike(_INTEGER), text.try_cast("bigint"))
+    if spark_type == "bigint":
+        return value
+    return F.when(value.between(-(1 << 31), (1 << 31) - 1), value.cast("int"))
 
 
 def number_text(text: Column, logical: str, grammar: str = IMPORT, currency: str = "¤") -> Column:
@@ -78,7 +88,7 @@ def number_text(text: Column, logical: str, grammar: str = IMPORT, currency: str
 
 def decimal_of(number: Column) -> Column:
     """Decimal of the plain text ``number_text`` made; NULL beyond 26 integer digits."""
-    return number.try_cast("decimal(38,12)")
+    return F.when(F.abs(number.try_cast("double")) <= F.lit(_DECIMAL_LIMIT), number.try_cast("decimal(38,12)"))
 
 
 def float_of(number: Column, text: Column) -> Column:
@@ -143,3 +153,34 @@ def parse_text(text: Column, logical: str, grammar: str = IMPORT, currency: str
     if logical == L.DATE_TIME:
         return parse_datetime(text)
     return text
+
+
+# Bits of ``fit_mask``, one per inferred type.
+FIT_BITS = {L.BIT: 1, L.DATE_TIME: 2, L.INT: 4, L.BIG_INT: 8, L.DECIMAL: 16, L.FLOAT: 32}
+
+
+def fit_mask(text: Column, currency: str = "¤") -> Column:
+    """All types a trimmed cell fits, as bits; NULL for a NULL cell.
+
+    Same outcome as trying every parser, but a cell is sorted by its shape first: the shapes exclude
+    each other, so a whole number costs one test and a time is never tried as a number.
+    """
+    def bit(value: Column, *logical: str) -> Column:
+        return F.when(value, F.lit(sum(FIT_BITS[name] for name in logical))).otherwise(F.lit(0))
+
+    whole = parse_integer(text, "bigint")
+    number = text.try_cast("double")
+    small = decimal_of(text).isNotNull()
+    loose = number_text(text, L.DECIMAL, IMPORT, currency)
+    return (
+        F.when(text.isNull(), F.lit(None).cast("int"))
+        .when(text.rlike(_INTEGER), bit(text.isin("0", "1"), L.BIT)
+              .bitwiseOR(bit(F.coalesce(whole.between(-(1 << 31), (1 << 31) - 1), F.lit(False)), L.INT))
+              .bitwiseOR(bit(whole.isNotNull(), L.BIG_INT)).bitwiseOR(bit(small, L.DECIMAL))
+              .bitwiseOR(F.lit(FIT_BITS[L.FLOAT])))
+        .when(text.rlike(_PLAIN_NUMBER + _EXPONENT + "$"), bit(small, L.DECIMAL).bitwiseOR(F.lit(FIT_BITS[L.FLOAT])))
+        .when(text.rlike(_TIME_SHAPE), bit(parse_datetime(text).isNotNull(), L.DATE_TIME))
+        .when(parse_bool(text).isNotNull(), F.lit(FIT_BITS[L.BIT]))
+        .when(loose.isNotNull(), bit(decimal_of(loose).isNotNull(), L.DECIMAL).bitwiseOR(F.lit(FIT_BITS[L.FLOAT])))
+        .otherwise(bit(float_of(loose, text).isNotNull(), L.FLOAT))
+    )

@@ -51,7 +51,7 @@ def slug(label: Column, code: Column | None = None) -> Column:
 def suffix_number(code: Column) -> Column:
     """Value of the last two-digit group that no digit follows, else 0."""
     digits = F.regexp_extract(F.coalesce(code, F.lit("")), r"(\d{2})(?!.*\d)", 1)
-    return F.coalesce(digits.try_cast("int"), F.lit(0))
+    return F.coalesce(F.nullif(digits, F.lit("")).try_cast("int"), F.lit(0))
 
 
 def display_name(first: Column, last: Column) -> Column:

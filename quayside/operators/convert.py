@@ -116,9 +116,10 @@ def import_errors(converted: DataFrame) -> DataFrame:
     """All rejects: (file, row, column, raw value, message)."""
     place = [F.col(c).alias(name) for c, name in ((FILE, "file_name"), (ROW_NO, "row_number"))
              if c in converted.columns]
-    return converted.select(*place, F.explode(ERRORS).alias("e")).select(
-        *[name for c, name in ((FILE, "file_name"), (ROW_NO, "row_number"))
-          if c in converted.columns], "e.*")
+    # The outer form keeps the optimizer from testing for an empty list first, which would convert
+    # every cell a second time.
+    rows = converted.select(*place, F.explode_outer(ERRORS).alias("e")).filter(F.col("e").isNotNull())
+    return rows.select(*[c for c in rows.columns if c != "e"], "e.*")
 
 
 def displayed_errors(errors: DataFrame, n: int = DISPLAYED_ERRORS) -> DataFrame:

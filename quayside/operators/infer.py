@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside import types as L
-from quayside.functions.parsing import (
-    IMPORT, decimal_of, float_of, number_text, parse_bool, parse_datetime, parse_integer, trimmed)
+from quayside.functions.parsing import FIT_BITS, fit_mask, trimmed
 from quayside.sources.tabular import as_text
 
 DEFAULT_SAMPLE = 2_000
@@ -38,14 +36,6 @@ def text_length(observed: Column) -> Column:
     return F.greatest(F.coalesce(observed, F.lit(0)), F.lit(L.DEFAULT_TEXT_LENGTH))
 
 
-def _fit_mask(text: Column, number: Column) -> Column:
-    """One bit per type of ``PRECEDENCE`` that a cell fits; NULL for a blank cell."""
-    values = (parse_bool(text), parse_datetime(text), parse_integer(text, "int"), parse_integer(text, "bigint"),
-              decimal_of(number), float_of(number, text))
-    bits = [F.when(value.isNotNull(), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, value in enumerate(values)]
-    return F.when(text.isNotNull(), reduce(Column.bitwiseOR, bits))
-
-
 def inference_report(df: DataFrame, columns: Sequence[str] | None = None,
                      currency: str = "¤") -> DataFrame:
     """One row per column: which types every non-blank value fits, and the resolved type.
@@ -56,22 +46,21 @@ def inference_report(df: DataFrame, columns: Sequence[str] | None = None,
     columns = list(columns or df.columns)
     cells = as_text(df.select(*[F.col(f"`{c}`") for c in columns]), columns)
     every = range(len(columns))
-    texts = cells.select(*[trimmed(F.col(f"`{c}`")).alias(f"t{i}") for i, c in enumerate(columns)])
-    numbers = texts.select("*", *[
-        number_text(F.col(f"t{i}"), L.DECIMAL, IMPORT, currency).alias(f"n{i}") for i in every])
-    masks = numbers.select(*[F.col(f"t{i}") for i in every], *[
-        _fit_mask(F.col(f"t{i}"), F.col(f"n{i}")).alias(f"m{i}") for i in every])
-    # A blank cell is NULL in both columns, and aggregates leave NULLs out.
+    # One expression serves all cells, so the generated code does not grow with the columns.
+    texts = cells.select(F.array(*[trimmed(F.col(f"`{c}`")) for c in columns]).alias("texts"))
+    masks = texts.select("texts", F.transform("texts", lambda text: fit_mask(text, currency)).alias("masks"))
+    # A blank cell is NULL in both arrays, and aggregates leave NULLs out.
     reduced = masks.agg(*[
-        F.struct(F.count(F.col(f"t{i}")).alias("n_values"), F.max(F.length(f"t{i}")).alias("max_length"),
-                 F.bit_and(f"m{i}").alias("mask")).alias(f"c{i}") for i in every])
+        F.struct(F.count(F.get("texts", F.lit(i))).alias("n_values"),
+                 F.max(F.length(F.get("texts", F.lit(i)))).alias("max_length"),
+                 F.bit_and(F.get("masks", F.lit(i))).alias("mask")).alias(f"c{i}") for i in every])
     rows = F.explode(F.array(*[
         F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column_name"), F.col(f"c{i}").alias("seen"))
         for i, name in enumerate(columns)]))
     long = reduced.select(rows.alias("r")).select("r.ordinal", "r.column_name", "r.seen.*")
     has_value = F.col("n_values") > 0
-    flags = {logical: F.coalesce(F.col("mask").bitwiseAND(1 << bit) > 0, F.lit(False))
-             for bit, logical in enumerate(PRECEDENCE)}
+    flags = {logical: F.coalesce(F.col("mask").bitwiseAND(FIT_BITS[logical]) > 0, F.lit(False))
+             for logical in PRECEDENCE}
     logical = resolve_type(flags, has_value)
     return long.select(
         "ordinal", "column_name", has_value.alias("has_value"),

@@ -18,6 +18,9 @@ def build_session(app: str = "quayside", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # HotSpot does not compile methods above 8000 bytes of code; past that, Spark's split
+        # functions are faster than one fused method (wide conversions reach it).
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update(conf)
     for name, value in settings.items():

@@ -163,3 +163,17 @@ def test_overrides_and_candidates():
     chosen = apply_overrides(inferred, {"a": "nonsense", "t": L.DATE_TIME}, {"b": 900})
     assert [(c.logical, c.length) for c in chosen] == [(L.TEXT, 255), (L.TEXT, 900), (L.DATE_TIME, None)]
     assert index_column_candidates(inferred) == {"time": ["t"], "id": ["a"], "include": ["a", "t"]}
+
+
+def test_fit_mask_agrees_with_every_parser(spark):
+    cells = ["0", "1", "12", "+5", "2147483648", "9223372036854775808", "9" * 26, "9" * 27, "1.5", ".5", "5.", "1e3", "1e40", "-1e-3", "1d",
+             "true", "No", "yes", "y", "1,234.5", "(5)", "5-", "¤5", "--5", "NaN", "-Infinity", "inf", "2024", "2024-01-05", "2024/1/5",
+             "2024-13-01", "1/31/2024", "31/1/2024", "1/31/2024 1:05 pm", "5 Jan 2024", "January 5, 2024 10:11", "Mayor 5", "12 days",
+             "2024-01-05T03:04:05+02:00", "12:30", "abc", "", " ", None, " 7 ", "1-2-3", "1/2"]
+    x = trimmed()
+    parsers = {L.BIT: parsing.parse_bool(x), L.DATE_TIME: parsing.parse_datetime(x), L.INT: parsing.parse_integer(x, "int"),
+               L.BIG_INT: parsing.parse_integer(x, "bigint"), L.DECIMAL: parsing.parse_decimal(x), L.FLOAT: parsing.parse_float(x)}
+    tried = {name: column(spark, cells, parser.isNotNull()) for name, parser in parsers.items()}
+    for i, mask in enumerate(column(spark, cells, parsing.fit_mask(x))):
+        fits = {name for name in parsers if tried[name][i]}
+        assert fits == {n for n, b in parsing.FIT_BITS.items() if (mask or 0) & b}, cells[i]
