@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.storage import materialise
+from quayside.storage import materialise, sized_partitions
 
 _TASK = "__task"
 _POSITION = "__position"
@@ -51,7 +51,7 @@ def row_index(df: DataFrame, order: Sequence[str | Column] = (), name: str = "ro
     """
     keys = _as_columns(order)
     if keys:
-        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        df = df.repartitionByRange(sized_partitions(df), *keys).sortWithinPartitions(*keys)
     numbered = df.withColumn(_POSITION, F.monotonically_increasing_id())
     numbered = numbered.withColumn(_TASK, F.shiftright(F.col(_POSITION), _POSITION_BITS).cast("int"))
     numbered = numbered.withColumn(
@@ -78,6 +78,18 @@ def row_index_by_location(df: DataFrame, files: Sequence[str], row_no: str, name
         name, F.col("offset") + F.col(_POSITION)).drop(_TASK, _POSITION, "offset")
 
 
+def scan_row_index(table: DataFrame, name: str = "row_index") -> DataFrame:
+    """Dense 1..n index of a whole Parquet table in stored order: file after file, row after row.
+
+    ``table`` must be the bare scan, unfiltered. The reader knows the row's place in its file, so
+    nothing is sorted, shuffled or written; the rows per file come from the file footers.
+    """
+    file, place = "__file", "__place"
+    placed = table.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    offsets = offset_table(placed.groupBy(file).agg(F.count(F.lit(1)).alias("n")), file)
+    return placed.join(offsets, file).withColumn(name, F.col("offset") + F.col(place) + 1).drop(file, place, "offset")
+
+
 def surrogate_key_name(columns: Sequence[str]) -> str:
     """``Id``, or ``MyPK_id`` when the table already has a column of that name (any case)."""
     return "MyPK_id" if any(c.lower() == "id" for c in columns) else "Id"
@@ -92,6 +104,6 @@ def add_surrogate_key(df: DataFrame, order: Sequence[str] = (), dense: bool = Tr
     else:
         if order:
             keys = _as_columns(order)
-            df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            df = df.repartitionByRange(sized_partitions(df), *keys).sortWithinPartitions(*keys)
         keyed = df.withColumn(key, F.monotonically_increasing_id() + 1)
     return keyed.select(key, *[F.col(f"`{c}`") for c in df.columns])

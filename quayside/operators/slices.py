@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from quayside.errors import RequestError
 from quayside.functions.literals import as_literal, cursor_decode, cursor_encode, parse_literal
+from quayside.operators.rowindex import row_index
+from quayside.storage import sized_partitions
 
 # Page size limits.
 MAX_ROWS_PER_PAGE = 100_000
@@ -173,6 +175,13 @@ def scan_pages(df: DataFrame, keys: Sequence[str], limit: int):
         cursor = info.next_cursor
 
 
+def all_pages(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Every row with the number of the page a client would find it on, in one distributed job."""
+    check_limit(limit)
+    indexed = row_index(df, [F.col(k).asc_nulls_first() for k in keys], "_row")
+    return indexed.withColumn("page", F.floor((F.col("_row") - 1) / F.lit(limit)).cast("int") + 1).drop("_row")
+
+
 # -------------------------------------------------------------------------------------------- layout
 
 def default_index_name(table: str, id_column: str | None) -> str:
@@ -186,8 +195,7 @@ def clustered(df: DataFrame, index: IndexColumns, partitions: int | None = None)
     Statistics of the written files then let Spark skip everything outside a slice.
     """
     order = index.order()
-    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    return ranged.sortWithinPartitions(*order)
+    return df.repartitionByRange(partitions or sized_partitions(df), *order).sortWithinPartitions(*order)
 
 
 def write_clustered(df: DataFrame, index: IndexColumns, path: str, partitions: int | None = None,

@@ -80,10 +80,12 @@ def replace_session_report(sessions: DataFrame, datasets: DataFrame, users: Data
                            **wanted) -> DataFrame:
     """Filtered sessions, newest first; an editor sees only those of own datasets."""
     rows = date_range(filter_optional(sessions, **wanted), "created_at", start, end)
-    labelled = replace_sessions(rows, datasets, users)
     if owner_id is not None:
-        labelled = labelled.filter(F.col("dataset_owner_id") == owner_id)
-    return latest(labelled, "created_at", "id", n)
+        own = datasets.filter(F.col("owner_id") == owner_id).select(F.col("id").alias("dataset_id"))
+        rows = rows.join(own, "dataset_id", "left_semi")
+    # Only the rows that are shown are joined with their labels.
+    return replace_sessions(latest(rows, "created_at", "id", n), datasets, users).orderBy(
+        F.col("created_at").desc(), F.col("id").desc())
 
 
 def daily_quota(log: DataFrame, limit: int = PUBLIC_DAILY_BYTES) -> DataFrame:
@@ -99,18 +101,20 @@ def daily_quota(log: DataFrame, limit: int = PUBLIC_DAILY_BYTES) -> DataFrame:
 def inactivity_windows(log: DataFrame, key: str, time: str, minutes: int, sums: Sequence[str] = ()) -> DataFrame:
     """Runs of events of one key without a pause longer than ``minutes``.
 
-    A pause of exactly that length still extends the run. Two steps keep a key with a third of all
-    events spread out: ``session_window`` per (key, day) first, so the key is split by day; what is
-    left, a few runs per key and day, is then chained across midnight.
+    A pause of exactly that length still extends the run. Two events inside one fixed slot of that
+    length can never be further apart, so a slot always belongs to one run. The log is therefore
+    reduced to slots first (combined in each task before the shuffle, whatever the share of a hot
+    key); only the slots, whose number depends on the time covered and not on the number of events,
+    are chained per key.
     """
     gap = F.make_dt_interval(mins=F.lit(minutes))
-    per_day = log.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(
-        F.col(key), F.to_date(time).alias("_day"), F.session_window(time, f"{minutes} minutes").alias("_w")).agg(
+    slots = log.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(
+        F.col(key), F.window(time, f"{minutes} minutes").alias("_slot")).agg(
         F.count(F.lit(1)).alias("events"), F.min(time).alias("first_at"), F.max(time).alias("last_at"),
-        *[F.sum(c).alias(c) for c in sums])
+        *[F.sum(c).alias(c) for c in sums]).drop("_slot")
     in_time = Window.partitionBy(key).orderBy("first_at")
     apart = F.col("first_at") > F.lag("last_at").over(in_time) + gap
-    numbered = per_day.withColumn("_new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).withColumn(
+    numbered = slots.withColumn("_new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).withColumn(
         "_run", F.sum("_new").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "_run").agg(
         F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.functions.render import render_all
+from quayside.operators.rowindex import scan_row_index
 from quayside.plans.portal_tables import Portal
 from quayside.plans.registry import query
 from quayside.sources.export import export_csv_parts, manifest_parts, manifest_totals, number_parts
@@ -52,7 +53,7 @@ def export_parts_events(portal: Portal) -> DataFrame:
 @query("export_totals_lineitem", "SELECT count(*) AS total_row_count, CAST(ceil(count(*) / 7000.0) AS BIGINT) AS parts FROM lineitem")
 def export_totals_lineitem(portal: Portal) -> DataFrame:
     """Parts in the order the table is stored in: nothing is sorted."""
-    return manifest_totals(number_parts(portal.raw("lineitem").select("l_orderkey"), 7_000))
+    return manifest_totals(number_parts(portal.raw("lineitem"), 7_000, scan=True))
 
 
 @query("export_csv_events", f"""
@@ -76,3 +77,11 @@ def export_csv_documents(portal: Portal) -> DataFrame:
     return portal.spark.read.schema(text).options(
         header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
         maxCharsPerColumn=-1).option("pathGlobFilter", "*.csv").csv(path).select("doc_id", F.sha2("text", 256).alias("text"))
+
+
+@query("scan_index_orders", "SELECT count(*) AS n, CAST(1 AS BIGINT) AS first_row, count(*) AS last_row, count(*) AS distinct_rows FROM orders")
+def scan_index_orders(portal: Portal) -> DataFrame:
+    """The index in stored order is dense, whatever the order of the files is."""
+    return scan_row_index(portal.raw("orders")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_index").alias("first_row"), F.max("row_index").alias("last_row"),
+        F.count_distinct("row_index").alias("distinct_rows"))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.literals import cursor_encode
 from quayside.operators.slices import (
-    IndexColumns, id_slice, include_slice, keyset_page, page_bound, page_info, page_info_frame,
+    IndexColumns, all_pages, id_slice, include_slice, keyset_page, page_bound, page_info_frame,
     project_distinct_columns, slice_rows, time_slice, write_clustered, zone_map)
 from quayside.plans.portal_tables import Portal
 from quayside.plans.registry import query
@@ -111,17 +110,12 @@ def full_scan_events(portal: Portal) -> DataFrame:
     return portal.raw("events").select("event_id", "user_id", "value")
 
 
-@query("full_scan_by_pages", "SELECT event_id, user_id, value FROM events")
+@query("full_scan_by_pages", """
+SELECT event_id, user_id, value, CAST(floor((row_number() OVER (ORDER BY user_id, ts, event_id) - 1) / 700) AS INTEGER) + 1 AS page FROM events""")
 def full_scan_by_pages(portal: Portal) -> DataFrame:
-    """Pages of the largest size, chained by their cursors and put together again."""
+    """All pages of the table at once, each row with its page."""
     rows = portal.raw("events").select("event_id", "user_id", "value", "ts")
-    pages, cursor = [], None
-    while True:
-        info = page_info(rows, INDEX.order(), 100_000, cursor)
-        pages.append(keyset_page(rows, INDEX.order(), 100_000, cursor))
-        if not info.has_more:
-            return reduce(DataFrame.unionByName, pages).drop("ts")
-        cursor = info.next_cursor
+    return all_pages(rows, INDEX.order(), 700).drop("ts")
 
 
 def clustered_events(portal: Portal) -> DataFrame:

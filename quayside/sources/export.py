@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from quayside.errors import InputError
 from quayside.functions.render import render_all
-from quayside.operators.rowindex import row_index
+from quayside.operators.rowindex import row_index, scan_row_index
 
 # Rows per part and tracked warnings.
 DEFAULT_ROWS_PER_PART = 1_000_000
@@ -32,10 +32,14 @@ def clamp_rows(rows_per_part: int) -> int:
 
 
 def number_parts(df: DataFrame, rows_per_part: int = DEFAULT_ROWS_PER_PART,
-                 order: Sequence[str] = ()) -> DataFrame:
-    """Add the row index and the part number of every row."""
+                 order: Sequence[str] = (), scan: bool = False) -> DataFrame:
+    """Add the row index and the part number of every row.
+
+    ``scan`` says that ``df`` is a whole Parquet table, to be numbered in stored order; that takes
+    neither a shuffle nor a write.
+    """
     size = clamp_rows(rows_per_part)
-    indexed = row_index(df, order, _INDEX)
+    indexed = scan_row_index(df, _INDEX) if scan and not order else row_index(df, order, _INDEX)
     return indexed.withColumn(PART, F.floor((F.col(_INDEX) - 1) / F.lit(size)).cast("int") + 1)
 
 
@@ -61,7 +65,7 @@ def manifest_totals(numbered: DataFrame) -> DataFrame:
 
 
 def export_csv_parts(df: DataFrame, path: str, rows_per_part: int = DEFAULT_ROWS_PER_PART,
-                     order: Sequence[str] = (), info: dict | None = None) -> dict:
+                     order: Sequence[str] = (), info: dict | None = None, scan: bool = False) -> dict:
     """Write ``part=N/`` folders, each with one CSV file and its own header, and ``manifest.json``.
 
     A part has at most ``rows_per_part`` rows, which bounds the task that writes it. Rows go to their
@@ -71,7 +75,7 @@ def export_csv_parts(df: DataFrame, path: str, rows_per_part: int = DEFAULT_ROWS
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             raise InputError(f"column {field.name} is nested and has no CSV form")
-    numbered = number_parts(df, size, order)
+    numbered = number_parts(df, size, order, scan)
     parts = manifest_parts(numbered).orderBy("part_number")
     if numbered.isEmpty():
         render_all(df.limit(0)).coalesce(1).write.options(**CSV_OPTIONS).csv(f"{path}/{PART}=1")

@@ -48,3 +48,19 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+# Size a shuffle partition is planned for, and a ceiling for wrong estimates.
+PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 1_000_000
+_UNKNOWN_SIZE = 1 << 60
+
+
+def sized_partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle of all rows: by the size of the sources, never fewer than the
+    session's own setting."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(s for s in sizes if s < _UNKNOWN_SIZE)
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, min(-(-size // PARTITION_BYTES), MAX_PARTITIONS))
