@@ -98,20 +98,17 @@ def daily_quota(log: DataFrame, limit: int = PUBLIC_DAILY_BYTES) -> DataFrame:
         "requests", "bytes", (F.col("bytes") >= limit).alias("exceeded"))
 
 
-def inactivity_windows(log: DataFrame, key: str, time: str, minutes: int, sums: Sequence[str] = ()) -> DataFrame:
-    """Runs of events of one key without a pause longer than ``minutes``.
+def activity_slots(log: DataFrame, key: str, time: str, minutes: int, sums: Sequence[str] = ()) -> DataFrame:
+    """Events per key and fixed slot of ``minutes``. Works on a log and on a stream of log rows."""
+    slot = F.window(time, f"{minutes} minutes").alias("slot")
+    return log.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(F.col(key), slot).agg(
+        F.count(F.lit(1)).alias("events"), F.min(time).alias("first_at"), F.max(time).alias("last_at"),
+        *[F.sum(c).alias(c) for c in sums])
 
-    A pause of exactly that length still extends the run. Two events inside one fixed slot of that
-    length can never be further apart, so a slot always belongs to one run. The log is therefore
-    reduced to slots first (combined in each task before the shuffle, whatever the share of a hot
-    key); only the slots, whose number depends on the time covered and not on the number of events,
-    are chained per key.
-    """
+
+def chain_slots(slots: DataFrame, key: str, minutes: int, sums: Sequence[str] = ()) -> DataFrame:
+    """Join slots without a pause longer than ``minutes`` between them into windows."""
     gap = F.make_dt_interval(mins=F.lit(minutes))
-    slots = log.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(
-        F.col(key), F.window(time, f"{minutes} minutes").alias("_slot")).agg(
-        F.count(F.lit(1)).alias("events"), F.min(time).alias("first_at"), F.max(time).alias("last_at"),
-        *[F.sum(c).alias(c) for c in sums]).drop("_slot")
     in_time = Window.partitionBy(key).orderBy("first_at")
     apart = F.col("first_at") > F.lag("last_at").over(in_time) + gap
     numbered = slots.withColumn("_new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).withColumn(
@@ -123,6 +120,18 @@ def inactivity_windows(log: DataFrame, key: str, time: str, minutes: int, sums:
         "events", *sums)
 
 
+def inactivity_windows(log: DataFrame, key: str, time: str, minutes: int, sums: Sequence[str] = ()) -> DataFrame:
+    """Runs of events of one key without a pause longer than ``minutes``.
+
+    A pause of exactly that length still extends the run. Two events inside one fixed slot of that
+    length can never be further apart, so a slot always belongs to one run. The log is therefore
+    reduced to slots first (combined in each task before the shuffle, whatever the share of a hot
+    key); only the slots, whose number depends on the time covered and not on the number of events,
+    are chained per key.
+    """
+    return chain_slots(activity_slots(log, key, time, minutes, sums), key, minutes, sums)
+
+
 def token_windows(log: DataFrame, limit: int = TOKEN_BYTES, minutes: int = TOKEN_WINDOW_MINUTES) -> DataFrame:
     """Quota windows per token: every served request extends the window it falls into."""
     minutes = minutes if minutes > 0 else TOKEN_WINDOW_MINUTES

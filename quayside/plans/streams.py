@@ -52,6 +52,14 @@ def stream_token_quota(portal: Portal) -> DataFrame:
     return _zoneless(portal.spark.read.parquet(path), "window_start", "window_end")
 
 
+@query("stream_token_live", _TOKENS + "SELECT *, bytes >= 500000 AS exceeded FROM islands", "access_log")
+def stream_token_live(portal: Portal) -> DataFrame:
+    """All windows, open ones included, from the running slots of the stream."""
+    path = fresh_path(portal.spark, "slots")
+    Q.update_into(Q.token_slots_stream(log_stream(portal)), path, path + "-checkpoint").awaitTermination()
+    return _zoneless(Q.live_token_windows(portal.spark, path, limit=500_000), "window_start", "window_end")
+
+
 @query("stream_attempt_limit", _ATTEMPTS + f"SELECT *, events > 5 AS limited FROM islands WHERE {_CLOSED.format('ts', 'attempts', 'who')}")
 def stream_attempt_limit(portal: Portal) -> DataFrame:
     attempts = event_stream(portal).select(

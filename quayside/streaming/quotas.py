@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quayside.operators.usage import PUBLIC_DAILY_BYTES, TOKEN_BYTES, TOKEN_WINDOW_MINUTES
+from quayside.operators.usage import (
+    PUBLIC_DAILY_BYTES, TOKEN_BYTES, TOKEN_WINDOW_MINUTES, activity_slots, chain_slots)
 
 # Combine sessions inside each task before the shuffle, so that a hot key costs little.
 MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
@@ -60,6 +61,24 @@ def attempt_limit_stream(attempts: DataFrame, key: str, time: str, limit: int, m
     return _session_stream(keyed, key, time, minutes, delay, []).withColumn("limited", F.col("events") > limit)
 
 
+def token_slots_stream(log: DataFrame, minutes: int = TOKEN_WINDOW_MINUTES, delay: str = "10 minutes",
+                       time: str = "accessed_at") -> DataFrame:
+    """Running slots per token, for windows that are still open (output mode ``update``).
+
+    Session windows have no update mode. The slots do, and ``live_token_windows`` chains the newest
+    state of all slots into the windows a quota check needs.
+    """
+    slots = activity_slots(log.withWatermark(time, delay), "token_id", time, minutes, ["bytes"])
+    return slots.withColumn("slot", F.col("slot.start"))
+
+
+def live_token_windows(spark: SparkSession, path: str, limit: int = TOKEN_BYTES,
+                       minutes: int = TOKEN_WINDOW_MINUTES) -> DataFrame:
+    """Quota windows per token from the updates written so far, open ones included."""
+    slots = newest(spark, path, ["token_id", "slot"])
+    return chain_slots(slots, "token_id", minutes, ["bytes"]).withColumn("exceeded", F.col("bytes") >= limit)
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Run what is available now into a Parquet folder; exactly once per row."""
     return (stream.writeStream.format("parquet").outputMode("append").option("path", path)
