@@ -8,6 +8,7 @@ when its measured size allows it, and splits hot keys otherwise (AQE).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -123,11 +124,11 @@ def size_between(df: DataFrame, minimum: float | None = None, maximum: float | N
 
 
 def bytes_between(df: DataFrame, column: str, minimum_mb: float | None, maximum_mb: float | None) -> DataFrame:
-    """The file variant; the bounds move to the literal side so that the scan can use them."""
+    """The file variant; the bounds become whole bytes, so that the scan can use them."""
     if minimum_mb is not None:
-        df = df.filter(F.col(column) >= F.lit(minimum_mb * 1024.0 * 1024.0))
+        df = df.filter(F.col(column) >= F.lit(math.ceil(minimum_mb * 1024 * 1024)))
     if maximum_mb is not None:
-        df = df.filter(F.col(column) <= F.lit(maximum_mb * 1024.0 * 1024.0))
+        df = df.filter(F.col(column) <= F.lit(math.floor(maximum_mb * 1024 * 1024)))
     return df
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside import types as L
 from quayside.functions.parsing import FIT_BITS, fit_mask, trimmed
-from quayside.sources.tabular import as_text
+from quayside.sources.tabular import as_text, head_rows
 
 DEFAULT_SAMPLE = 2_000
 
@@ -74,13 +74,23 @@ def inference_report(df: DataFrame, columns: Sequence[str] | None = None,
 
 def infer_columns(df: DataFrame, columns: Sequence[str] | None = None, sample: int | None = DEFAULT_SAMPLE,
                   order: Sequence[str] = (), currency: str = "¤") -> list[L.ColumnDef]:
-    """Column definitions of text rows; ``sample=None`` tests every row."""
+    """Column definitions of text rows; ``sample=None`` tests every row.
+
+    Taking the first rows of an already staged input sorts all of it; ``infer_files`` samples the
+    files themselves instead.
+    """
     columns = list(columns or [c for c in df.columns if c not in order])
     report = inference_report(sample_rows(df, sample, order), columns, currency)
     rows = report.orderBy("ordinal").collect()   # one row per column
     return [L.ColumnDef(r["column_name"], r["logical_type"], r["max_length"]) for r in rows]
 
 
+def infer_files(spark: SparkSession, paths: Sequence[str], sample: int = DEFAULT_SAMPLE,
+                currency: str = "¤") -> list[L.ColumnDef]:
+    """Column definitions from the first rows of the files, without reading the rest of them."""
+    return infer_columns(head_rows(spark, paths, sample), sample=None, currency=currency)
+
+
 def apply_overrides(inferred: Sequence[L.ColumnDef], types: dict[str, str] | None = None,
                     lengths: dict[str, int] | None = None) -> list[L.ColumnDef]:
     """The user's types and lengths over the inferred ones; an unknown type means text."""

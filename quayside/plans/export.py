@@ -44,7 +44,7 @@ WITH n AS (SELECT count(*) AS rows FROM events), p AS (
   SELECT CAST(unnest(generate_series(1, CAST(ceil(rows / {ROWS_PER_PART}.0) AS BIGINT))) AS INTEGER) AS part_number, rows FROM n)
 SELECT 'data_part' || lpad(CAST(part_number AS VARCHAR), 3, '0') || '.csv' AS file, part_number,
   least({ROWS_PER_PART}, rows - (part_number - 1) * {ROWS_PER_PART}) AS row_count,
-  (part_number - 1) * {ROWS_PER_PART} + 1 AS first_row_index,
+  CAST((part_number - 1) * {ROWS_PER_PART} + 1 AS BIGINT) AS first_row_index,
   least(part_number * {ROWS_PER_PART}, rows) AS last_row_index FROM p""")
 def export_parts_events(portal: Portal) -> DataFrame:
     return manifest_parts(number_parts(portal.raw("events"), ROWS_PER_PART, ORDER))

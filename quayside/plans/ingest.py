@@ -139,6 +139,8 @@ def convert_result(portal: Portal) -> DataFrame:
 
 
 @query("infer_column_types", """
+SELECT ordinal, column_name, logical_type, CAST(observed_length AS INTEGER) AS observed_length,
+       CAST(max_length AS INTEGER) AS max_length FROM (
 WITH cells AS (
   SELECT CAST(event_id % 2 AS VARCHAR) AS switch, CAST(event_id AS VARCHAR) AS number,
          CAST(event_id + 3000000000 AS VARCHAR) AS big,
@@ -152,7 +154,7 @@ UNION ALL SELECT 3, 'exact', 'Decimal', max(length(exact)), NULL FROM cells
 UNION ALL SELECT 4, 'wide', 'Float', max(length(wide)), NULL FROM cells
 UNION ALL SELECT 5, 'seen', 'DateTime2', max(length(seen)), NULL FROM cells
 UNION ALL SELECT 6, 'nothing', 'NVarChar', CAST(0 * count(*) AS INTEGER), 255 FROM cells
-UNION ALL SELECT 7, 'words', 'NVarChar', max(length(words)), greatest(max(length(words)), 255) FROM cells""")
+UNION ALL SELECT 7, 'words', 'NVarChar', max(length(words)), greatest(max(length(words)), 255) FROM cells)""")
 def infer_column_types(portal: Portal) -> DataFrame:
     key = F.col(ROW_KEY)
     cells = portal.raw("events").select(

@@ -72,6 +72,45 @@ def read_tabular(spark: SparkSession, paths: Sequence[str], multiline: bool = Tr
     return read_parquet(spark, paths)
 
 
+def head_rows(spark: SparkSession, paths: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows over all files, as text, for a preview or for inference from a sample.
+
+    Reads only as far as needed, whatever the size of the files: the rows (at most ``n``) are fetched
+    file by file from the first tasks, and nothing is staged. Header and length checks cover what is
+    read.
+    """
+    paths = list(paths)
+    ending = detect_format(paths)
+    header: list[str] | None = None
+    found: list[tuple] = []
+    for path in paths:
+        if ending == ".parquet":
+            rows = read_parquet(spark, [path]).drop(*LOCATION)
+            names, rows = rows.columns, as_text(rows, rows.columns).head(n - len(found))
+        elif ending == ".csv":
+            names = trim_headers(_csv_header(spark, path))
+            cells = [f"c{i}" for i in range(len(names))]
+            raw = _csv_rows(spark, path, cells, True).head(n - len(found) + 1)[1:]
+            if any(r["_bad"] is not None for r in raw):
+                raise InputError("a row in the CSV file does not match the number of header columns")
+            rows = [r[:-1] for r in raw]
+        else:
+            lines = _archive_lines(spark, [path])
+            first = lines.filter("line_no = 0").head()
+            names = trim_headers(first["fields"] if first else [])
+            rows = [r["fields"] for r in lines.filter("line_no > 0").select("fields").head(n - len(found))]
+            if any(len(r) != len(names) for r in rows):
+                raise InputError("a row in the CSV file does not match the number of header columns")
+        if header is None:
+            check_headers_unique(names)
+            header = names
+        check_headers_positional(header, names, dict(FORMATS)[ending])
+        found += [tuple(r) for r in rows]
+        if len(found) >= n:
+            break
+    return spark.createDataFrame(found, T.StructType([T.StructField(h, T.StringType()) for h in header]))
+
+
 def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in LOCATION]
 
@@ -100,35 +139,34 @@ def _csv_header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader(io.StringIO(text, newline="")))
 
 
+def _csv_rows(spark: SparkSession, path: str, cells: list[str], multiline: bool) -> DataFrame:
+    """All rows of a file, header included, as text; ``_bad`` is set for a row of another length."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_bad"]])
+    rows = spark.read.options(
+        sep=",", quote='"', escape='"', multiLine=multiline, header=False, mode="PERMISSIVE",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", nullValue="",
+        maxCharsPerColumn=-1, columnNameOfCorruptRecord="_bad").schema(schema).csv(path)
+    # A line of blanks only is no row; for several columns it arrives as a short row.
+    if len(cells) > 1:
+        return rows.filter(F.col("_bad").isNull() | ~_blank(F.col("_bad")))
+    return rows.filter(~_blank(F.col("c0")))
+
+
 def read_csv(spark: SparkSession, paths: Sequence[str], multiline: bool = True) -> DataFrame:
     """Comma-separated text with quoted fields; every value stays text and is not trimmed.
 
     ``multiline=False`` lets Spark split large files between tasks; choose it when no quoted field
     holds a line break.
     """
-    options = {
-        "sep": ",", "quote": '"', "escape": '"', "multiLine": multiline, "inferSchema": False,
-        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
-        "emptyValue": "", "nullValue": "", "mode": "PERMISSIVE", "maxCharsPerColumn": -1,
-    }
     paths = list(paths)
     header = trim_headers(_csv_header(spark, paths[0]))
     check_headers_unique(header)
     cells = [f"c{i}" for i in range(len(header))]
-    schema = T.StructType(
-        [T.StructField(c, T.StringType()) for c in cells] + [T.StructField("_bad", T.StringType())])
-    reader = (spark.read.options(**options).option("header", False)
-              .option("columnNameOfCorruptRecord", "_bad").schema(schema))
     raw = reduce(DataFrame.unionByName, [
-        reader.csv(path).select(
+        _csv_rows(spark, path, cells, multiline).select(
             *cells, "_bad", F.lit(seq).alias(FILE_SEQ), F.col("_metadata.file_path").alias("_path"),
             F.col("_metadata.file_block_start").alias("_block"))
         for seq, path in enumerate(paths)])
-    # A line of blanks only is no row; for several columns it arrives as a short row.
-    if len(cells) > 1:
-        raw = raw.filter(F.col("_bad").isNull() | ~_blank(F.col("_bad")))
-    else:
-        raw = raw.filter(~_blank(F.col("c0")))
     staged = materialise(raw.withColumn("_mono", F.monotonically_increasing_id()), "csv-rows")
 
     split = [FILE_SEQ, "_path", "_block"]
@@ -196,18 +234,21 @@ def _entry_batches(place: tuple, rows) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(pending, columns=names)
 
 
+def _archive_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    content = reduce(DataFrame.unionByName, [
+        spark.read.format("binaryFile").load(path).select(F.lit(seq).alias(FILE_SEQ), "path", "content")
+        for seq, path in enumerate(paths)])
+    return content.mapInPandas(
+        _archive_rows, f"{FILE_SEQ} int, path string, entry string, entry_no int, line_no long, fields array<string>")
+
+
 def read_zipped_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Every CSV entry of every archive, in parallel over the archives.
 
     The ZIP format has no Spark reader, so a small Python helper turns each archive into rows.
     """
     paths = list(paths)
-    content = reduce(DataFrame.unionByName, [
-        spark.read.format("binaryFile").load(path).select(F.lit(seq).alias(FILE_SEQ), "path", "content")
-        for seq, path in enumerate(paths)])
-    unpacked = content.mapInPandas(
-        _archive_rows, f"{FILE_SEQ} int, path string, entry string, entry_no int, line_no long, fields array<string>")
-    staged = materialise(unpacked, "zip-rows")
+    staged = materialise(_archive_lines(spark, paths), "zip-rows")
     first = staged.filter("line_no = 0").orderBy(FILE_SEQ, "path", "entry_no").select("fields").head()
     if first is None:
         raise InputError("the CSV.zip files are empty")

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from quayside import types as L
 from quayside.errors import InputError
 from quayside.operators.convert import accept_gate, convert, displayed_errors, drop_empty_rows, import_errors
-from quayside.operators.infer import infer_columns
+from quayside.operators.infer import infer_columns, infer_files
 from quayside.operators.load import load_table
 from quayside.sources.tables import describe_columns, table_exists
-from quayside.sources.tabular import FILE_SEQ, ROW_NO, data_columns, detect_format, read_csv, read_tabular
+from quayside.sources.tabular import FILE_SEQ, ROW_NO, data_columns, detect_format, head_rows, read_csv, read_tabular
 
 
 def write(folder, name, content, encoding="utf-8"):
@@ -171,3 +171,18 @@ def test_gate():
     assert accept_gate(ImportResult(5, 4, 1, 2), "null").rows_copied == 4
     with pytest.raises(InputError):
         accept_gate(ImportResult(5, 4, 1, 2))
+
+
+def test_head_rows_and_sampled_inference(spark, tmp_path):
+    a = write(tmp_path, "a.csv", "\n N ,t\n" + "".join(f'{i},"x\ny"\n' for i in range(2, 12)))
+    b = write(tmp_path, "b.csv", "n,T\nx,y\nz\n")
+    assert [r["N"] for r in head_rows(spark, [a, b], 11).collect()] == [str(i) for i in range(2, 12)] + ["x"]
+    assert [c.logical for c in infer_files(spark, [a, b], 10)] == [L.INT, L.TEXT]
+    assert [c.logical for c in infer_files(spark, [a, b], 11)] == [L.TEXT, L.TEXT]
+    with pytest.raises(InputError, match="number of header columns"):
+        head_rows(spark, [a, b], 12)
+    archive = zipped(tmp_path, "h.csv.zip", {"one.csv": "n,t\n1,a\n2,b\n", "two.csv": "n,t\n3,c\n"})
+    assert [r["n"] for r in head_rows(spark, [archive], 3).collect()] == ["1", "2", "3"]
+    parquet = str(tmp_path / "h.parquet")
+    spark.range(5).coalesce(1).write.parquet(parquet)
+    assert [r["id"] for r in head_rows(spark, [parquet], 3).collect()] == ["0", "1", "2"]
