@@ -17,13 +17,18 @@ from pyspark.sql import types as T
 
 from quayside.errors import RequestError
 
-# Bounds and messages of the integer types.
+# Sizes of the integer types, and the message per type.
 _INTEGERS = {
     T.ByteType: (8, "Value must be an 8-bit integer."),
     T.ShortType: (16, "Value must be a 16-bit integer."),
     T.IntegerType: (32, "Value must be an integer."),
     T.LongType: (64, "Value must be a 64-bit integer."),
 }
+_NOT_BOOLEAN = "Value must be a boolean."
+_NOT_DECIMAL = "Value must be a decimal number."
+_NOT_FLOAT = "Value must be a floating-point number."
+_NOT_TIME = "Value must be a valid date/time."
+_NOT_GUID = "Value must be a valid GUID."
 
 
 def _parse_time(text: str) -> dt.datetime:
@@ -55,21 +60,21 @@ def parse_literal(text: str, data_type: T.DataType):
             return raw.lower() == "true"
         if text in ("0", "1"):
             return text == "1"
-        raise RequestError("Value must be a boolean.")
+        raise RequestError(_NOT_BOOLEAN)
     if isinstance(data_type, T.DecimalType):
         match = re.fullmatch(r"([+-]?)([0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)([+-]?)", raw)
         if not match or (match[1] and match[3]):
-            raise RequestError("Value must be a decimal number.")
+            raise RequestError(_NOT_DECIMAL)
         return decimal.Decimal((match[1] or match[3]) + match[2].replace(",", ""))
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         if not re.fullmatch(r"[+-]?(?:[0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?(?i:nan|infinity)", raw):
-            raise RequestError("Value must be a floating-point number.")
+            raise RequestError(_NOT_FLOAT)
         return float(raw.replace(",", ""))
     if isinstance(data_type, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         try:
             value = _parse_time(raw)
         except ValueError:
-            raise RequestError("Value must be a valid date/time.") from None
+            raise RequestError(_NOT_TIME) from None
         if isinstance(data_type, T.TimestampType):
             return value.replace(tzinfo=dt.timezone.utc)
         return value.date() if isinstance(data_type, T.DateType) else value
@@ -80,7 +85,7 @@ def parse_guid(text: str) -> str:
     try:
         return str(uuid.UUID(text.strip()))
     except ValueError:
-        raise RequestError("Value must be a valid GUID.") from None
+        raise RequestError(_NOT_GUID) from None
 
 
 def as_literal(value, data_type: T.DataType) -> Column:
@@ -119,11 +124,11 @@ def cursor_decode(cursor: str, fields: Sequence[T.StructField]) -> list:
         padded = cursor + "=" * (-len(cursor) % 4)
         values = json.loads(base64.urlsafe_b64decode(padded).decode())
     except (binascii.Error, ValueError):
-        raise RequestError("Cursor is not valid.") from None
+        raise RequestError("the cursor cannot be read") from None
     if not isinstance(values, list):
-        raise RequestError("Cursor payload must be an array.")
+        raise RequestError("the cursor holds no list")
     if len(values) != len(fields):
-        raise RequestError("Cursor value count does not match primary key columns.")
+        raise RequestError("the cursor does not have one value per key column")
     return [_cursor_value(value, field) for value, field in zip(values, fields)]
 
 
@@ -132,29 +137,29 @@ def _cursor_value(value, field: T.StructField):
     if value is None:
         if field.nullable:
             return None
-        raise RequestError("Cursor contains null for non-nullable column.")
+        raise RequestError("the cursor holds NULL for a key that has none")
     if isinstance(kind, tuple(_INTEGERS)):
         if isinstance(value, bool) or not isinstance(value, int):
-            raise RequestError("Cursor value does not fit its column.")
+            raise RequestError("a cursor value does not fit its column")
         return parse_literal(str(value), kind)
     if isinstance(kind, T.BooleanType):
         if not isinstance(value, bool):
-            raise RequestError("Cursor value does not fit its column.")
+            raise RequestError("a cursor value does not fit its column")
         return value
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         if isinstance(value, bool) or not isinstance(value, (int, float)):
-            raise RequestError("Cursor value does not fit its column.")
+            raise RequestError("a cursor value does not fit its column")
         return float(value)
     if isinstance(kind, T.DecimalType):
         try:
             return decimal.Decimal(str(value))
         except decimal.InvalidOperation:
-            raise RequestError("Cursor value does not fit its column.") from None
+            raise RequestError("a cursor value does not fit its column") from None
     if isinstance(kind, T.BinaryType):
         try:
             return base64.b64decode(str(value), validate=True)
         except binascii.Error:
-            raise RequestError("Cursor value does not fit its column.") from None
+            raise RequestError("a cursor value does not fit its column") from None
     if not isinstance(value, str):
-        raise RequestError("Cursor value does not fit its column.")
+        raise RequestError("a cursor value does not fit its column")
     return parse_literal(value, kind)

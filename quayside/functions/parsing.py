@@ -20,6 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quayside import types as L
+from quayside.functions.times import utc_zoneless
 
 # Characters removed around a cell.
 BLANKS = " \t\n\r\x0b\x0c\x85\xa0                　"
@@ -112,9 +113,7 @@ def parse_float(text: Column, grammar: str = IMPORT, currency: str = "¤") -> Co
 
 def _utc_clock(text: Column) -> Column:
     """ISO-like text to a zoneless UTC time, whatever the session zone is."""
-    instant = F.unix_micros(text.try_cast("timestamp"))
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    shifted = F.timestamp_add("MICROSECOND", instant, epoch)
+    shifted = utc_zoneless(text.try_cast("timestamp"))
     return F.when(text.rlike(_ENDS_WITH_ZONE), shifted).otherwise(text.try_cast("timestamp_ntz"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quayside.functions.times import utc_zoneless
+
 
 def _float_text(value: Column, single: bool) -> Column:
     """Shortest text without a trailing ``.0``; exponent form outside 1e-5 .. 1e15 (1e7 if single)."""
@@ -32,9 +34,7 @@ def render_value(value: Column, data_type: T.DataType) -> Column:
     elif isinstance(data_type, T.TimestampNTZType):
         text = F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
     elif isinstance(data_type, T.TimestampType):
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        utc = F.timestamp_add("MICROSECOND", F.unix_micros(value), epoch)
-        text = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
+        text = F.concat(F.date_format(utc_zoneless(value), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
     elif isinstance(data_type, T.DateType):
         text = F.date_format(value, "yyyy-MM-dd")
     elif isinstance(data_type, T.BinaryType):

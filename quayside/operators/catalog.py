@@ -2,8 +2,8 @@
 
 Expected columns: datasets(id, name, description, size_text, visibility, owner_id, ...),
 users(id, first_name, last_name, org_id, role_id, ...). Everything stays one declarative plan, the
-size filter included, and no side of a join is broadcast by hint: Spark broadcasts a dimension only
-when its measured size allows it, and splits hot keys otherwise (AQE).
+size filter included. A lookup side is broadcast only on a known or counted size (``lookup_side``);
+otherwise Spark splits hot keys (AQE).
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quayside.errors import RequestError
 from quayside.functions.sizes import parse_size_mb
 from quayside.functions.text import display_name
+from quayside.storage import lookup_side
 
 # Visibility and role numbers.
 PUBLIC, PRIVATE, INTERNAL, PERSONAL = 1, 2, 3, 4
@@ -165,7 +166,7 @@ def star(datasets: DataFrame, users: DataFrame, organisations: DataFrame, licenc
          sites: DataFrame, visibilities: DataFrame, energy_types: DataFrame) -> DataFrame:
     """Datasets with all their labels; a missing dimension row leaves NULLs."""
     def side(df: DataFrame, key: str, **names: str) -> DataFrame:
-        return df.select(F.col("id").alias(key), *[F.col(c).alias(a) for c, a in names.items()])
+        return lookup_side(df.select(F.col("id").alias(key), *[F.col(c).alias(a) for c, a in names.items()]))
 
     return (
         with_owner(datasets, users)
@@ -182,11 +183,11 @@ def star_files(files: DataFrame, users: DataFrame, organisations: DataFrame, lic
     """Stored files with licence, visibility, owner and organisation labels."""
     return (
         with_owner(files, users)
-        .join(organisations.select(F.col("id").alias("owner_org_id"), F.col("name").alias("owner_org_name")),
+        .join(lookup_side(organisations.select(F.col("id").alias("owner_org_id"), F.col("name").alias("owner_org_name"))),
               "owner_org_id", "left")
-        .join(licences.select(F.col("id").alias("licence_id"), F.col("label").alias("licence")),
+        .join(lookup_side(licences.select(F.col("id").alias("licence_id"), F.col("label").alias("licence"))),
               "licence_id", "left")
-        .join(visibilities.select(F.col("id").alias("visibility"), F.col("label").alias("visibility_label")),
+        .join(lookup_side(visibilities.select(F.col("id").alias("visibility"), F.col("label").alias("visibility_label"))),
               "visibility", "left")
     )
 

@@ -131,7 +131,7 @@ class TableReplacer:
     def load(self, session_id: str) -> ReplaceSession:
         row = current_states(self.log().filter(F.col("id") == session_id)).head()
         if row is None:
-            raise StateError("No replace session matches the provided job id.")
+            raise StateError("there is no such replace session")
         return ReplaceSession(**row.asDict())
 
     def _record(self, session: ReplaceSession) -> ReplaceSession:
@@ -155,7 +155,7 @@ class TableReplacer:
         """Lock the dataset and open an empty staging table with the columns of the source."""
         self.abort_expired()
         if self.locked(dataset_id):
-            raise StateError("A replace session is already in progress for this dataset.")
+            raise StateError("the dataset is being replaced already")
         source = f"{schema}.{table}"
         if not table_exists(self.spark, source):
             raise StateError("the source table does not exist")
@@ -174,7 +174,7 @@ class TableReplacer:
 
     def _require(self, session: ReplaceSession, target: int) -> None:
         if not allowed_transition(session.status, target):
-            raise StateError("This replace session can no longer take this step.")
+            raise StateError("the session is not in a state for this step")
 
     def append_chunk(self, session_id: str, paths: list[str] | DataFrame,
                      chunk: int | None = None) -> tuple[ImportResult, DataFrame]:
@@ -186,7 +186,7 @@ class TableReplacer:
         self._require(session, UPLOADING)
         staging = self._full(session, session.staging_table)
         if not table_exists(self.spark, staging):
-            raise StateError("The staging table for this replace session could not be found.")
+            raise StateError("the staging table of the session is missing")
         number = chunk if chunk is not None else session.chunks + 1
         source = self.spark.table(quoted(staging))
         key = table_properties(self.spark, staging).get(KEY_PROPERTY)
@@ -227,10 +227,10 @@ class TableReplacer:
         source = self._full(session, session.table_name)
         staging = self._full(session, session.staging_table)
         if not table_exists(self.spark, staging):
-            raise StateError("The staging table for this replace session could not be found.")
+            raise StateError("the staging table of the session is missing")
         old = check_identifier(staged_name(session.table_name, "old", session.id))
         if table_exists(self.spark, self._full(session, old)):
-            raise StateError("The old table name is already in use.")
+            raise StateError("the name for the old table is taken")
         table = self.spark.table(quoted(source))
         properties = {k: v for k, v in table_properties(self.spark, source).items() if k == KEY_PROPERTY}
         create_external(self.spark, self._full(session, old), session.source_path, table.schema, properties)
@@ -250,7 +250,7 @@ class TableReplacer:
         """Profiles of the old and the new content, per column, for the review before the push."""
         session = self.load(session_id)
         if session.status != COMMITTED:
-            raise StateError("This replace session must be committed before it is reviewed.")
+            raise StateError("only a committed session can be reviewed")
         return compare_profiles(self.spark.table(quoted(self._full(session, session.old_table))),
                                 self.spark.table(quoted(self._full(session, session.table_name))))
 
@@ -258,7 +258,7 @@ class TableReplacer:
         """Finalise: drop the old content and unlock. Index metadata of the section is void."""
         session = self.load(session_id)
         if session.status != COMMITTED or not session.old_table:
-            raise StateError("This replace session must be committed before pushing.")
+            raise StateError("only a committed session can be pushed")
         drop_table_if_exists(self.spark, self._full(session, session.old_table))
         delete_path(self.spark, session.source_path)
         at = self._now()
@@ -268,7 +268,7 @@ class TableReplacer:
         """Undo: a committed table points back to its old content, staged rows are dropped."""
         session = self.load(session_id)
         if not allowed_transition(session.status, ABORTED):
-            raise StateError("This replace session has already been finalized.")
+            raise StateError("the session is closed already")
         if session.old_table and table_exists(self.spark, self._full(session, session.old_table)):
             self._point(session, session.source_path)
             drop_table_if_exists(self.spark, self._full(session, session.old_table))

@@ -35,9 +35,9 @@ class IndexColumns:
 
 def check_limit(limit: int | None, maximum: int = MAX_ROWS_PER_PAGE) -> int:
     if limit is None:
-        raise RequestError("A limit must be provided for cursor paging.")
+        raise RequestError("a page needs a limit")
     if not 1 <= limit <= maximum:
-        raise RequestError(f"Limit must be between 1 and {maximum}.")
+        raise RequestError(f"the limit of a page lies between 1 and {maximum}")
     return limit
 
 
@@ -50,7 +50,7 @@ def time_slice(df: DataFrame, column: str, start=None, end=None) -> DataFrame:
     """Rows between two times, both ends included, either one optional."""
     low, high = _typed(df, column, start), _typed(df, column, end)
     if low is not None and high is not None and low > high:
-        raise RequestError("StartDate must be before EndDate.")
+        raise RequestError("the start of a slice lies after its end")
     kind = df.schema[column].dataType
     if low is not None:
         df = df.filter(F.col(column) >= as_literal(low, kind))
@@ -64,7 +64,7 @@ def id_slice(df: DataFrame, column: str | None, value) -> DataFrame:
     if value is None:
         return df
     if not column:
-        raise RequestError("This dataset does not have an indexed id column.")
+        raise RequestError("the table has no id column to slice by")
     return df.filter(F.col(column) == as_literal(_typed(df, column, value), df.schema[column].dataType))
 
 
@@ -76,7 +76,7 @@ def include_slice(df: DataFrame, index: IndexColumns, value=None, start=None, en
                   id_value=None, with_key: bool = False) -> DataFrame:
     """Rows with one include value; only id, time and include are read (and the key for paging)."""
     if not index.include:
-        raise RequestError("This dataset does not have an indexed include column.")
+        raise RequestError("the table has no include column to slice by")
     rows = slice_rows(df, index, start, end, id_value)
     if value is not None:
         kind = df.schema[index.include].dataType

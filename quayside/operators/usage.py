@@ -19,6 +19,8 @@ TOKEN_WINDOW_MINUTES = 60
 TOKEN_LIFETIME_HOURS = 12
 SESSION_LIFETIME_HOURS = 1
 LOG_ROWS = 500
+# Start of the key of a daily quota.
+PUBLIC_QUOTA_KEY = "notebook-public:"
 # Replace session states.
 STARTED, UPLOADING, COMMITTED, ABORTED, PUSHED = 0, 1, 2, 3, 4
 
@@ -94,7 +96,7 @@ def daily_quota(log: DataFrame, limit: int = PUBLIC_DAILY_BYTES) -> DataFrame:
         F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("requests"))
     return per_day.select(
         F.col("w.start").alias("day"),
-        F.concat(F.lit("notebook-public:"), F.date_format("w.start", "yyyyMMdd")).alias("quota_key"),
+        F.concat(F.lit(PUBLIC_QUOTA_KEY), F.date_format("w.start", "yyyyMMdd")).alias("quota_key"),
         "requests", "bytes", (F.col("bytes") >= limit).alias("exceeded"))
 
 

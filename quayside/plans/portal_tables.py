@@ -104,7 +104,8 @@ class Portal:
         return self.raw("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("label"))
 
     def visibilities(self) -> DataFrame:
-        return self.spark.createDataFrame(list(VISIBILITIES), "id int, label string")
+        rows = ", ".join(f"({i}, '{label}')" for i, label in VISIBILITIES)
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS v(id, label)")
 
     def devices(self) -> DataFrame:
         return self.raw("part").select(

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.functions.times import utc_zoneless
 from quayside.plans import replace as P
 from quayside.plans.portal_tables import Portal
 from quayside.plans.registry import query
@@ -32,7 +33,7 @@ def log_stream(portal: Portal) -> DataFrame:
 
 def _zoneless(df: DataFrame, *names: str) -> DataFrame:
     for name in names:
-        df = df.withColumn(name, F.col(name).cast("timestamp_ntz"))
+        df = df.withColumn(name, utc_zoneless(F.col(name)))
     return df
 
 

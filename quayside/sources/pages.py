@@ -30,5 +30,5 @@ def write_page_parquet(page: DataFrame, path: str, rows_per_group: int = ROW_GRO
     page.write.option("maxRecordsPerFile", max(1, rows_per_group)).parquet(path)
     size = written_bytes(page, path)
     if size > max_bytes:
-        raise RequestError("Notebook API response exceeded the configured size limit.")
+        raise RequestError("the page is larger than the size limit")
     return size

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quayside.errors import QuaysideError
 
@@ -56,11 +57,32 @@ MAX_PARTITIONS = 1_000_000
 _UNKNOWN_SIZE = 1 << 60
 
 
+# A lookup table of unknown size is broadcast up to this many rows.
+LOOKUP_ROWS = 50_000
+
+
+def source_bytes(df: DataFrame) -> int | None:
+    """Planned size of the sources of ``df``; None when Spark does not know one of them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(s >= _UNKNOWN_SIZE for s in sizes) else sum(sizes)
+
+
+def lookup_side(df: DataFrame) -> DataFrame:
+    """A lookup table for a join on few, hot keys.
+
+    When Spark knows its size, Spark decides. A table of unknown size (rows made on the driver) would
+    never be broadcast, and its few keys would gather the large side in a few tasks: it is counted,
+    and broadcast only if it is small.
+    """
+    if source_bytes(df) is not None or df.limit(LOOKUP_ROWS + 1).count() > LOOKUP_ROWS:
+        return df
+    return F.broadcast(df)
+
+
 def sized_partitions(df: DataFrame) -> int:
     """Partitions for a shuffle of all rows: by the size of the sources, never fewer than the
     session's own setting."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    size = sum(s for s in sizes if s < _UNKNOWN_SIZE)
+    size = source_bytes(df) or 0
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(configured, min(-(-size // PARTITION_BYTES), MAX_PARTITIONS))

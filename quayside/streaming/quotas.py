@@ -1,6 +1,6 @@
 """Quotas and attempt limits over a stream of log rows.
 
-Event time must be TIMESTAMP: ``log_stream`` casts a zoneless column. State lives in Spark's own
+Event time must be TIMESTAMP: ``log_stream`` turns a zoneless column into UTC instants. State lives in Spark's own
 windowed aggregations, is combined per task before the shuffle, and is bounded by the watermark.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from quayside.functions.times import utc_instant
 from quayside.operators.usage import (
     PUBLIC_DAILY_BYTES, TOKEN_BYTES, TOKEN_WINDOW_MINUTES, activity_slots, chain_slots)
 
@@ -24,7 +25,8 @@ def log_stream(spark: SparkSession, folder: str, schema: T.StructType, time: str
                files_per_batch: int = 1000) -> DataFrame:
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
               .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
-    return stream.withColumn(time, F.col(time).cast("timestamp"))
+    zoneless = isinstance(schema[time].dataType, T.TimestampNTZType)
+    return stream.withColumn(time, utc_instant(F.col(time))) if zoneless else stream
 
 
 def daily_quota_stream(log: DataFrame, limit: int = PUBLIC_DAILY_BYTES, delay: str = "1 hour",

@@ -104,3 +104,17 @@ def test_table_names(spark):
     sections = spark.createDataFrame([("donnees.Abc",), ("abc",), ("other",)], "table_name string")
     assert resolve_table(sections, "ABC").count() == 2 and resolve_table(sections, "donnees.abc").count() == 1
     assert split_name("DONNEES.x", "f") == ("DONNEES", "x") and split_name("a.b", "f") == ("f", "a.b")
+
+
+def test_lookup_side_is_counted_when_its_size_is_unknown(spark, portal, monkeypatch):
+    from quayside import storage
+
+    def hinted(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or \
+            "UnresolvedHint" in df._jdf.queryExecution().logical().toString()
+
+    made = spark.createDataFrame([(i, "x") for i in range(5)], "id int, label string")
+    assert storage.source_bytes(made) is None and hinted(storage.lookup_side(made))
+    assert storage.source_bytes(portal.energy_types()) is not None and not hinted(storage.lookup_side(portal.energy_types()))
+    monkeypatch.setattr(storage, "LOOKUP_ROWS", 3)
+    assert not hinted(storage.lookup_side(made))

@@ -23,7 +23,7 @@ def events(spark, folder):
 
 
 def test_request_errors(events):
-    with pytest.raises(RequestError, match="before"):
+    with pytest.raises(RequestError, match="after its end"):
         time_slice(events, "ts", "2024-02-01", "2024-01-01")
     with pytest.raises(RequestError, match="id column"):
         id_slice(events, None, "7")
