@@ -90,6 +90,11 @@ def replace_session_report(sessions: DataFrame, datasets: DataFrame, users: Data
         F.col("created_at").desc(), F.col("id").desc())
 
 
+def used_up(limit: int) -> Column:
+    """Whether the bytes reach a quota; a limit of 0 or less means there is none."""
+    return F.col("bytes") >= limit if limit > 0 else F.lit(False)
+
+
 def daily_quota(log: DataFrame, limit: int = PUBLIC_DAILY_BYTES) -> DataFrame:
     """Bytes served per UTC day, and whether the day's quota is used up."""
     per_day = log.groupBy(F.window("accessed_at", "1 day").alias("w")).agg(
@@ -97,7 +102,7 @@ def daily_quota(log: DataFrame, limit: int = PUBLIC_DAILY_BYTES) -> DataFrame:
     return per_day.select(
         F.col("w.start").alias("day"),
         F.concat(F.lit(PUBLIC_QUOTA_KEY), F.date_format("w.start", "yyyyMMdd")).alias("quota_key"),
-        "requests", "bytes", (F.col("bytes") >= limit).alias("exceeded"))
+        "requests", "bytes", used_up(limit).alias("exceeded"))
 
 
 def activity_slots(log: DataFrame, key: str, time: str, minutes: int, sums: Sequence[str] = ()) -> DataFrame:
@@ -138,7 +143,7 @@ def token_windows(log: DataFrame, limit: int = TOKEN_BYTES, minutes: int = TOKEN
     """Quota windows per token: every served request extends the window it falls into."""
     minutes = minutes if minutes > 0 else TOKEN_WINDOW_MINUTES
     return inactivity_windows(log, "token_id", "accessed_at", minutes, ["bytes"]).withColumn(
-        "exceeded", F.col("bytes") >= limit)
+        "exceeded", used_up(limit))
 
 
 def token_quota(log: DataFrame, now, limit: int = TOKEN_BYTES, minutes: int = TOKEN_WINDOW_MINUTES) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quayside.functions.times import utc_instant
 from quayside.operators.usage import (
-    PUBLIC_DAILY_BYTES, TOKEN_BYTES, TOKEN_WINDOW_MINUTES, activity_slots, chain_slots)
+    PUBLIC_DAILY_BYTES, TOKEN_BYTES, TOKEN_WINDOW_MINUTES, activity_slots, chain_slots, used_up)
 
 # Combine sessions inside each task before the shuffle, so that a hot key costs little.
 MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
@@ -35,7 +35,7 @@ def daily_quota_stream(log: DataFrame, limit: int = PUBLIC_DAILY_BYTES, delay: s
     return (
         log.withWatermark(time, delay).groupBy(F.window(time, "1 day").alias("w"))
         .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("requests"))
-        .select(F.col("w.start").alias("day"), "requests", "bytes", (F.col("bytes") >= limit).alias("exceeded"))
+        .select(F.col("w.start").alias("day"), "requests", "bytes", used_up(limit).alias("exceeded"))
     )
 
 
@@ -53,7 +53,7 @@ def token_quota_stream(log: DataFrame, limit: int = TOKEN_BYTES, minutes: int =
                        delay: str = "10 minutes", time: str = "accessed_at") -> DataFrame:
     """Quota windows per token, each one emitted when it is closed (output mode ``append``)."""
     return _session_stream(log, "token_id", time, minutes, delay, ["bytes"]).withColumn(
-        "exceeded", F.col("bytes") >= limit)
+        "exceeded", used_up(limit))
 
 
 def attempt_limit_stream(attempts: DataFrame, key: str, time: str, limit: int, minutes: int,
@@ -78,7 +78,7 @@ def live_token_windows(spark: SparkSession, path: str, limit: int = TOKEN_BYTES,
                        minutes: int = TOKEN_WINDOW_MINUTES) -> DataFrame:
     """Quota windows per token from the updates written so far, open ones included."""
     slots = newest(spark, path, ["token_id", "slot"])
-    return chain_slots(slots, "token_id", minutes, ["bytes"]).withColumn("exceeded", F.col("bytes") >= limit)
+    return chain_slots(slots, "token_id", minutes, ["bytes"]).withColumn("exceeded", used_up(limit))
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -118,3 +118,8 @@ def test_lookup_side_is_counted_when_its_size_is_unknown(spark, portal, monkeypa
     assert storage.source_bytes(portal.energy_types()) is not None and not hinted(storage.lookup_side(portal.energy_types()))
     monkeypatch.setattr(storage, "LOOKUP_ROWS", 3)
     assert not hinted(storage.lookup_side(made))
+
+
+def test_no_limit_is_never_used_up(portal):
+    assert not any(r["exceeded"] for r in U.daily_quota(portal.access_log(), limit=0).collect())
+    assert all(r["exceeded"] for r in U.daily_quota(portal.access_log(), limit=1).collect())

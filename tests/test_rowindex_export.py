@@ -9,7 +9,8 @@ import json
 from pyspark.sql import functions as F
 
 from quayside.operators.rowindex import add_surrogate_key, row_index, row_index_by_location, surrogate_key_name
-from quayside.sources.export import clamp_rows, export_csv_parts, warnings_report
+from quayside.sources.export import clamp_rows, export_csv_parts, export_table, warnings_report
+from quayside.sources.tables import create_external
 
 
 def test_hot_key_is_spread(spark):
@@ -74,3 +75,14 @@ def test_limits(spark):
     warnings = spark.range(150).select(F.col("id").alias("row_index"), F.lit("c").alias("column_name"))
     shown, cut = warnings_report(warnings)
     assert shown.count() == 100 and cut
+
+
+def test_table_export_in_stored_order(spark, tmp_path):
+    source, path = str(tmp_path / "source"), str(tmp_path / "out")
+    spark.range(0, 40, 1, 4).write.parquet(source)
+    spark.sql("CREATE SCHEMA IF NOT EXISTS exports")
+    create_external(spark, "exports.t", source, spark.read.parquet(source).schema)
+    manifest = export_table(spark, "exports.t", path, 15)
+    assert (manifest["totalRowCount"], manifest["table"]) == (40, "exports.t")
+    bodies = [open(f).read().split()[1:] for f in parts_of(path)]
+    assert [len(b) for b in bodies] == [15, 15, 10] and sorted(int(v) for b in bodies for v in b) == list(range(40))
