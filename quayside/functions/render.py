@@ -9,16 +9,20 @@ from pyspark.sql import types as T
 from quayside.functions.times import utc_zoneless
 
 
+def _without_point_zero(text: Column) -> Column:
+    return F.when(text.endswith(".0"), F.left(text, F.length(text) - 2)).otherwise(text)
+
+
 def _float_text(value: Column, single: bool) -> Column:
     """Shortest text without a trailing ``.0``; exponent form outside 1e-5 .. 1e15 (1e7 if single)."""
     text = value.cast("string")
     size = F.abs(value)
     upper = F.lit(1e7 if single else 1e15)
     inside = (size < upper) & (size >= F.lit(1e-5))
-    plain = F.regexp_replace(text, r"\.0$", "")
+    plain = _without_point_zero(text)
     # The engine switches to an exponent earlier; expand it exactly through a wide decimal.
     expanded = F.regexp_replace(text.try_cast("decimal(38,22)").cast("string"), r"\.?0+$", "")
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    mantissa = _without_point_zero(F.substring_index(text, "E", 1))
     exponent = F.substring_index(text, "E", -1).try_cast("int")
     signed = F.concat(
         mantissa, F.lit("E"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
