@@ -13,13 +13,13 @@ of the input are ignored.
 from __future__ import annotations
 
 import json
-import os
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quayside.llm.common import Memo, as_bytes, map_texts
+from quayside.llm.pretokens import PreTokens, tokenizer_at
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -27,19 +27,6 @@ LIMIT = 2048
 MEMO_CHUNKS = 400_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
-_loaded: dict = {}
-
-
-def tokenizer_at(path: str):
-    """One tokenizer per worker and file."""
-    if path not in _loaded:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
-
-
 def proved_whole(path: str) -> frozenset[str]:
     """Vocabulary strings, as pre-tokens, that the merges turn into exactly their own token."""
     model = tokenizer_at(path).model
@@ -61,22 +48,16 @@ class ChunkCounter:
     """Tokens of one chunk: whole pre-tokens are looked up, the rest is merged."""
 
     def __init__(self, path: str, whole: frozenset[str]):
-        self.tokenizer, self.whole = tokenizer_at(path), whole
-        with open(path, encoding="utf-8") as file:
-            self.special = [x["content"] for x in json.load(file)["added_tokens"]]
-        self.normalise = self.tokenizer.normalizer.normalize_str
-        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.merge = self.tokenizer.model.tokenize
+        tokenizer = tokenizer_at(path)
+        self.encode, self.pre_tokens = tokenizer.encode, PreTokens(path)
+        merge = tokenizer.model.tokenize
+        self.count = Memo(lambda piece: 1 if piece in whole else len(merge(piece)), MEMO_CHUNKS).__getitem__
 
     def __call__(self, chunk: bytes) -> int:
-        text = chunk.decode("utf-8", "replace")
-        if any(x in text for x in self.special):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if text.isascii() and text.isalpha():
-            pieces = (text.lower(),)
-        else:
-            pieces = [x for x, _ in self.split(self.normalise(text))]
-        return sum(1 if x in self.whole else len(self.merge(x)) for x in pieces)
+        pieces = self.pre_tokens(chunk)
+        if pieces is None:
+            return len(self.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        return sum(map(self.count, pieces))
 
 
 _counters: dict = {}
