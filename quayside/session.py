@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -26,3 +30,25 @@ def build_session(app: str = "quayside", master: str | None = None, **conf: str)
     for name, value in settings.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions of the package that run in workers are found by module name there. Workers see the package by
+    themselves only where it is installed or on their PYTHONPATH; a notebook or a script that extends ``sys.path``
+    changes the driver alone.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quayside-package-")) / "quayside.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
