@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quayside.session import ship_package
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Texts handed to one Python call; long texts make smaller calls.
 CALL_BYTES = 8 << 20
@@ -57,6 +59,12 @@ def calls(batch: pa.RecordBatch, name: str = "text") -> Iterator[pa.RecordBatch]
         start = stop
 
 
+def in_workers(rows: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with this package on the workers' path."""
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 def map_texts(rows: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str | T.StructType,
               text: str = "text") -> DataFrame:
     """``mapInArrow`` over cuts of bounded size. ``make`` returns the columns of one cut, by name."""
@@ -68,7 +76,7 @@ def map_texts(rows: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict] |
             for cut in calls(batch, text):
                 yield to_batch(make(cut), target)
 
-    return rows.mapInArrow(run, kind)
+    return in_workers(rows, run, kind)
 
 
 def to_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:

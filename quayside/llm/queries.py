@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm.common import read_table
 from quayside.llm.compression_bands import compression_bands
+from quayside.llm.simhash_bytes import near_duplicates
+from quayside.llm.temporal_lists import ORACLE as TEMPORAL_LISTS_SQL
+from quayside.llm.temporal_lists import dated_captures, dated_entries, judge_captures
 from quayside.llm.token_counts import token_counts
+from quayside.llm.zip_warc import round_trip
 
 
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +23,22 @@ def op4_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return judge_captures(dated_captures(pages), dated_entries(read_table(spark, sf_dir, "events"), pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_compression_bands, op4_whole_token_counts)
+    f.__name__: f for f in (op2_compression_bands, op4_whole_token_counts, op6_simhash_bytes, op8_zip_warc,
+        op10_temporal_lists)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_temporal_lists": TEMPORAL_LISTS_SQL}
