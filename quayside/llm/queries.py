@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm.common import read_table
 from quayside.llm.compression_bands import compression_bands
+from quayside.llm.curve_packing import pack_along_curve
 from quayside.llm.simhash_bytes import near_duplicates
 from quayside.llm.temporal_lists import ORACLE as TEMPORAL_LISTS_SQL
 from quayside.llm.temporal_lists import dated_captures, dated_entries, judge_captures
@@ -27,6 +28,10 @@ def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_along_curve(read_table(spark, sf_dir, "documents"))
+
+
 def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -38,7 +43,7 @@ def op10_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_compression_bands, op4_whole_token_counts, op6_simhash_bytes, op8_zip_warc,
+    f.__name__: f for f in (op2_compression_bands, op4_whole_token_counts, op6_simhash_bytes, op7_curve_packing, op8_zip_warc,
         op10_temporal_lists)
 }
 ORACLES: dict[str, str] = {"op10_temporal_lists": TEMPORAL_LISTS_SQL}
