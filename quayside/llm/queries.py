@@ -10,6 +10,7 @@ from quayside.llm.common import read_table
 from quayside.llm.compression_bands import compression_bands
 from quayside.llm.curve_packing import pack_along_curve
 from quayside.llm.simhash_bytes import near_duplicates
+from quayside.llm.string_kernel import toxicity
 from quayside.llm.temporal_lists import ORACLE as TEMPORAL_LISTS_SQL
 from quayside.llm.temporal_lists import dated_captures, dated_entries, judge_captures
 from quayside.llm.token_counts import token_counts
@@ -24,6 +25,10 @@ def op4_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_compression_bands, op4_whole_token_counts, op6_simhash_bytes, op7_curve_packing, op8_zip_warc,
+    f.__name__: f for f in (op2_compression_bands, op4_whole_token_counts, op5_string_kernel, op6_simhash_bytes, op7_curve_packing, op8_zip_warc,
         op10_temporal_lists)
 }
 ORACLES: dict[str, str] = {"op10_temporal_lists": TEMPORAL_LISTS_SQL}
