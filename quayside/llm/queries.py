@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quayside.llm.common import read_table
 from quayside.llm.compression_bands import compression_bands
 from quayside.llm.curve_packing import pack_along_curve
+from quayside.llm.ordinal_quality import ordinal_quality, ratings_of
 from quayside.llm.simhash_bytes import near_duplicates
 from quayside.llm.string_kernel import toxicity
 from quayside.llm.temporal_lists import ORACLE as TEMPORAL_LISTS_SQL
@@ -17,6 +18,10 @@ from quayside.llm.token_counts import token_counts
 from quayside.llm.zip_warc import round_trip
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality(read_table(spark, sf_dir, "documents"), ratings_of(read_table(spark, sf_dir, "labels")))
+
+
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(read_table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,8 @@ def op10_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_compression_bands, op4_whole_token_counts, op5_string_kernel, op6_simhash_bytes, op7_curve_packing, op8_zip_warc,
+    f.__name__: f for f in (
+        op1_ordinal_quality, op2_compression_bands, op4_whole_token_counts, op5_string_kernel, op6_simhash_bytes, op7_curve_packing, op8_zip_warc,
         op10_temporal_lists)
 }
 ORACLES: dict[str, str] = {"op10_temporal_lists": TEMPORAL_LISTS_SQL}
