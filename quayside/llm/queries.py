@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quayside.llm.common import read_table
 from quayside.llm.compression_bands import compression_bands
 from quayside.llm.curve_packing import pack_along_curve
+from quayside.llm.latent_decontamination import contaminated
 from quayside.llm.ordinal_quality import ordinal_quality, ratings_of
 from quayside.llm.simhash_bytes import near_duplicates
 from quayside.llm.string_kernel import toxicity
@@ -47,6 +48,10 @@ def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return judge_captures(dated_captures(pages), dated_entries(read_table(spark, sf_dir, "events"), pages))
@@ -54,7 +59,7 @@ def op10_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ordinal_quality, op2_compression_bands, op4_whole_token_counts, op5_string_kernel, op6_simhash_bytes, op7_curve_packing, op8_zip_warc,
+        op1_ordinal_quality, op2_compression_bands, op4_whole_token_counts, op5_string_kernel, op6_simhash_bytes, op7_curve_packing, op8_zip_warc, op9_latent_decontamination,
         op10_temporal_lists)
 }
 ORACLES: dict[str, str] = {"op10_temporal_lists": TEMPORAL_LISTS_SQL}
