@@ -79,6 +79,16 @@ def map_texts(rows: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict] |
     return in_workers(rows, run, kind)
 
 
+def filter_texts(rows: DataFrame, keep: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
+    """Rows whose text passes ``keep``, with all their columns untouched, whatever their names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in calls(batch, text):
+                yield cut.filter(pa.array(keep(as_bytes(cut.column(text))), pa.bool_()))
+
+    return in_workers(rows, run, rows.schema)
+
+
 def to_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
     arrays = [x.cast(f.type) if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in target]
     return pa.RecordBatch.from_arrays(arrays, schema=target)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from quayside.llm.common import as_bytes, map_texts
+from quayside.llm.common import as_bytes, filter_texts, map_texts
 
 # (UTF-8 bytes from, lowest ratio, highest ratio) of compressed to raw size.
 BANDS = (
@@ -89,20 +89,28 @@ def judge(text: bytes, compress, bands=BANDS, chunk: int = CHUNK_BYTES) -> tuple
     return ratio, len(starts), low, high, verdict
 
 
-def compression_bands(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands=BANDS,
-                      chunk_bytes: int = CHUNK_BYTES, level: int = LEVEL) -> DataFrame:
+def verdicts(texts: list[bytes], bands=BANDS, chunk_bytes: int = CHUNK_BYTES, level: int = LEVEL) -> list[tuple]:
+    """The columns of SCHEMA after the id, a row per text."""
+    compress = zstandard.ZstdCompressor(level=level, write_content_size=False).compress
+    rows = []
+    for text in texts:
+        base = base_counts(text)
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        verdict = judge(text, compress, bands, chunk_bytes)
+        rows.append((*base, failed, len(text), *verdict, not failed and verdict[4] == "pass"))
+    return rows
+
+
+def compression_bands(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row per document: the base counts, its ratios and whether it is kept. One pass, no shuffle."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def make(batch: pa.RecordBatch) -> dict:
-        compress = zstandard.ZstdCompressor(level=level, write_content_size=False).compress
-        rows = []
-        for text in as_bytes(batch.column("text")):
-            base = base_counts(text)
-            failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-            judged = judge(text, compress, bands, chunk_bytes)
-            rows.append((*base, failed, len(text), *judged, not failed and judged[4] == "pass"))
-        columns = list(zip(*rows))
-        names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
-        return {"doc_id": batch.column("doc_id")} | dict(zip(names, columns))
+        return {"doc_id": batch.column("doc_id")} | dict(zip(names[1:], zip(*verdicts(as_bytes(batch.column("text")), **limits))))
 
     return map_texts(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), make, SCHEMA)
+
+
+def within_bands(docs: DataFrame, *, text_col: str = "text", **limits) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    return filter_texts(docs, lambda texts: [x[-1] for x in verdicts(texts, **limits)], text_col)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import Memo, as_bytes, fold, map_texts
+from quayside.llm.common import Memo, as_bytes, filter_texts, fold, map_texts
 from quayside.storage import materialise
 
 BUCKETS = 1 << 16
@@ -138,34 +138,42 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3) -> tuple[Model | N
 _memo: dict = {}
 
 
-def ordinal_quality(docs: DataFrame, ratings: DataFrame, *, grades: int = 3, least_grade: int = 1, select: float = SELECT,
-                    keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, expected_grade, tail_probability, kept`` of every document (and the columns of ``keep``): the tail is
-    ``P(grade >= least_grade)``, and documents with a tail of ``select`` or more are kept."""
-    keep = keep or []
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model, shares = fit(given, ratings, grades)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *[F.col(x) for x in keep if x not in ("doc_id", "text")])
+def scorer(docs: DataFrame, ratings: DataFrame, grades: int = 3):
+    """A function from texts to ``P(grade > k)``, a row per text and a column per cut, for use in tasks."""
+    model, shares = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratings, grades)
     shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    kinds = dict(rows.dtypes)
-    kept_columns = [x for x in rows.columns if x in keep or x == "doc_id"]
-    schema = ", ".join(f"`{x}` {kinds[x]}" for x in kept_columns) + ", expected_grade double, tail_probability double, kept boolean"
+
+    def tails(texts: list[bytes]) -> np.ndarray:
+        own = shared.value
+        if own is None:
+            return np.repeat(shares[None, :], len(texts), axis=0)
+        if token not in _memo:
+            _memo.clear()
+            weights = own.weights
+            _memo[token] = Memo(lambda w: float(weights[list(word_features(w))].sum()), MEMO_WORDS)
+        return own.tails(np.array([own.value(x, _memo[token].__getitem__) for x in texts]))
+
+    return tails
+
+
+def ordinal_quality(docs: DataFrame, ratings: DataFrame, *, grades: int = 3, least_grade: int = 1, select: float = SELECT) -> DataFrame:
+    """``doc_id, expected_grade, tail_probability, kept`` of every document: the tail is ``P(grade >= least_grade)``,
+    and documents with a tail of ``select`` or more are kept."""
+    tails = scorer(docs, ratings, grades)
 
     def make(batch: pa.RecordBatch) -> dict:
-        texts = as_bytes(batch.column("text"))
-        if model_of := shared.value:
-            if token not in _memo:
-                _memo.clear()
-                weights = model_of.weights
-                _memo[token] = Memo(lambda w: float(weights[list(word_features(w))].sum()), MEMO_WORDS)
-            tails = model_of.tails(np.array([model_of.value(x, _memo[token].__getitem__) for x in texts]))
-        else:
-            tails = np.repeat(shares[None, :], len(texts), axis=0)
-        tail = tails[:, least_grade - 1]
-        return {x: batch.column(x) for x in kept_columns} | {
-            "expected_grade": tails.sum(axis=1), "tail_probability": tail, "kept": tail >= select}
-
-    return map_texts(rows, make, schema)
+        found = tails(as_bytes(batch.column("text")))
+        tail = found[:, least_grade - 1]
+        return {"doc_id": batch.column("doc_id"), "expected_grade": found.sum(axis=1), "tail_probability": tail, "kept": tail >= select}
+
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make,
+                     "doc_id long, expected_grade double, tail_probability double, kept boolean")
+
+
+def of_quality(docs: DataFrame, ratings: DataFrame, *, grades: int = 3, least_grade: int = 1, select: float = SELECT) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    tails = scorer(docs, ratings, grades)
+    return filter_texts(docs, lambda texts: (tails(texts)[:, least_grade - 1] >= select).tolist())
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:
