@@ -94,16 +94,26 @@ def to_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=target)
 
 
+_codecs: dict = {}
+
+
 def pack(values: np.ndarray, level: int = 1) -> bytes:
-    """Unsigned integers as compressed byte planes: planes that hold only zeros cost nothing."""
-    data = np.ascontiguousarray(values, dtype="<u8")
-    planes = data.view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(planes).tobytes())
+    """Unsigned integers as compressed byte planes, as many as the largest value needs; the first byte is their number."""
+    if level not in _codecs:
+        _codecs[level] = zstandard.ZstdCompressor(level=level)
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    data = np.ascontiguousarray(values, dtype="<u4" if width <= 4 else "<u8")
+    planes = data.view(np.uint8).reshape(len(data), -1)[:, :width].T
+    return bytes([width]) + _codecs[level].compress(np.ascontiguousarray(planes))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8) if data else np.empty(0, np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
+    if "d" not in _codecs:
+        _codecs["d"] = zstandard.ZstdDecompressor()
+    planes = np.frombuffer(_codecs["d"].decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    whole = np.zeros((planes.shape[1], 8), np.uint8)
+    whole[:, : data[0]] = planes.T
+    return whole.view("<u8").ravel()
 
 
 class Memo(dict):

@@ -31,7 +31,7 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
 END_ID = 2
 BUCKETS, DIMENSIONS, CURVE_BITS = 1024, 3, 16
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS, MEMO_PIECES = 500_000, 1_000_000
 
 
 class ChunkIds:
@@ -40,7 +40,7 @@ class ChunkIds:
     def __init__(self, path: str):
         tokenizer = tokenizer_at(path)
         self.encode, self.pre_tokens, merge = tokenizer.encode, PreTokens(path), tokenizer.model.tokenize
-        self.ids = Memo(lambda piece: np.array([x.id for x in merge(piece)], "<u4").tobytes(), MEMO_CHUNKS).__getitem__
+        self.ids = Memo(lambda piece: np.array([x.id for x in merge(piece)], "<u4").tobytes(), MEMO_PIECES).__getitem__
 
     def __call__(self, chunk: bytes) -> bytes:
         pieces = self.pre_tokens(chunk)

@@ -23,8 +23,8 @@ from quayside.llm.pretokens import PreTokens, tokenizer_at
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-# Distinct chunks remembered by one Python worker.
-MEMO_CHUNKS = 400_000
+# Distinct chunks and pre-tokens remembered by one Python worker.
+MEMO_CHUNKS, MEMO_PIECES = 500_000, 1_000_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 def proved_whole(path: str) -> frozenset[str]:
@@ -51,7 +51,7 @@ class ChunkCounter:
         tokenizer = tokenizer_at(path)
         self.encode, self.pre_tokens = tokenizer.encode, PreTokens(path)
         merge = tokenizer.model.tokenize
-        self.count = Memo(lambda piece: 1 if piece in whole else len(merge(piece)), MEMO_CHUNKS).__getitem__
+        self.count = Memo(lambda piece: 1 if piece in whole else len(merge(piece)), MEMO_PIECES).__getitem__
 
     def __call__(self, chunk: bytes) -> int:
         pieces = self.pre_tokens(chunk)
