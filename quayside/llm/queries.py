@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quayside.llm.common import read_table
 from quayside.llm.compression_bands import compression_bands
 from quayside.llm.curve_packing import pack_along_curve
+from quayside.llm.katz import katz_scores
 from quayside.llm.latent_decontamination import contaminated
 from quayside.llm.ordinal_quality import ordinal_quality, ratings_of
 from quayside.llm.simhash_bytes import near_duplicates
@@ -27,6 +28,10 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(read_table(spark, sf_dir, "documents"))
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op4_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ordinal_quality, op2_compression_bands, op4_whole_token_counts, op5_string_kernel, op6_simhash_bytes, op7_curve_packing, op8_zip_warc, op9_latent_decontamination,
+        op1_ordinal_quality, op2_compression_bands, op3_katz_backoff, op4_whole_token_counts, op5_string_kernel, op6_simhash_bytes, op7_curve_packing, op8_zip_warc, op9_latent_decontamination,
         op10_temporal_lists)
 }
 ORACLES: dict[str, str] = {"op10_temporal_lists": TEMPORAL_LISTS_SQL}
