@@ -101,13 +101,17 @@ def pack(values: np.ndarray, level: int = 1) -> bytes:
     """Unsigned integers as compressed byte planes, as many as the largest value needs; the first byte is their number."""
     if level not in _codecs:
         _codecs[level] = zstandard.ZstdCompressor(level=level)
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    if not len(values):
+        return b""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
     data = np.ascontiguousarray(values, dtype="<u4" if width <= 4 else "<u8")
     planes = data.view(np.uint8).reshape(len(data), -1)[:, :width].T
     return bytes([width]) + _codecs[level].compress(np.ascontiguousarray(planes))
 
 
 def unpack(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.uint64)
     if "d" not in _codecs:
         _codecs["d"] = zstandard.ZstdDecompressor()
     planes = np.frombuffer(_codecs["d"].decompress(data[1:]), np.uint8).reshape(data[0], -1)
