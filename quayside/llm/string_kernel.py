@@ -1,8 +1,8 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nyström landmarks.
 
 Two strings are alike by the subsequences of three characters they share, gaps allowed: an occurrence weighs
-``DECAY ** gaps`` (Lodhi et al. 2002), the ends of a string count as characters, and the kernel is normed and raised
-to a power. Gapped, stretched and inflected insults stay close to their landmark; punctuation inside a string is
+``DECAY ** gaps`` (Lodhi et al. 2002), the ends of a string count as characters, and the kernel is normed by the
+weights of all occurrences and raised to a power. Gapped, stretched and inflected insults stay close to their landmark; punctuation inside a string is
 taken out, and runs of single letters are read as one string as well.
 
 Training: labelled sentences (each distinct one once) of a bounded sample of labelled documents give, per string, the
