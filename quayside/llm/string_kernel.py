@@ -6,7 +6,8 @@ weights of all occurrences and raised to a power. Gapped, stretched and inflecte
 taken out, and runs of single letters are read as one string as well.
 
 Training: labelled sentences (each distinct one once) of a bounded sample of labelled documents give, per string, the
-toxic and clean sentences that hold it. Strings that are significantly toxic are positive examples and, with frequent
+toxic and clean sentences that hold it. Strings that are significantly toxic, themselves or by their stem, are
+positive examples and, with frequent
 and confusable clean strings, landmarks; the SVM is fitted in the Nyström space, negatives are mined once more over
 all strings of the sample, and a logistic curve over a document's two best strings gives the score.
 
@@ -39,9 +40,12 @@ FOLDS, HELD_FOLD, THRESHOLD = 3, 1, 0.7
 # Documented bounds of the training sample: labelled documents of each kind, strings, landmarks.
 TOXIC_DOCS, CLEAN_DOCS = 4096, 8192
 POSITIVES, NEGATIVES = 2000, 15000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 96
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 48
 SIGNIFICANT, LIFT = 30.0, 2.5
-MEMO_STRINGS = 400_000
+STEMS = (4, 5, 6)
+MEMO_STRINGS = 300_000
+# Text of which the strings are held at once.
+PART_BYTES = 1 << 20
 NOTHING = -2.0
 _SENTENCE = re.compile(r"[.!?\n]+")
 _INSIDE = re.compile(r"[\W_]+")
@@ -122,6 +126,18 @@ def landmark_table(landmarks: list[str]) -> np.ndarray:
     return table
 
 
+def varied(strings: list[str], most: int, apart: float = 0.5, looked_at: int = 600) -> list[str]:
+    """The first strings that are not too alike to an earlier choice."""
+    listed = [*dict.fromkeys(x[:LONGEST] for x in strings[:looked_at])]
+    chosen: list[int] = []
+    if listed:
+        alike = kernel(listed, landmark_table(listed))
+        for i in range(len(listed)):
+            if len(chosen) < most and (not chosen or alike[i, chosen].max() < apart):
+                chosen.append(i)
+    return [listed[i] for i in chosen]
+
+
 def svm(features: np.ndarray, sign: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Squared-hinge SVM by Adam over all rows."""
     data = np.c_[features, np.ones(len(features))]
@@ -139,9 +155,9 @@ def svm(features: np.ndarray, sign: np.ndarray, weight: np.ndarray, rounds: int
 
 def fit_strings(positive: list[tuple[str, float]], negative: list[tuple[str, float]], hard: list[str]) -> Model:
     """SVM over strings with weights, in the Nyström space of landmarks taken from both kinds."""
-    clean = [x for x, _ in negative]
-    landmarks = [*dict.fromkeys(x[:LONGEST] for x in [x for x, _ in positive[:TOXIC_LANDMARKS]]
-                                + hard[:CLEAN_LANDMARKS] + clean[: CLEAN_LANDMARKS if not hard else CLEAN_LANDMARKS // 2])]
+    landmarks = [*dict.fromkeys(
+        varied([x for x, _ in positive], TOXIC_LANDMARKS) + varied(hard, CLEAN_LANDMARKS // 2)
+        + varied([x for x, _ in negative], CLEAN_LANDMARKS // 2 if hard else CLEAN_LANDMARKS))]
     table = landmark_table(landmarks)
     values, vectors = np.linalg.eigh(kernel(landmarks, table) + 1e-3 * np.eye(len(landmarks)))
     root = (vectors / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
@@ -186,6 +202,12 @@ def best_two(texts: list[bytes], model: Model, memo: dict) -> np.ndarray:
     return np.maximum(out, NOTHING)
 
 
+def units(sentence: str) -> set[str]:
+    """What is counted of a sentence: its strings, their stems (marked by a star), and the sentence itself."""
+    strings = set(strings_of(sentence.split()))
+    return strings | {x[:n] + "*" for n in STEMS for x in strings if len(x) > n} | {""}
+
+
 def training_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, toxic``: the bounded sample, by hash order, without the held-out fold."""
     marked = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), FOLDS) != HELD_FOLD).groupBy(
@@ -212,7 +234,7 @@ def sentence_counts(sample: DataFrame) -> DataFrame:
             for cut in calls(batch, "sentence"):
                 seen: Counter = Counter()
                 for text, t in zip(cut.column("sentence").to_pylist(), cut.column("toxic").to_pylist()):
-                    seen.update((x, t) for x in {*strings_of(text.split()), ""})
+                    seen.update((x, t) for x in units(text))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int32()),
                                                   pa.array(list(seen.values()), pa.int64())], ["string", "toxic", "n"])
 
@@ -237,10 +259,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     lift = F.log((n1 + 0.5) / (t1 + 1)) - F.log((n0 + 0.5) / (t0 + 1))
     scored = counts.where("string <> ''").select("string", "n1", "n0", ratio.alias("ratio"), lift.alias("lift"))
     toxic = (F.col("ratio") > SIGNIFICANT) & (F.col("lift") > LIFT)
-    positive = [(x["string"], x["n1"]) for x in scored.where(toxic).orderBy(F.desc("ratio"), "string").limit(POSITIVES).collect()]
+    # A stem can be significant where none of its many inflected forms is.
+    of_stem = scored.where(toxic & F.col("string").endswith("*")).orderBy(F.desc("ratio"), "string").limit(POSITIVES)
+    stems = [x["string"] for x in of_stem.collect()]
+    words = scored.where(~F.col("string").endswith("*"))
+    inflected = F.lit(False)
+    for n in STEMS:
+        inflected = inflected | F.concat(F.substring("string", 1, n), F.lit("*")).isin(stems)
+    chosen = toxic | inflected & (F.col("n1") > 0) & (F.col("n0") == 0)
+    positive = [(x["string"], x["n1"]) for x in words.where(chosen).orderBy(F.desc("ratio"), "string").limit(POSITIVES).collect()]
     if not positive:
         return None
-    clean = scored.where((F.col("ratio") <= SIGNIFICANT / 3) | (F.col("lift") <= 0.5)).where("n0 > 0")
+    clean = words.where((F.col("ratio") <= SIGNIFICANT / 3) | (F.col("lift") <= 0.5)).where(~inflected & (F.col("n0") > 0))
     negative = [(x["string"], x["n0"]) for x in clean.orderBy(F.desc("n0"), "string").limit(NEGATIVES).collect()]
     rare = [(x["string"], x["n0"]) for x in clean.orderBy(F.xxhash64("string"), "string").limit(NEGATIVES).collect()]
     negative = list(dict([*negative, *rare]).items())
@@ -269,7 +299,10 @@ def map_best(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         if token not in _memo:
             _memo.clear()
             _memo[token] = {}
-        best = best_two(as_bytes(batch.column("text")), shared.value, _memo[token])
+        texts = as_bytes(batch.column("text"))
+        edges = np.flatnonzero(np.diff(np.cumsum([len(x) for x in texts]) // PART_BYTES)) + 1
+        parts = [texts[a:b] for a, b in zip([0, *edges], [*edges, len(texts)])]
+        best = np.concatenate([best_two(x, shared.value, _memo[token]) for x in parts])
         return {x: batch.column(x) for x in keep} | {"best": best[:, 0], "next": best[:, 1]}
 
     return map_texts(docs, make, f"{fields}, best double, next double")
