@@ -9,6 +9,7 @@ import regex
 
 # The pre-token pattern of the vocabulary file, and the byte alphabet of byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = regex.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 _loaded: dict = {}
@@ -49,10 +50,15 @@ class PreTokens:
 
     def __call__(self, chunk: bytes) -> list[str] | None:
         text = chunk.decode("utf-8", "replace")
-        if "<" in text and any(x in text for x in self.special):
-            return None
-        if self.find and text.isprintable() and max(text) < "ɐ" and "İ" not in text:
-            pieces = self.find(text.lower())
+        if self.find and _LATIN(text) and text.isprintable():
+            if text.isalpha():
+                pieces = [text.lower()]
+            elif "<" in text and any(x in text for x in self.special):
+                return None
+            else:
+                pieces = self.find(text.lower())
             return pieces if text.isascii() else [
                 x if x.isascii() else x.encode().decode("latin-1").translate(self.alphabet) for x in pieces]
+        if any(x in text for x in self.special):
+            return None
         return [x for x, _ in self.split(self.normalise(text))]
