@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from quayside import types as L
 from quayside.functions.parsing import FIT_BITS, fit_mask, trimmed
-from quayside.sources.tabular import as_text, head_rows
-
-DEFAULT_SAMPLE = 2_000
+from quayside.sources.tabular import as_text, data_columns, head_rows, read_tabular
 
 # Precedence of the inferred types; text is left when none fits.
 PRECEDENCE = (L.BIT, L.DATE_TIME, L.INT, L.BIG_INT, L.DECIMAL, L.FLOAT)
@@ -72,12 +70,12 @@ def inference_report(df: DataFrame, columns: Sequence[str] | None = None,
         F.when(logical == L.TEXT, text_length(F.col("max_length"))).alias("max_length"))
 
 
-def infer_columns(df: DataFrame, columns: Sequence[str] | None = None, sample: int | None = DEFAULT_SAMPLE,
+def infer_columns(df: DataFrame, columns: Sequence[str] | None = None, sample: int | None = None,
                   order: Sequence[str] = (), currency: str = "¤") -> list[L.ColumnDef]:
-    """Column definitions of text rows; ``sample=None`` tests every row.
+    """Column definitions of text rows, from all of them or, if asked for, from a ``sample`` of first rows.
 
-    Taking the first rows of an already staged input sorts all of it; ``infer_files`` samples the
-    files themselves instead.
+    A sample is a guess: later cells that do not fit become rejects. Taking the first rows of an already staged
+    input sorts all of it; ``infer_files`` samples the files themselves instead.
     """
     columns = list(columns or [c for c in df.columns if c not in order])
     report = inference_report(sample_rows(df, sample, order), columns, currency)
@@ -85,10 +83,13 @@ def infer_columns(df: DataFrame, columns: Sequence[str] | None = None, sample: i
     return [L.ColumnDef(r["column_name"], r["logical_type"], r["max_length"]) for r in rows]
 
 
-def infer_files(spark: SparkSession, paths: Sequence[str], sample: int = DEFAULT_SAMPLE,
+def infer_files(spark: SparkSession, paths: Sequence[str], sample: int | None = None,
                 currency: str = "¤") -> list[L.ColumnDef]:
-    """Column definitions from the first rows of the files, without reading the rest of them."""
-    return infer_columns(head_rows(spark, paths, sample), sample=None, currency=currency)
+    """Column definitions of files: from every row, or from ``sample`` first rows without reading the rest."""
+    if sample is None:
+        rows = read_tabular(spark, paths)
+        return infer_columns(rows, data_columns(rows), currency=currency)
+    return infer_columns(head_rows(spark, paths, sample), currency=currency)
 
 
 def apply_overrides(inferred: Sequence[L.ColumnDef], types: dict[str, str] | None = None,

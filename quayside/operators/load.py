@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quayside import types as L
+from quayside.errors import InputError
 from quayside.operators.convert import (
     ImportResult, accept_gate, convert, drop_empty_rows, import_errors, result_aggregates)
 from quayside.operators.rowindex import row_index, row_index_by_location, surrogate_key_name
 from quayside.sources.tables import publish
 from quayside.sources.tabular import FILE, FILE_SEQ, ROW_NO
-from quayside.storage import delete_path, fresh_path, materialise
+from quayside.storage import delete_path, fresh_path, materialise, path_exists
 
 
 def load_table(df: DataFrame, columns: Sequence[L.ColumnDef], table: str, on_errors: str = "fail",
@@ -22,36 +23,44 @@ def load_table(df: DataFrame, columns: Sequence[L.ColumnDef], table: str, on_err
     """Convert ``df``, write it to a fresh folder, and publish it as ``table``.
 
     Counts come from the write job itself (``observe``). The old table stays in place until the new
-    data is complete and accepted. Returns the counts and the rejects. A dense key costs one more
-    write, of the converted rows, which the rejects are then read from; ``dense_key=False`` numbers
-    the rows in the conversion job itself, with gaps.
+    data is complete and accepted; a ``path`` that exists is refused. Returns the counts and the rejects, which are
+    written apart. A dense key costs one more write, of the converted rows, deleted at the end;
+    ``dense_key=False`` numbers the rows in the conversion job itself, with gaps.
     """
     spark = df.sparkSession
+    if path is not None and path_exists(spark, path):
+        raise InputError("the folder of the new table exists already")
     names = [c.name for c in columns]
     key = surrogate_key_name(names)
     counts = Observation()
     converted = convert(df, columns, currency=currency)
     watched = converted.observe(counts, *result_aggregates(names))
     target = path or fresh_path(spark, "table-" + table.replace(".", "-"))
-    if dense_key:
-        converted = materialise(watched, "converted")
-        kept = drop_empty_rows(converted, names)
-        if FILE_SEQ in kept.columns and ROW_NO in kept.columns:
-            keyed = row_index_by_location(kept, [c for c in (FILE_SEQ, FILE) if c in kept.columns], ROW_NO, key)
-        else:
-            keyed = row_index(kept, (), key)
-    else:
-        keyed = drop_empty_rows(watched, names).withColumn(key, F.monotonically_increasing_id() + 1)
-    if not dense_key:
-        keyed.select(key, *names).write.parquet(target)
-    seen = counts.get
-    result = ImportResult(seen["rows_read"], seen["rows_copied"], seen["empty_rows"], seen["errors"], True)
+    staged = None
     try:
+        if dense_key:
+            staged = fresh_path(spark, "converted")
+            watched.write.parquet(staged)
+            converted = spark.read.schema(watched.schema).parquet(staged)
+        else:
+            keyed = drop_empty_rows(watched, names).withColumn(key, F.monotonically_increasing_id() + 1)
+            keyed.select(key, *names).write.parquet(target)
+        seen = counts.get
+        result = ImportResult(seen["rows_read"], seen["rows_copied"], seen["empty_rows"], seen["errors"], True)
         accept_gate(result, on_errors)
         if dense_key:
+            kept = drop_empty_rows(converted, names)
+            if FILE_SEQ in kept.columns and ROW_NO in kept.columns:
+                keyed = row_index_by_location(kept, [c for c in (FILE_SEQ, FILE) if c in kept.columns], ROW_NO, key)
+            else:
+                keyed = row_index(kept, (), key)
             keyed.select(key, *names).write.parquet(target)
+        rejects = materialise(import_errors(converted), "rejects")
     except Exception:
-        delete_path(spark, target)
+        delete_path(spark, target)   # made by this call: it did not exist before
         raise
+    finally:
+        if staged:
+            delete_path(spark, staged)
     publish(spark, table, target, keyed.select(key, *names).schema, {"quayside.key": key})
-    return result, import_errors(converted)
+    return result, rejects

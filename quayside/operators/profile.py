@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside import types as L
+from quayside.functions.times import utc_zoneless
 
 # The twelve fields of a profile row, in order.
 FIELDS = ("column_name", "data_type", "category", "unique_count", "non_null_count", "min_value",
@@ -39,7 +40,8 @@ def _stats(field: T.StructField, category: str) -> Column:
         mean, deviation = F.avg(number), F.stddev_samp(number)
     elif category == L.CATEGORY_DATE:
         pattern = "yyyy-MM-dd" if isinstance(field.dataType, T.DateType) else "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-        low, high = (F.date_format(f(cell), pattern) for f in (F.min, F.max))
+        instants = isinstance(field.dataType, T.TimestampType)
+        low, high = (F.date_format(utc_zoneless(f(cell)) if instants else f(cell), pattern) for f in (F.min, F.max))
         if pattern != "yyyy-MM-dd":
             low, high = F.concat(low, F.lit("0")), F.concat(high, F.lit("0"))
     elif category == L.CATEGORY_TEXT:

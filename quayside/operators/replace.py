@@ -29,16 +29,15 @@ from quayside.functions.text import staged_name
 from quayside.operators.convert import ImportResult, convert, drop_empty_rows, import_errors, result_aggregates
 from quayside.operators.headers import align_by_name
 from quayside.operators.profile import compare_profiles
+from quayside.operators.rowindex import row_index
 from quayside.operators.usage import ABORTED, COMMITTED, PUSHED, STARTED, UPLOADING, expired_sessions
 from quayside.sources.tables import (
-    check_identifier, create_external, drop_table_if_exists, quoted, table_exists, table_location,
+    check_identifier, create_external, drop_table_if_exists, point_to, quoted, table_exists, table_location,
     table_properties)
 from quayside.sources.tabular import LOCATION, read_parquet
 from quayside.storage import delete_path
 
 KEY_PROPERTY = "quayside.key"
-# Bits of a staged key: chunk number, then task, then row in its task. A full field fails the job.
-_TASK_BITS, _ROW_BITS = 20, 28
 
 
 @dataclass(frozen=True)
@@ -59,6 +58,7 @@ class ReplaceSession:
     committed_at: dt.datetime | None = None
     completed_at: dt.datetime | None = None
     revision: int = 0
+    next_key: int = 0
 
 
 SESSION_SCHEMA = T.StructType([
@@ -70,6 +70,7 @@ SESSION_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("created_at", T.TimestampNTZType()),
     T.StructField("updated_at", T.TimestampNTZType()), T.StructField("committed_at", T.TimestampNTZType()),
     T.StructField("completed_at", T.TimestampNTZType()), T.StructField("revision", T.IntegerType()),
+    T.StructField("next_key", T.LongType()),
 ])
 
 
@@ -96,15 +97,20 @@ def current_states(log: DataFrame) -> DataFrame:
     return log.groupBy("id").agg(F.max_by(F.struct(*log.columns), F.col("revision")).alias("s")).select("s.*")
 
 
-def _chunk_key(chunk: int):
-    """Key unique over all chunks, assigned without looking at the other chunks."""
-    if not 0 < chunk < 1 << (63 - _TASK_BITS - _ROW_BITS):
-        raise StateError("the chunk number is out of range")
-    place = F.monotonically_increasing_id()
-    task, row = F.shiftright(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1))
-    fits = (task < (1 << _TASK_BITS)) & (row < (1 << _ROW_BITS))
-    key = F.lit(chunk << (_TASK_BITS + _ROW_BITS)) + F.shiftleft(task, _ROW_BITS) + row
-    return F.when(fits, key).otherwise(F.raise_error(F.lit("too many rows in one task")).cast("bigint"))
+# Largest key of each integer type.
+_LARGEST = {T.ByteType: 2**7 - 1, T.ShortType: 2**15 - 1, T.IntegerType: 2**31 - 1, T.LongType: 2**63 - 1}
+
+
+def with_locks(datasets: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Dataset records whose ``locked`` also says that a replace session is open or under review.
+
+    Serving, deleting and indexing read ``locked``: give them these records.
+    """
+    open_ids = sessions.filter(~F.col("status").isin(ABORTED, PUSHED)).select(
+        F.col("dataset_id").alias("__open")).distinct().withColumn("__locked", F.lit(True))
+    joined = datasets.join(open_ids, datasets["id"] == open_ids["__open"], "left")
+    locked = F.coalesce("locked", F.lit(False)) | F.coalesce("__locked", F.lit(False))
+    return joined.select(*[locked.alias(c) if c == "locked" else F.col(f"`{c}`") for c in datasets.columns])
 
 
 class TableReplacer:
@@ -184,6 +190,8 @@ class TableReplacer:
         """
         session = self.load(session_id)
         self._require(session, UPLOADING)
+        if session.old_table:
+            raise StateError("the session is being committed")
         staging = self._full(session, session.staging_table)
         if not table_exists(self.spark, staging):
             raise StateError("the staging table of the session is missing")
@@ -206,11 +214,19 @@ class TableReplacer:
         counts = Observation()
         kept = drop_empty_rows(converted.observe(counts, *result_aggregates(names)), names)
         typed = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target]
+        used = 0
         if key:
-            typed.insert(0, _chunk_key(number).alias(key))
+            # Keys go on from the highest one given out so far; the numbering is a write of its own and therefore fixed.
+            kept = row_index(kept, (), "__key")
+            used = kept.agg(F.count(F.lit(1))).head()[0]
+            kind = source.schema[key].dataType
+            if session.next_key + used > _LARGEST.get(type(kind), 0):
+                raise StateError("the keys of the table are used up")
+            typed.insert(0, (F.col("__key") + F.lit(session.next_key)).cast(kind).alias(key))
         kept.select(*typed).write.mode("overwrite").parquet(f"{session.staging_path}/chunk-{number}")
         seen = counts.get
-        self._record(changed(session, status=UPLOADING, chunks=max(session.chunks, number), updated_at=self._now()))
+        self._record(changed(session, status=UPLOADING, chunks=max(session.chunks, number), updated_at=self._now(),
+                             next_key=session.next_key + used))
         result = ImportResult(seen["rows_read"], seen["rows_copied"], seen["empty_rows"], seen["errors"], True)
         return result, import_errors(converted)
 
@@ -221,30 +237,35 @@ class TableReplacer:
         return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(session.staging_path)
 
     def commit(self, session_id: str) -> ReplaceSession:
-        """Keep the present content under the old name and point the table to the staged content."""
+        """Keep the present content under the old name and point the table to the staged content.
+
+        The intent is recorded first and every later step may be repeated: a commit that was cut off is finished by
+        calling it, or ``recover``, again.
+        """
         session = self.load(session_id)
         self._require(session, COMMITTED)
-        source = self._full(session, session.table_name)
-        staging = self._full(session, session.staging_table)
-        if not table_exists(self.spark, staging):
-            raise StateError("the staging table of the session is missing")
-        old = check_identifier(staged_name(session.table_name, "old", session.id))
-        if table_exists(self.spark, self._full(session, old)):
-            raise StateError("the name for the old table is taken")
-        table = self.spark.table(quoted(source))
-        properties = {k: v for k, v in table_properties(self.spark, source).items() if k == KEY_PROPERTY}
-        create_external(self.spark, self._full(session, old), session.source_path, table.schema, properties)
-        # The intent is recorded first; ``recover`` finishes or undoes a commit that was cut off.
-        noted = self._record(changed(session, old_table=old, updated_at=self._now()))
-        self._point(noted, session.staging_path)
-        drop_table_if_exists(self.spark, staging)
-        at = self._now()
-        return self._record(changed(noted, status=COMMITTED, committed_at=at, updated_at=at))
+        if not session.old_table:
+            if not table_exists(self.spark, self._full(session, session.staging_table)):
+                raise StateError("the staging table of the session is missing")
+            old = self._old_name(session)
+            if table_exists(self.spark, self._full(session, old)):
+                raise StateError("the name for the old table is taken")
+            session = self._record(changed(session, old_table=old, updated_at=self._now()))
+        return self._finish(session)
 
-    def _point(self, session: ReplaceSession, path: str) -> None:
-        name = self._full(session, session.table_name)
-        self.spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION '{path}'")
-        self.spark.catalog.refreshTable(quoted(name))
+    @staticmethod
+    def _old_name(session: ReplaceSession) -> str:
+        return check_identifier(staged_name(session.table_name, "old", session.id))
+
+    def _finish(self, session: ReplaceSession) -> ReplaceSession:
+        old, source = self._full(session, session.old_table), self._full(session, session.table_name)
+        if not table_exists(self.spark, old):
+            properties = {k: v for k, v in table_properties(self.spark, source).items() if k == KEY_PROPERTY}
+            create_external(self.spark, old, session.source_path, self.spark.table(quoted(source)).schema, properties)
+        point_to(self.spark, source, session.staging_path)
+        drop_table_if_exists(self.spark, self._full(session, session.staging_table))
+        at = self._now()
+        return self._record(changed(session, status=COMMITTED, committed_at=at, updated_at=at))
 
     def audit(self, session_id: str) -> DataFrame:
         """Profiles of the old and the new content, per column, for the review before the push."""
@@ -254,24 +275,26 @@ class TableReplacer:
         return compare_profiles(self.spark.table(quoted(self._full(session, session.old_table))),
                                 self.spark.table(quoted(self._full(session, session.table_name))))
 
-    def push(self, session_id: str) -> ReplaceSession:
-        """Finalise: drop the old content and unlock. Index metadata of the section is void."""
+    def push(self, session_id: str, sections: DataFrame | None = None):
+        """Finalise: drop the old content and unlock. The index of the section is void: given the section records,
+        their new state is returned too."""
         session = self.load(session_id)
         if session.status != COMMITTED or not session.old_table:
             raise StateError("only a committed session can be pushed")
         drop_table_if_exists(self.spark, self._full(session, session.old_table))
         delete_path(self.spark, session.source_path)
         at = self._now()
-        return self._record(changed(session, status=PUSHED, completed_at=at, updated_at=at))
+        pushed = self._record(changed(session, status=PUSHED, completed_at=at, updated_at=at))
+        return pushed if sections is None else (pushed, clear_index_metadata(sections, session.table_name))
 
     def abort(self, session_id: str) -> ReplaceSession:
-        """Undo: a committed table points back to its old content, staged rows are dropped."""
+        """Undo: a table that was repointed gets its old content back, staged rows are dropped."""
         session = self.load(session_id)
         if not allowed_transition(session.status, ABORTED):
             raise StateError("the session is closed already")
-        if session.old_table and table_exists(self.spark, self._full(session, session.old_table)):
-            self._point(session, session.source_path)
-            drop_table_if_exists(self.spark, self._full(session, session.old_table))
+        if session.old_table:
+            point_to(self.spark, self._full(session, session.table_name), session.source_path)
+        drop_table_if_exists(self.spark, self._full(session, self._old_name(session)))
         drop_table_if_exists(self.spark, self._full(session, session.staging_table))
         delete_path(self.spark, session.staging_path)
         at = self._now()
@@ -285,21 +308,18 @@ class TableReplacer:
         return len(rows)
 
     def recover(self, session_id: str) -> ReplaceSession:
-        """Finish a commit that stopped between its catalogue steps."""
+        """Finish a commit that stopped between its steps; other sessions are left as they are."""
         session = self.load(session_id)
         if session.status not in (STARTED, UPLOADING) or not session.old_table:
             return session
-        self._point(session, session.staging_path)
-        drop_table_if_exists(self.spark, self._full(session, session.staging_table))
-        at = self._now()
-        return self._record(changed(session, status=COMMITTED, committed_at=at, updated_at=at))
+        return self._finish(session)
 
 
 def clear_index_metadata(sections: DataFrame, table_name: str) -> DataFrame:
     """Section records after a push: the index of the replaced table is void."""
     hit = F.upper("table_name") == table_name.upper()
     cleared = {"index_enabled": F.lit(False)}
-    cleared.update({c: F.lit(None) for c in ("index_time", "index_id", "index_include", "index_name", "index_status")
+    cleared.update({c: F.lit(None) for c in ("index_time", "index_id", "index_include", "index_type", "index_name", "index_status", "index_error")
                     if c in sections.columns})
     return sections.select(*[
         F.when(hit, cleared[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name)

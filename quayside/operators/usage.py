@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.functions.text import display_name
+from quayside.functions.times import utc_instant, utc_zoneless
 from quayside.operators.catalog import filter_optional
 
 # Quotas, windows and lifetimes.
@@ -44,13 +45,21 @@ def date_range(df: DataFrame, column: str, start=None, end=None) -> DataFrame:
     return df
 
 
+def _label(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that may be NULL in many rows: those find nothing, and a salt spreads them over the tasks."""
+    salt = F.when(F.col(key).isNull(), F.xxhash64("id"))
+    salted = names.withColumn("__salt", F.lit(None).cast("bigint")).withColumnRenamed(key, "__key")
+    joined = rows.withColumn("__spread", salt).join(
+        salted, (F.col(key) == F.col("__key")) & F.col("__spread").eqNullSafe(F.col("__salt")), "left")
+    return joined.drop("__spread", "__salt", "__key")
+
+
 def access_log(log: DataFrame, datasets: DataFrame, users: DataFrame, tokens: DataFrame) -> DataFrame:
     """Log rows with dataset, user and token labels. The log is the large side of every join."""
     people = _name_of(users, "user_id", user_name=display_name(F.col("first_name"), F.col("last_name")))
     return (
         log.join(_name_of(datasets, "dataset_id", dataset_name=F.col("name")), "dataset_id", "left")
-        .join(people, "user_id", "left")
-        .join(_name_of(tokens, "token_id", token_label=F.col("label")), "token_id", "left")
+        .transform(_label, people, "user_id").transform(_label, _name_of(tokens, "token_id", token_label=F.col("label")), "token_id")
         .select("id", "dataset_id", F.coalesce("dataset_name", F.lit("")).alias("dataset_name"),
                 "user_id", "user_name", "token_id", "token_label", "accessed_at", "bytes")
     )
@@ -97,10 +106,13 @@ def used_up(limit: int) -> Column:
 
 def daily_quota(log: DataFrame, limit: int = PUBLIC_DAILY_BYTES) -> DataFrame:
     """Bytes served per UTC day, and whether the day's quota is used up."""
-    per_day = log.groupBy(F.window("accessed_at", "1 day").alias("w")).agg(
+    # Days are those of UTC in any session zone: an instant is first written as its UTC time.
+    instants = isinstance(log.schema["accessed_at"].dataType, T.TimestampType)
+    at = utc_zoneless(F.col("accessed_at")) if instants else F.col("accessed_at")
+    per_day = log.withColumn("accessed_at", at).groupBy(F.window("accessed_at", "1 day").alias("w")).agg(
         F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("requests"))
     return per_day.select(
-        F.col("w.start").alias("day"),
+        (utc_instant(F.col("w.start")) if instants else F.col("w.start")).alias("day"),
         F.concat(F.lit(PUBLIC_QUOTA_KEY), F.date_format("w.start", "yyyyMMdd")).alias("quota_key"),
         "requests", "bytes", used_up(limit).alias("exceeded"))
 

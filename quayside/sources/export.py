@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from quayside.errors import InputError
 from quayside.functions.render import render_all
+from quayside.functions.text import truncate
 from quayside.operators.rowindex import row_index, scan_row_index
 from quayside.sources.tables import quoted
+from quayside.storage import materialise
 
 # Rows per part and tracked warnings.
 DEFAULT_ROWS_PER_PART = 1_000_000
@@ -28,8 +30,10 @@ CSV_OPTIONS = {
 }
 
 
-def clamp_rows(rows_per_part: int) -> int:
-    return max(1, min(rows_per_part, MAX_ROWS_PER_PART))
+def checked_rows(rows_per_part: int) -> int:
+    if not 1 <= rows_per_part <= MAX_ROWS_PER_PART:
+        raise InputError(f"rows per part must be between 1 and {MAX_ROWS_PER_PART}")
+    return rows_per_part
 
 
 def number_parts(df: DataFrame, rows_per_part: int = DEFAULT_ROWS_PER_PART,
@@ -39,7 +43,7 @@ def number_parts(df: DataFrame, rows_per_part: int = DEFAULT_ROWS_PER_PART,
     ``scan`` says that ``df`` is a whole Parquet table, to be numbered in stored order; that takes
     neither a shuffle nor a write.
     """
-    size = clamp_rows(rows_per_part)
+    size = checked_rows(rows_per_part)
     indexed = scan_row_index(df, _INDEX) if scan and not order else row_index(df, order, _INDEX)
     return indexed.withColumn(PART, F.floor((F.col(_INDEX) - 1) / F.lit(size)).cast("int") + 1)
 
@@ -72,32 +76,35 @@ def export_csv_parts(df: DataFrame, path: str, rows_per_part: int = DEFAULT_ROWS
     A part has at most ``rows_per_part`` rows, which bounds the task that writes it. Rows go to their
     part in one shuffle, in index order. An empty table gives one part with the header only.
     """
-    size = clamp_rows(rows_per_part)
+    size = checked_rows(rows_per_part)
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             raise InputError(f"column {field.name} is nested and has no CSV form")
     numbered = number_parts(df, size, order, scan)
-    parts = manifest_parts(numbered).orderBy("part_number")
-    if numbered.isEmpty():
+    # The one counting job; its rows, one per part, size the shuffle below.
+    parts = materialise(manifest_parts(numbered), "export-parts")
+    n_parts, total = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("row_count"), F.lit(0))).head()
+    warnings, cut = [], False
+    if not n_parts:
         render_all(df.limit(0)).coalesce(1).write.options(**CSV_OPTIONS).csv(f"{path}/{PART}=1")
-        rows = [{"file": "data_part001.csv", "part_number": 1, "row_count": 0,
-                 "first_row_index": None, "last_row_index": None}]
-        total = 0
+        parts = df.sparkSession.createDataFrame(
+            [("data_part001.csv", 1, 0, None, None)],
+            "file string, part_number int, row_count long, first_row_index long, last_row_index long")
     else:
-        placed = numbered.repartition(PART).sortWithinPartitions(PART, _INDEX)
+        placed = numbered.repartitionByRange(n_parts, PART).sortWithinPartitions(PART, _INDEX)
         rendered = render_all(placed, keep=(PART, _INDEX)).drop(_INDEX)
         rendered.write.options(**CSV_OPTIONS).partitionBy(PART).csv(path)
-        rows = None
-        total = numbered.agg(F.max(_INDEX).alias("n")).head()["n"]
+        odd = render_warnings(numbered)
+        if odd is not None:
+            shown, cut = warnings_report(odd)
+            warnings = [x.asDict() for x in shown.collect()]
     manifest = {
         **(info or {}), "maxRowsPerPart": size,
         "generatedAtUtc": dt.datetime.now(dt.timezone.utc).isoformat(), "totalRowCount": total,
-        "warnings": [], "warningsTruncated": False,
+        "warnings": warnings, "warningsTruncated": cut,
     }
     # The part list has one line per part and is written by Spark next to the header document.
-    listing = parts if rows is None else df.sparkSession.createDataFrame(
-        rows, "file string, part_number int, row_count long, first_row_index long, last_row_index long")
-    listing.coalesce(1).write.json(f"{path}/_manifest_parts")
+    parts.write.json(f"{path}/_manifest_parts")
     header = df.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string")
     header.coalesce(1).write.text(f"{path}/_manifest")
     return manifest
@@ -109,6 +116,18 @@ def export_table(spark: SparkSession, table: str, path: str, rows_per_part: int
     return export_csv_parts(spark.table(quoted(table)), path, rows_per_part, (), {"table": table, **(info or {})}, scan=True)
 
 
+def render_warnings(numbered: DataFrame) -> DataFrame | None:
+    """Cells whose text is no number any more: infinities and NaN. None if no column can hold them."""
+    floats = [f.name for f in numbered.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    if not floats:
+        return None
+    odd = [F.when(F.isnan(f"`{c}`") | (F.abs(F.col(f"`{c}`")) == float("inf")),
+                  F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))) for c in floats]
+    found = numbered.select(F.col(_INDEX).alias("row_index"), F.explode(F.array_compact(F.array(*odd))).alias("w"))
+    return found.select("row_index", "w.column_name", truncate(F.col("w.value"), 200).alias("value"),
+                        F.lit("the value is not a finite number").alias("message"))
+
+
 def warnings_report(warnings: DataFrame, limit: int = MAX_WARNINGS) -> tuple[DataFrame, bool]:
     """The first warnings by row and column, and whether there were more."""
     shown = warnings.orderBy("row_index", "column_name").limit(limit + 1)

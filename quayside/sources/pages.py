@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from quayside.errors import RequestError
+from quayside.storage import delete_path
 
-# Rows per row group and bytes per response.
+# Rows per file (one row group each) and bytes per response.
 ROW_GROUP_ROWS = 10_000
 MAX_BYTES = 200 * 1024 * 1024
 
@@ -30,5 +31,6 @@ def write_page_parquet(page: DataFrame, path: str, rows_per_group: int = ROW_GRO
     page.write.option("maxRecordsPerFile", max(1, rows_per_group)).parquet(path)
     size = written_bytes(page, path)
     if size > max_bytes:
+        delete_path(page.sparkSession, path)
         raise RequestError("the page is larger than the size limit")
     return size

@@ -22,6 +22,11 @@ def quoted(name: str) -> str:
     return ".".join("`" + part.replace("`", "``") + "`" for part in name.split(".", 1))
 
 
+def text_literal(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def describe_columns(df: DataFrame) -> DataFrame:
     """Name, SQL type, logical type and category of each column, in order."""
     rows = [
@@ -76,23 +81,45 @@ def create_external(spark: SparkSession, name: str, path: str, schema: T.StructT
                     properties: dict[str, str] | None = None) -> None:
     """Register Parquet data at ``path``; only the catalogue is touched."""
     columns = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" +
+        f"{_column(f.name)} {f.dataType.simpleString()}" +
         (f" COMMENT 'max_length={f.metadata['max_length']}'" if "max_length" in f.metadata else "")
         for f in schema.fields)
     extra = ""
     if properties:
-        extra = " TBLPROPERTIES (" + ", ".join(f"'{k}' = '{v}'" for k, v in properties.items()) + ")"
+        extra = " TBLPROPERTIES (" + ", ".join(f"{text_literal(k)} = {text_literal(v)}" for k, v in properties.items()) + ")"
     spark.sql(f"CREATE TABLE {quoted(name)} ({columns}) USING parquet "
-              f"OPTIONS (recursiveFileLookup 'true') LOCATION '{path}'{extra}")
+              f"OPTIONS (recursiveFileLookup 'true') LOCATION {text_literal(path)}{extra}")
+
+
+def _column(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def point_to(spark: SparkSession, name: str, path: str) -> None:
+    """Let a table read another folder: one catalogue step, readers see the old or the new content."""
+    spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION {text_literal(path)}")
+    spark.catalog.refreshTable(quoted(name))
 
 
 def publish(spark: SparkSession, name: str, path: str, schema: T.StructType,
-            properties: dict[str, str] | None = None) -> None:
-    """Make finished data visible under ``name``, replacing an older table of that name."""
+            properties: dict[str, str] | None = None, purge: bool = False) -> None:
+    """Make finished data visible under ``name``, replacing an older table of that name.
+
+    A table of the same columns is pointed to the new folder, so that readers never miss it. Other columns need a
+    new catalogue entry. ``purge`` deletes the older folder afterwards.
+    """
     if "." in name:
         spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quoted(name.split('.', 1)[0])}")
-    drop_table_if_exists(spark, name)
-    create_external(spark, name, path, schema, properties)
+    older = table_location(spark, name) if table_exists(spark, name) else None
+    same = older is not None and [(f.name, f.dataType) for f in spark.table(quoted(name)).schema] == [
+        (f.name, f.dataType) for f in schema] and (properties or {}).items() <= table_properties(spark, name).items()
+    if same:
+        point_to(spark, name, path)
+    else:
+        drop_table_if_exists(spark, name)
+        create_external(spark, name, path, schema, properties)
+    if purge and older and older.rstrip("/") != path.rstrip("/"):
+        delete_path(spark, older)
 
 
 def drop_table_if_exists(spark: SparkSession, name: str, purge: bool = False) -> bool:

@@ -28,6 +28,7 @@ from quayside.errors import InputError
 from quayside.functions.parsing import BLANKS
 from quayside.functions.render import render_value
 from quayside.operators.headers import check_headers_positional, check_headers_unique, trim_headers
+from quayside.session import ship_package
 from quayside.storage import materialise
 
 FILE = "_file"
@@ -38,10 +39,10 @@ LOCATION = (FILE, FILE_SEQ, ROW_NO)
 # Accepted endings, the longest one first, and their labels.
 FORMATS = ((".csv.zip", "CSV.zip"), (".csv", "CSV"), (".parquet", "Parquet"))
 
-_MAX_LOCAL_SPLITS = 200_000
 _ZIP_BATCH_ROWS = 5_000
-# A header cell may hold line breaks; this many lines are looked at.
-_HEADER_LINES = 50
+_FIRST_LINES = 64
+# Entries a ZIP directory without the 64-bit extension can hold.
+_MAX_ENTRIES = 65_536
 _BYTE_ORDER_MARK = "\ufeff"
 
 
@@ -61,7 +62,7 @@ def detect_format(paths: Sequence[str]) -> str:
     return endings.pop()
 
 
-def read_tabular(spark: SparkSession, paths: Sequence[str], multiline: bool = True) -> DataFrame:
+def read_tabular(spark: SparkSession, paths: Sequence[str], multiline: bool | None = None) -> DataFrame:
     """Read files of one type into one DataFrame; headers must agree by position."""
     paths = list(paths)
     ending = detect_format(paths)
@@ -131,15 +132,72 @@ def _normal_header(cell: Column) -> Column:
 # ---------------------------------------------------------------------------------------------- CSV
 
 def _csv_header(spark: SparkSession, path: str) -> list[str]:
-    """First non-blank row of a file, read from its first lines."""
-    lines = spark.read.text(path).filter(~_blank(F.col("value"))).head(_HEADER_LINES)
-    if not lines:
-        raise InputError(f"{_base_name(path)} is empty")
-    text = "\n".join(line["value"] for line in lines).lstrip(_BYTE_ORDER_MARK)
-    return next(csv.reader(io.StringIO(text, newline="")))
-
-
-def _csv_rows(spark: SparkSession, path: str, cells: list[str], multiline: bool) -> DataFrame:
+    """First non-blank row of a file. A cell may hold any number of lines, empty ones too: more lines are fetched
+    until the row is closed."""
+    # Only the line feed ends a line here, so that the row keeps its own line ends.
+    lines = spark.read.option("lineSep", "\n").text(path)
+    wanted = _FIRST_LINES
+    while True:
+        got = [r["value"] for r in lines.head(wanted)]
+        text = "\n".join(got).lstrip(_BYTE_ORDER_MARK)
+        try:
+            for row in csv.reader(io.StringIO(text, newline=""), strict=len(got) == wanted):
+                if any(cell.strip(BLANKS) for cell in row):
+                    return row
+        except csv.Error:
+            pass   # the row goes on after the lines at hand
+        if len(got) < wanted:
+            raise InputError(f"{_base_name(path)} is empty")
+        wanted *= 8
+
+
+def _breaks_lines(spark: SparkSession, paths: Sequence[str]) -> bool:
+    """Whether a quoted field holds a line break: then some line has an odd number of quotes."""
+    value = F.col("value")
+    odd = (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1
+    return not spark.read.text(list(paths)).where(odd).isEmpty()
+
+
+def _rounds(paths: Sequence[str]) -> list[list[tuple[int, str]]]:
+    """Numbered paths, each at most once in a round: a path that is listed again is read again."""
+    rounds: list[list[tuple[int, str]]] = []
+    seen: dict[str, int] = {}
+    for seq, path in enumerate(paths):
+        place = seen[path] = seen.get(path, -1) + 1
+        if place == len(rounds):
+            rounds.append([])
+        rounds[place].append((seq, path))
+    return rounds
+
+
+def _places(spark: SparkSession, numbered: Sequence[tuple[int, str]]) -> DataFrame:
+    """``(_place, _file_seq)``: the URI of each given file or folder and its number in the list."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for seq, path in numbered:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        found = target.getFileSystem(conf).globStatus(target)
+        if not found:
+            raise InputError(f"{_base_name(path)} does not exist")
+        rows += [(x.getPath().toUri().toString(), seq) for x in found]
+    return spark.createDataFrame(rows, f"_place string, {FILE_SEQ} int").select(_plain_uri("_place").alias("_place"), FILE_SEQ)
+
+
+def _plain_uri(column: str) -> Column:
+    """``file:/x`` and ``file:///x`` are one place."""
+    return F.regexp_replace(column, "^file:/+", "file:/")
+
+
+def _with_seq(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Number of the listed file, or of the listed folder, that each row's ``_path`` belongs to."""
+    spots = rows.select("_path").distinct()
+    uri = _plain_uri("_path")
+    either = F.explode(F.array(uri, F.regexp_replace(uri, "/[^/]*$", "")))
+    numbered = spots.select("_path", either.alias("_place")).join(places, "_place").groupBy("_path").agg(F.min(FILE_SEQ).alias(FILE_SEQ))
+    return rows.join(numbered, "_path", "left")
+
+
+def _csv_rows(spark: SparkSession, path: str | Sequence[str], cells: list[str], multiline: bool) -> DataFrame:
     """All rows of a file, header included, as text; ``_bad`` is set for a row of another length."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_bad"]])
     rows = spark.read.options(
@@ -152,46 +210,49 @@ def _csv_rows(spark: SparkSession, path: str, cells: list[str], multiline: bool)
     return rows.filter(~_blank(F.col("c0")))
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str], multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, paths: Sequence[str], multiline: bool | None = None) -> DataFrame:
     """Comma-separated text with quoted fields; every value stays text and is not trimmed.
 
-    ``multiline=False`` lets Spark split large files between tasks; choose it when no quoted field
-    holds a line break.
+    All files are one read, and Spark splits large ones between tasks. Only files in which a quoted field holds a
+    line break cannot be split; ``multiline=None`` looks for such a field first (one pass over the text).
     """
     paths = list(paths)
     header = trim_headers(_csv_header(spark, paths[0]))
     check_headers_unique(header)
     cells = [f"c{i}" for i in range(len(header))]
+    if multiline is None:
+        multiline = _breaks_lines(spark, paths)
+    rounds = _rounds(paths)
     raw = reduce(DataFrame.unionByName, [
-        _csv_rows(spark, path, cells, multiline).select(
-            *cells, "_bad", F.lit(seq).alias(FILE_SEQ), F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_block"))
-        for seq, path in enumerate(paths)])
+        _csv_rows(spark, [x for _, x in own], cells, multiline).select(
+            *cells, "_bad", F.lit(i).alias("_round"), F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_block")) for i, own in enumerate(rounds)])
     staged = materialise(raw.withColumn("_mono", F.monotonically_increasing_id()), "csv-rows")
 
-    split = [FILE_SEQ, "_path", "_block"]
+    split = ["_round", "_path", "_block"]
     splits = staged.groupBy(*split).agg(
         F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("n"),
         F.count("_bad").alias("ragged"),
         F.min_by(F.array(*[_normal_header(F.col(c)) for c in cells]), F.col("_mono")).alias("head"))
-    in_order = Window.partitionBy(FILE_SEQ, "_path").orderBy("_block")
+    in_order = Window.partitionBy("_round", "_path").orderBy("_block")
     before = F.coalesce(F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     located = splits.withColumn("_before", before).withColumn("_nth", F.row_number().over(in_order))
+    # One small row per input split, written once: Spark knows its size and joins it accordingly.
+    located = materialise(reduce(DataFrame.unionByName, [
+        _with_seq(located.where(F.col("_round") == i), _places(spark, own)) for i, own in enumerate(rounds)]), "csv-splits")
 
     wanted = F.array(*[F.lit(h.lower()) for h in header])
     verdict = located.agg(
-        F.sum("ragged").alias("ragged"),
+        F.sum("ragged").alias("ragged"), F.count(F.when(F.col(FILE_SEQ).isNull(), 1)).alias("unlisted"),
         F.sum(F.when((F.col("_nth") == 1) & (F.col("head") != wanted), 1).otherwise(0)).alias("other")).head()
     if verdict["other"]:
         raise InputError("the CSV files must share the same columns")
     if verdict["ragged"]:
         raise InputError("a row in the CSV file does not match the number of header columns")
+    if verdict["unlisted"]:
+        raise InputError("files below sub-folders of a listed folder cannot be numbered")
 
-    # One small row per input split.
-    bounds = located.select(*split, "_first", "_before")
-    local = bounds.take(_MAX_LOCAL_SPLITS + 1)
-    if len(local) <= _MAX_LOCAL_SPLITS:
-        bounds = F.broadcast(spark.createDataFrame(local, bounds.schema))
+    bounds = located.select(*split, "_first", "_before", FILE_SEQ)
     row_no = F.col("_mono") - F.col("_first") + F.col("_before")
     return staged.join(bounds, split).withColumn(ROW_NO, row_no).filter(F.col(ROW_NO) > 0).select(
         *[F.col(c).alias(h) for c, h in zip(cells, header)], _file_name("_path").alias(FILE), FILE_SEQ, ROW_NO)
@@ -236,8 +297,9 @@ def _entry_batches(place: tuple, rows) -> Iterator[pd.DataFrame]:
 
 def _archive_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     content = reduce(DataFrame.unionByName, [
-        spark.read.format("binaryFile").load(path).select(F.lit(seq).alias(FILE_SEQ), "path", "content")
-        for seq, path in enumerate(paths)])
+        _with_seq(spark.read.format("binaryFile").load([x for _, x in own]).select("path", "content", F.col("path").alias("_path")),
+                  _places(spark, own)).select(FILE_SEQ, "path", "content") for own in _rounds(paths)])
+    ship_package(spark)
     return content.mapInPandas(
         _archive_rows, f"{FILE_SEQ} int, path string, entry string, entry_no int, line_no long, fields array<string>")
 
@@ -265,7 +327,9 @@ def read_zipped_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         raise InputError("a row in the CSV file does not match the number of header columns")
     return staged.filter("line_no > 0").select(
         *[F.col("fields")[i].alias(h) for i, h in enumerate(header)],
-        F.concat_ws("/", _file_name("path"), "entry").alias(FILE), FILE_SEQ, F.col("line_no").alias(ROW_NO))
+        F.concat_ws("/", _file_name("path"), "entry").alias(FILE),
+        # Entries follow each other as they do in their archive, whatever their names.
+        (F.col(FILE_SEQ) * _MAX_ENTRIES + F.col("entry_no")).alias(FILE_SEQ), F.col("line_no").alias(ROW_NO))
 
 
 # ------------------------------------------------------------------------------------------- Parquet
@@ -293,15 +357,25 @@ def read_parquet(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     for schema in schemas[1:]:
         check_headers_positional(header, [name for _, name in leaf_columns(schema)], "Parquet")
     types = [[f.dataType for f in schema.fields] for schema in schemas]
+    mixed = any(other != types[0] for other in types)
+    # Files of one schema are one read, however many they are.
+    alike: dict[tuple[str, int], list[int]] = {}
+    for i, own in enumerate(_rounds(paths)):
+        for seq, _ in own:
+            alike.setdefault((schemas[seq].json(), i), []).append(seq)
     parts = []
-    for seq, (path, schema) in enumerate(zip(paths, schemas)):
+    for seqs in alike.values():
+        schema = schemas[seqs[0]]
         cells = [F.col(leaf).alias(name) for (leaf, _), name in zip(leaf_columns(schema), header)]
-        part = spark.read.schema(schema).parquet(path).select(
-            *cells, _file_name("_metadata.file_path").alias(FILE), F.lit(seq).alias(FILE_SEQ),
-            (F.col("_metadata.row_index") + 1).alias(ROW_NO))
-        if any(other != types[0] for other in types):
-            part = as_text(part, header)
-        parts.append(part)
+        rows = spark.read.schema(schema).parquet(*[paths[i] for i in seqs])
+        place = [_file_name("_metadata.file_path").alias(FILE), (F.col("_metadata.row_index") + 1).alias(ROW_NO)]
+        if len(seqs) == 1:
+            part = rows.select(*cells, *place, F.lit(seqs[0]).alias(FILE_SEQ))
+        else:
+            part = _with_seq(rows.select(*cells, *place, F.col("_metadata.file_path").alias("_path")),
+                             _places(spark, [(i, paths[i]) for i in seqs]))
+        part = part.select(*[f"`{c}`" for c in header], FILE, FILE_SEQ, ROW_NO)
+        parts.append(as_text(part, header) if mixed else part)
     return reduce(DataFrame.unionByName, parts)
 
 

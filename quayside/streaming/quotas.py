@@ -1,7 +1,7 @@
 """Quotas and attempt limits over a stream of log rows.
 
 Event time must be TIMESTAMP: ``log_stream`` turns a zoneless column into UTC instants. State lives in Spark's own
-windowed aggregations, is combined per task before the shuffle, and is bounded by the watermark.
+windowed aggregations and is bounded by the watermark. Daily sums and slots are combined per task before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,9 +17,6 @@ from quayside.functions.times import utc_instant
 from quayside.operators.usage import (
     PUBLIC_DAILY_BYTES, TOKEN_BYTES, TOKEN_WINDOW_MINUTES, activity_slots, chain_slots, used_up)
 
-# Combine sessions inside each task before the shuffle, so that a hot key costs little.
-MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-
 
 def log_stream(spark: SparkSession, folder: str, schema: T.StructType, time: str, pattern: str = "*",
                files_per_batch: int = 1000) -> DataFrame:

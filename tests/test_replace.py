@@ -115,7 +115,7 @@ def test_interrupted_commit_is_finished(spark, table, tmp_path, monkeypatch):
         raise RuntimeError("lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(replacer, "_point", broken)
+        patch.setattr(R, "point_to", broken)
         with pytest.raises(RuntimeError):
             replacer.commit(session.id)
     assert content(spark, name) == OLD
@@ -125,6 +125,74 @@ def test_interrupted_commit_is_finished(spark, table, tmp_path, monkeypatch):
     assert content(spark, name) == OLD
 
 
+@pytest.mark.parametrize("step", ["create_external", "point_to", "drop_table_if_exists", "_record"])
+@pytest.mark.parametrize("then", ["recover", "commit", "abort"])
+def test_commit_cut_at_any_step(spark, table, tmp_path, monkeypatch, step, then):
+    replacer, name = table
+    session = replacer.start(4, "rep", name)
+    replacer.append_chunk(session.id, chunk(spark, tmp_path, "c", [("new", "9")]))
+    calls = []
+
+    def broken(*args, **named):
+        calls.append(1)
+        if step != "_record" or len(calls) == 2:   # the intent is recorded, the state is not
+            raise RuntimeError("lost")
+        return kept(*args, **named)
+
+    holder = replacer if step == "_record" else R
+    kept = getattr(holder, step)
+    with monkeypatch.context() as patch:
+        patch.setattr(holder, step, broken)
+        with pytest.raises(RuntimeError):
+            replacer.commit(session.id)
+    with pytest.raises(StateError):
+        replacer.append_chunk(session.id, chunk(spark, tmp_path, "late", [("late", "1")]))
+    getattr(replacer, then)(session.id)
+    if then != "abort":
+        assert content(spark, name) == [(9, "new")]
+        assert replacer.push(session.id).status == R.PUSHED
+        assert content(spark, name) == [(9, "new")]
+    else:
+        assert content(spark, name) == OLD
+    left = [x.name for x in spark.catalog.listTables("rep") if x.name.startswith(name + "__")]
+    assert not left
+
+
+def test_keys_fit_the_type_of_the_source(spark, tmp_path):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS rep")
+    name, path = "k_" + uuid.uuid4().hex[:8], str(tmp_path / "it's here")
+    spark.sql("SELECT CAST(id AS INT) AS Id, 'old' AS note FROM range(1, 4)").write.parquet(path)
+    R.create_external(spark, f"rep.{name}", path, spark.read.parquet(path).schema, {R.KEY_PROPERTY: "Id"})
+    replacer = R.TableReplacer(spark, str(tmp_path / "replace it's"))
+    session = replacer.start(6, "rep", name)
+    for number in (1, 40_000, 1):
+        rows = spark.createDataFrame([("new",)] * 3, "note string")
+        replacer.append_chunk(session.id, rows, chunk=number)
+    replacer.commit(session.id)
+    found = spark.table(f"rep.{name}")
+    assert dict(found.dtypes)["Id"] == "int" and found.count() == 6 and found.select("Id").distinct().count() == 6
+
+
+def test_locks_follow_the_sessions(spark, table):
+    replacer, name = table
+    datasets = spark.createDataFrame([(1, False), (2, True), (3, None)], "id long, locked boolean")
+    session = replacer.start(1, "rep", name)
+    state = lambda: {r["id"]: r["locked"] for r in R.with_locks(datasets, replacer.sessions()).collect()}
+    assert state() == {1: True, 2: True, 3: False}
+    replacer.abort(session.id)
+    assert state() == {1: False, 2: True, 3: False}
+
+
+def test_refused_load_leaves_the_folder(spark, tmp_path):
+    path = str(tmp_path / "mine")
+    spark.range(3).write.parquet(path)
+    rows = spark.createDataFrame([("x",)], "n string")
+    for mode in ("fail", "null"):
+        with pytest.raises(InputError):
+            load_table(rows, [L.ColumnDef("n", L.INT)], "rep.never", on_errors=mode, path=path)
+    assert spark.read.parquet(path).count() == 3
+
+
 def test_state_rules():
     every = range(5)
     allowed = {(a, b) for a in every for b in every if R.allowed_transition(a, b)}

@@ -6,10 +6,13 @@ import csv
 import glob
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from quayside.errors import InputError
 from quayside.operators.rowindex import add_surrogate_key, row_index, row_index_by_location, surrogate_key_name
-from quayside.sources.export import clamp_rows, export_csv_parts, export_table, warnings_report
+from quayside.sources.export import checked_rows, export_csv_parts, export_table, warnings_report
 from quayside.sources.tables import create_external
 
 
@@ -71,7 +74,10 @@ def test_empty_table_gives_a_header(spark, tmp_path):
 
 
 def test_limits(spark):
-    assert [clamp_rows(n) for n in (0, 10, 9_000_000)] == [1, 10, 5_000_000]
+    assert checked_rows(10) == 10
+    for wrong in (0, 9_000_000):
+        with pytest.raises(InputError):
+            checked_rows(wrong)
     warnings = spark.range(150).select(F.col("id").alias("row_index"), F.lit("c").alias("column_name"))
     shown, cut = warnings_report(warnings)
     assert shown.count() == 100 and cut
