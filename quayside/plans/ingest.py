@@ -13,6 +13,7 @@ from quayside.operators.load import load_table
 from quayside.operators.rowindex import add_surrogate_key, row_index
 from quayside.plans.portal_tables import Portal
 from quayside.plans.registry import query
+from quayside.sources.tables import content_hashes
 from quayside.sources.tabular import FILE, FILE_SEQ, ROW_NO, read_csv, read_tabular
 from quayside.storage import fresh_path
 
@@ -246,3 +247,40 @@ def align_columns_by_name(portal: Portal) -> DataFrame:
 SELECT lower(p_type) AS header, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_header_names(portal: Portal) -> DataFrame:
     return duplicate_headers(portal.raw("part"), "p_type")
+
+
+@query("infer_late_bad_cell", """
+SELECT 0 AS ordinal, 'number' AS column_name, CASE WHEN count(*) > 0 THEN 'NVarChar' END AS logical_type FROM orders
+UNION ALL SELECT 1, 'whole', CASE WHEN count(*) > 0 THEN 'Int' END FROM orders""")
+def infer_late_bad_cell(portal: Portal) -> DataFrame:
+    """One cell that is no number, the last of all, makes its column text: every row is tested."""
+    orders = portal.raw("orders")
+    last = orders.agg(F.max("o_orderkey").alias("last"))
+    key = F.col("o_orderkey")
+    cells = orders.crossJoin(F.broadcast(last)).select(   # one row
+        F.when(key == F.col("last"), F.lit("x")).otherwise(key.cast("string")).alias("number"), (key + 2).cast("string").alias("whole"))
+    return inference_report(cells).select("ordinal", "column_name", "logical_type")
+
+
+@query("read_csv_row_numbers", """
+SELECT CAST(event_id % 2 AS INTEGER) AS _file_seq, count(*) AS n, CAST(1 AS BIGINT) AS first_row, count(*) AS places FROM events GROUP BY 1""")
+def read_csv_row_numbers(portal: Portal) -> DataFrame:
+    """Two folders of text files, one read: the place in the list and the row numbers of every file."""
+    paths = []
+    for i in (0, 1):
+        path = fresh_path(portal.spark, "events-part") + ".csv"
+        portal.raw("events").where(F.col("event_id") % 2 == i).select("event_id", "props").write.options(
+            header=True, quote='"', escape='"', emptyValue="", nullValue="").csv(path)
+        paths.append(path)
+    rows = read_csv(portal.spark, paths)
+    return rows.groupBy(FILE_SEQ).agg(F.count(F.lit(1)).alias("n"), F.min(ROW_NO).alias("first_row"),
+                                      F.count_distinct(FILE, ROW_NO).alias("places"))
+
+
+@query("content_hashes_of_files", "SELECT s_suppkey, sha256(s_name || chr(10)) AS sha256 FROM supplier")
+def content_hashes_of_files(portal: Portal) -> DataFrame:
+    """Hashes of file contents: one small file per supplier, written and hashed."""
+    path = fresh_path(portal.spark, "supplier-files")
+    portal.raw("supplier").select(F.col("s_suppkey").alias("key"), "s_name").write.partitionBy("key").text(path)
+    found = content_hashes(portal.spark, path)
+    return found.select(F.regexp_extract("path", "/key=(\\d+)/", 1).cast("bigint").alias("s_suppkey"), "sha256")

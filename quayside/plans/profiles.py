@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.functions.times import utc_instant
 from quayside.operators.profile import compare_profiles, profile
 from quayside.plans.portal_tables import Portal
 from quayside.plans.registry import query
+from quayside.sources.tables import describe_columns
 
 # Columns of the driver tables by category, with the SQL type name each one is published under.
 _SHAPES = {
@@ -90,3 +92,22 @@ def profile_compare(portal: Portal) -> DataFrame:
     old = portal.raw("orders").select("o_orderkey", "o_totalprice")
     new = portal.raw("orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("o_totalprice"))
     return compare_profiles(old, new).select("column_name", "unique_delta", "non_null_delta")
+
+
+@query("profile_instants", """
+SELECT 'o_orderdate' AS column_name, count(DISTINCT o_orderdate) AS unique_count, count(o_orderdate) AS non_null_count,
+  strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%S.%f') || '0' AS min_value,
+  strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S.%f') || '0' AS max_value FROM orders""")
+def profile_instants(portal: Portal) -> DataFrame:
+    """Instants are shown in UTC, whatever the session zone."""
+    rows = portal.raw("orders").select(utc_instant(F.col("o_orderdate")).alias("o_orderdate"))
+    return profile(rows).select("column_name", "unique_count", "non_null_count", "min_value", "max_value")
+
+
+@query("described_columns", """
+SELECT * FROM (VALUES (0, 'event_id', 'bigint', 'BigInt', 'Number'), (1, 'ts', 'datetime2', 'DateTime2', 'Date'),
+  (2, 'user_id', 'bigint', 'BigInt', 'Number'), (3, 'event_type', 'nvarchar', 'NVarChar', 'Text'),
+  (4, 'value', 'float', 'Float', 'Number'), (5, 'props', 'nvarchar', 'NVarChar', 'Text'))
+  AS v(ordinal, column_name, data_type, logical_type, category)""")
+def described_columns(portal: Portal) -> DataFrame:
+    return describe_columns(portal.raw("events"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.operators import replace as R
+from quayside.operators.catalog import servable
 from quayside.operators.usage import COMMITTED
 from quayside.plans.portal_tables import Portal
 from quayside.plans.registry import query
@@ -143,3 +144,32 @@ def drop_table(portal: Portal) -> DataFrame:
     there = portal.spark.catalog.tableExists(name)
     return before.withColumn("there_after", F.lit(there)).withColumn(
         "dropped_again", F.lit(drop_table_if_exists(portal.spark, name)))
+
+
+@query("replace_keyed_table", "SELECT count(*) AS n, count(*) AS keys, 'int' AS key_type, sum(o_totalprice + 0.5) > 0 AS priced FROM orders")
+def replace_keyed_table(portal: Portal) -> DataFrame:
+    """A table with an INT key, replaced by chunks that are sent again: every row has a key of its own, of that type."""
+    spark = portal.spark
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {SCHEMA}")
+    table, path = "keyed_" + uuid.uuid4().hex[:12], fresh_path(spark, "source")
+    orders = portal.raw("orders").withColumn("Id", F.col("o_orderkey").cast("int"))
+    orders.write.parquet(path)
+    create_external(spark, f"{SCHEMA}.{table}", path, orders.schema, {R.KEY_PROPERTY: "Id"})
+    replacer = R.TableReplacer(spark, fresh_path(spark, "replace"))
+    session = replacer.start(1, SCHEMA, table).id
+    first, second = _chunks(portal)
+    for rows, number in ((first, 1), (second, 50_000), (first, 1)):
+        replacer.append_chunk(session, rows, chunk=number)
+    replacer.commit(session)
+    found = spark.table(quoted(f"{SCHEMA}.{table}"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("Id").alias("keys"),
+                     F.lit(dict(found.dtypes)["Id"]).alias("key_type"), (F.sum("o_totalprice") > 0).alias("priced"))
+
+
+@query("servable_while_replacing", """
+SELECT id FROM datasets WHERE allow_api AND NOT locked AND visibility = 1
+  AND id NOT IN (SELECT dataset_id FROM replace_sessions WHERE status NOT IN (3, 4) AND dataset_id IS NOT NULL)""",
+       "datasets replace_sessions")
+def servable_while_replacing(portal: Portal) -> DataFrame:
+    """A dataset is not served while one of its replace sessions is open or under review."""
+    return servable(R.with_locks(portal.datasets(), portal.replace_sessions()), "public").select("id")

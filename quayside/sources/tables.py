@@ -37,6 +37,12 @@ def describe_columns(df: DataFrame) -> DataFrame:
         rows, "ordinal int, column_name string, data_type string, logical_type string, category string")
 
 
+def content_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """``path, size_bytes, sha256`` (lower-case hex) of the content of every file below ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def preview(df: DataFrame, order: Sequence[str] = (), n: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows with every cell as text, NULL as the empty text."""
     rows = df.orderBy(*order).limit(n) if order else df.limit(n)
