@@ -36,7 +36,7 @@ from quayside.llm.common import as_bytes, calls, fold, in_workers, lower_words_o
 from quayside.storage import delete_path, fresh_path, source_bytes
 
 FOLDS, HELD_FOLD, CUTOFF = 10, 0, 5
-BLOCK_TOKENS, PART_ENTRIES, CLASS_BYTES = 3_000_000, 2_000_000, 16 << 20
+BLOCK_TOKENS, PART_ENTRIES, CLASS_BYTES = 3_000_000, 1_600_000, 16 << 20
 BASE = 0.1
 START, FIRST_NUMBER = 1, 2
 SCHEMA = "kind int, p int, block long, a array<long>, f array<double>, b array<binary>"
@@ -54,6 +54,10 @@ def _row(kind: int, p: int = 0, block: int = 0, a=None, f=None, b=()) -> pa.Reco
         schema=_KIND)
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint32) if not len(values) or values.max() < 2**32 else values
+
+
 def _floats(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values, "<f8").tobytes()
 
@@ -245,21 +249,26 @@ def _counted(requests: DataFrame, parts: int, uni: Unigrams) -> DataFrame:
             own = batch.column("kind").to_numpy()
             if (own == DOCS).any():
                 yield batch.filter(pa.array(own == DOCS))
-            rows += [(x["block"], x["a"][0], [unpack(y) for y in x["b"][:7]], x["b"][7]) for x in batch.filter(pa.array(own == 1)).to_pylist()]
+            for i in np.flatnonzero(own == 1):
+                x = batch.slice(int(i), 1).to_pylist()[0]
+                rows.append((x["block"], x["a"][0], [_narrow(unpack(y)) for y in x["b"][:7]], x["b"][7]))
         if not rows:
             return
         flags = [np.unpackbits(np.frombuffer(x[3], np.uint8), count=x[1]).astype(np.float64) for x in rows]
         trained = np.concatenate([np.add.reduceat(t[b[6].astype(np.int64)], np.r_[0, np.cumsum(b[5].astype(np.int64))[:-1]])
                                   for (_, _, b, _), t in zip(rows, flags)])
         h_number = np.concatenate([np.repeat(b[0], b[2].astype(np.int64)) for _, _, b, _ in rows])
-        h_count = np.concatenate([np.repeat(b[1], b[2].astype(np.int64)) for _, _, b, _ in rows]).astype(np.int64)
-        w_number = np.concatenate([b[3] for _, _, b, _ in rows])
-        w_count = np.concatenate([b[4] for _, _, b, _ in rows]).astype(np.int64)
         hs, h_at, h_first = _distinct(h_number)
-        ws, w_at, _ = _distinct(w_number)
-        pairs, at, first = _distinct(h_at.astype(np.uint64) * np.uint64(len(ws)) + w_at.astype(np.uint64))
+        ch = np.concatenate([np.repeat(b[1], b[2].astype(np.int64)) for _, _, b, _ in rows])[h_first].astype(np.int64)
+        del h_number
+        ws, w_at, _ = _distinct(np.concatenate([b[3] for _, _, b, _ in rows]))
+        w_at = w_at.astype(np.uint64)
+        w_at += h_at.astype(np.uint64) * np.uint64(len(ws))
+        pairs, at, first = _distinct(w_at)
+        del w_at
         c2 = np.bincount(at, trained, len(pairs)).astype(np.int64)
-        of, ch, cw = h_at[first], h_count[h_first], w_count[first]
+        of, cw = h_at[first], np.concatenate([b[4] for _, _, b, _ in rows])[first].astype(np.int64)
+        at, h_at = _narrow(at), None
         seen = c2 > 0
         small = np.minimum(c2, CUTOFF + 1)
         stats = np.stack([*(np.bincount(of[seen & (small == r)], minlength=len(hs)) for r in range(1, CUTOFF + 1)),
@@ -303,7 +312,7 @@ def _counted(requests: DataFrame, parts: int, uni: Unigrams) -> DataFrame:
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values, the place of each value among them, the first place of each."""
     found, first, inverse = np.unique(values, return_index=True, return_inverse=True)
-    return found, inverse.ravel(), first
+    return found.astype(np.uint64), inverse.ravel(), first
 
 
 def alphas(stats: np.ndarray, d: np.ndarray) -> np.ndarray:
