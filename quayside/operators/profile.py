@@ -54,11 +54,12 @@ def _stats(field: T.StructField, category: str) -> Column:
         short.alias("min_length"), longest.alias("max_length"), mean_length.alias("avg_length"))
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "exact") -> DataFrame:
+def profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "exact",
+            error: float = 0.05) -> DataFrame:
     """One row per column in table order; fields that do not apply are NULL.
 
-    ``distinct="approx"`` counts distinct values in the same single aggregation (HyperLogLog++), for
-    inputs that are expensive to compute; write such an input first when exact counts are needed.
+    ``distinct="approx"`` counts distinct values in the same single aggregation (HyperLogLog++ with
+    the given relative standard deviation), for inputs that are expensive to compute; write such an input first when exact counts are needed.
     """
     wanted = set(columns or df.columns)
     fields = [(i, f, L.type_category(L.sql_name(f.dataType)))
@@ -68,7 +69,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: str =
     for i, field, category in fields:
         parts = [_stats(field, category).alias("s")]
         if approx:
-            parts.append(F.approx_count_distinct(F.col(f"`{field.name}`")).alias("unique_count"))
+            parts.append(F.approx_count_distinct(F.col(f"`{field.name}`"), error).alias("unique_count"))
         aggregates.append(F.struct(*parts).alias(f"c{i}"))
     reduced = df.agg(*aggregates)
     long = reduced.select(F.explode(F.array(*[

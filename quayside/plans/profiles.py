@@ -111,3 +111,14 @@ SELECT * FROM (VALUES (0, 'event_id', 'bigint', 'BigInt', 'Number'), (1, 'ts', '
   AS v(ordinal, column_name, data_type, logical_type, category)""")
 def described_columns(portal: Portal) -> DataFrame:
     return describe_columns(portal.raw("events"))
+
+
+@query("approximate_counts_lineitem", "SELECT i AS ordinal, c AS column_name, true AS within_5_percent FROM (VALUES " + ", ".join(
+    f"({i}, '{x.split(':')[0]}')" for i, x in enumerate(_SHAPES["lineitem"].split())) + ") AS v(i, c)")
+def approximate_counts_lineitem(portal: Portal) -> DataFrame:
+    """Estimated distinct counts beside the exact ones."""
+    rows = portal.raw("lineitem")
+    exact = profile(rows).select("ordinal", "column_name", F.col("unique_count").alias("exact"))
+    estimated = profile(rows, distinct="approx", error=0.01).select("ordinal", F.col("unique_count").alias("estimated"))
+    near = F.abs(F.col("estimated") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.05)
+    return exact.join(estimated, "ordinal").select("ordinal", "column_name", near.alias("within_5_percent"))
