@@ -36,7 +36,7 @@ from quayside.llm.common import as_bytes, calls, fold, in_workers, lower_words_o
 from quayside.storage import delete_path, fresh_path, source_bytes
 
 FOLDS, HELD_FOLD, CUTOFF = 10, 0, 5
-BLOCK_TOKENS, PART_ENTRIES, CLASS_BYTES = 3_000_000, 1_600_000, 16 << 20
+BLOCK_TOKENS, PART_ENTRIES, CLASS_BYTES = 1_500_000, 1_600_000, 16 << 20
 BASE = 0.1
 START, FIRST_NUMBER = 1, 2
 SCHEMA = "kind int, p int, block long, a array<long>, f array<double>, b array<binary>"
