@@ -135,6 +135,38 @@ def test_matches_include_every_planted_passage(spark):
     assert len(found - truth) <= 0.02 * len(found)
 
 
+@pytest.fixture(scope="module")
+def full_block():
+    """As many items as a block holds, each in one document: every other one word for word, the rest with words left out."""
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
+    items = [(i, some(40)) for i in range(latent.ITEM_BLOCK)]
+    rows = [(1000 + i, " ".join(some(90) + [w for j, w in enumerate(x) if i % 2 == 0 or j % 9 != 4] + some(70))) for i, x in items]
+    clean = [(5000 + i, " ".join(some(200))) for i in range(100)]
+    return [(i, " ".join(x)) for i, x in items], rows, clean
+
+
+def test_every_item_of_a_full_block_is_found(spark, docs_of, full_block):
+    items, rows, clean = full_block
+    found = contaminated(docs_of(rows + clean), spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == {(1000 + i, i) for i, _ in items}
+    assert min(x.cosine for x in found if x.item_id % 2 == 0) > 0.5
+
+
+def test_item_below_the_cosine_is_found_word_for_word(spark, docs_of):
+    rng = random.Random(2)
+    some = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
+    rows = [(i, " ".join(some(40) + ["one", "two"] + some(40))) for i in range(60)] + [(100, " ".join(some(40) + ["two", "one"]))]
+    found = contaminated(docs_of(rows), spark.createDataFrame([(1, "One two.", "none")], "item_id int, text string, answer string")).collect()
+    assert {x.doc_id for x in found} >= set(range(60)) and all(x.lcs_share == 1 for x in found if x.doc_id < 60)
+
+
+def test_long_items_are_searched_in_runs():
+    items = [[b"x"] * n for n in (40, 5, 20 * 1024, 40, 1)]
+    runs = latent.searches(items)
+    assert [x for r in runs for x in items[r]] == items and [r.start for r in runs] == [0, 2, 3]
+
+
 def test_paraphrases_and_odd_rows(spark, docs_of, odd_rows):
     rng = random.Random(3)
     items = [(i, prose(rng, 30) + ". " + prose(rng, 8) + ".") for i in range(6)] + [(6, None), (7, ""), (0, None)]
