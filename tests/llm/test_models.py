@@ -161,6 +161,20 @@ def test_item_below_the_cosine_is_found_word_for_word(spark, docs_of):
     assert {x.doc_id for x in found} >= set(range(60)) and all(x.lcs_share == 1 for x in found if x.doc_id < 60)
 
 
+@pytest.mark.parametrize("between", [10, 400])
+def test_any_stretch_may_convict(between):
+    """The longest common subsequence lacks the answer, a shorter one elsewhere has it; in one group and in two."""
+    item, fill = [b"i%d" % i for i in range(20)], [b"x%d" % i for i in range(between)]
+    words = item[:12] + fill + [b"y"] * 40 + item[:11] + [b"answer"] + [b"z"] * 40
+    places = np.array([0, 40 + len(fill) + 12])
+    asked = latent.Items(["a"], [item], [{b"answer"}], np.zeros((1, 1), np.float32), np.array([0]), {})
+    found = latent.check(asked, 0, words, places)
+    assert found is not None and found[:2] == (11 / 20, 1.0)
+    asked.answers[0] = {b"other"}
+    assert latent.check(asked, 0, words, places) is None
+    assert latent.check(asked, 0, words + item, np.array([0, len(words)]))[0] == 1
+
+
 def test_long_items_are_searched_in_runs():
     items = [[b"x"] * n for n in (40, 5, 20 * 1024, 40, 1)]
     runs = latent.searches(items)
