@@ -14,7 +14,7 @@ from quayside.llm.ordinal_quality import of_quality, ordinal_quality, ratings_of
 from quayside.llm.simhash_bytes import near_duplicates
 from quayside.llm.string_kernel import Model, strings_of, toxicity
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MIDDLE, LARGE = (f"/root/testdata/{x}" for x in ("sf0.001", "sf0.01", "sf0.1"))
 LABELS = "doc_id long, quality int, toxic int, text string"
 
 
@@ -153,6 +153,30 @@ def test_every_item_of_a_full_block_is_found(spark, docs_of, full_block):
     assert min(x.cosine for x in found if x.item_id % 2 == 0) > 0.5
 
 
+@pytest.fixture(scope="module")
+def listed_block(spark):
+    """A full block of given texts: the items of sf0.1 and spans of its documents, with the verbatim pairs by brute force."""
+    rng = random.Random(7)
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{LARGE}/documents.parquet").where("doc_id % 5 = 0").orderBy("doc_id").collect()]
+    words = [[w.decode() for w in latent.plain_words((t or "").encode())] for _, t in rows]
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{LARGE}/benchmark.parquet").orderBy("item_id").collect()]
+    for own in rng.sample([x for x in words if len(x) >= 90], latent.ITEM_BLOCK - len(items)):
+        at = rng.randrange(len(own) - 60)
+        items.append((10**6 + len(items), " ".join(own[at : at + 60])))
+    plain = [(i, f" {' '.join(w.decode() for w in latent.plain_words(t.encode()))} ") for i, t in items]
+    truth = {(d, i) for (d, _), own in zip(rows, words) for text in [f" {' '.join(own)} "] for i, t in plain if t in text}
+    return items, rows, truth
+
+
+def test_recall_of_a_full_block_of_given_texts(spark, docs_of, listed_block):
+    items, rows, truth = listed_block
+    assert len(items) == latent.ITEM_BLOCK
+    found = contaminated(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(truth) >= 312 and truth <= {(x.doc_id, x.item_id) for x in found}
+    # by the cosine alone
+    assert len(truth & {(x.doc_id, x.item_id) for x in found if x.cosine is not None}) >= 0.99 * len(truth)
+
+
 def test_item_below_the_cosine_is_found_word_for_word(spark, docs_of):
     rng = random.Random(2)
     some = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
