@@ -221,6 +221,20 @@ def test_paraphrases_and_odd_rows(spark, docs_of, odd_rows):
     assert contaminated(docs_of(rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_stage_with_a_full_block(spark, docs_of, listed_block, tmp_path):
+    """Every document with a verbatim item goes; clean ones and those without an id stay, with their columns."""
+    items, rows, truth = listed_block
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rng = random.Random(4)
+    clean = [(10**7 + i, prose(rng, 200)) for i in range(50)]
+    docs = docs_of([*rows, *clean, (None, "no id here"), (None, None)])
+    left = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert left.schema == docs.schema
+    stay = [x.doc_id for x in left.collect()]
+    assert truth and not {d for d, _ in truth} & set(stay)
+    assert {i for i, _ in clean} <= set(stay) and stay.count(None) == 2
+
+
 def test_pipeline_stages_against_brute_force(spark, docs_of, odd_rows):
     """Stages 2 and 3 decide as their operators do for single rows; columns stay; ids left over are packed whole."""
     from quayside.llm.compression_bands import verdicts
