@@ -231,3 +231,39 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
         F.when(frequent, F.col("best.word")).alias("form"), F.when(frequent, -F.col("best.minus")).alias("form_n")), "variant-forms")
     rooted = roots(judged.where("form is not null").select("word", "form"))
     return judged.join(rooted, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+ORACLE = """
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256) UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8),
+codes AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+hashed AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS h FROM runs, codes),
+results AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+lacking AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM lacking a JOIN lacking b ON a.i = b.i AND a.part = b.part AND a.word <> b.word
+  UNION SELECT word, part FROM lacking WHERE part IN (SELECT word FROM words)
+  UNION SELECT part, word FROM lacking WHERE part IN (SELECT word FROM words)),
+best AS (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n
+  FROM near JOIN words ON near.other = words.word GROUP BY near.word),
+judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form,
+    CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk(word, place) AS (
+  SELECT word, word FROM judged UNION ALL
+  SELECT walk.word, judged.form FROM walk JOIN judged ON walk.place = judged.word WHERE judged.form IS NOT NULL)
+SELECT j.word, j.form, w.place AS root, j.n, j.n_near, j.form_n
+FROM judged j JOIN walk w ON j.word = w.word JOIN judged e ON w.place = e.word WHERE e.form IS NULL
+"""
