@@ -25,7 +25,7 @@ from quayside.storage import lookup_side
 PUBLIC, PRIVATE, INTERNAL, PERSONAL = 1, 2, 3, 4
 OBSERVER, USER, EDITOR, ADMINISTRATOR = 1, 2, 3, 4
 # Index job states.
-NOT_ENABLED, PENDING, FAILED = "not enabled", "pending", "failed"
+NOT_ENABLED, PENDING, RUNNING, COMPLETED, FAILED = "not enabled", "pending", "running", "completed", "failed"
 
 
 @dataclass(frozen=True)

@@ -7,8 +7,9 @@ LOCATION``; the previous folder stays registered under its old name until ``push
 a reader sees either the old or the new content.
 
 Session states are rows in an append-only table; the newest row of a session is its state. The table
-has no transaction of its own: one job at a time drives a dataset (the ``locked`` check refuses a
-second session, it does not arbitrate a race).
+has no transaction of its own: a session holds the lease of its dataset (``quayside.leases``) from its
+start to its end, and every state is written under that lease. Of two starts at one instant one is
+refused, and a session whose dataset was taken over after its lifetime cannot write any more.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from quayside import types as L
 from quayside.errors import StateError
 from quayside.functions.parsing import CHUNK
 from quayside.functions.text import staged_name
+from quayside.leases import Leases, utc_now
 from quayside.operators.convert import ImportResult, convert, drop_empty_rows, import_errors, result_aggregates
 from quayside.operators.headers import align_by_name
 from quayside.operators.profile import compare_profiles
 from quayside.operators.rowindex import row_index
-from quayside.operators.usage import ABORTED, COMMITTED, PUSHED, STARTED, UPLOADING, expired_sessions
+from quayside.operators.usage import (
+    ABORTED, COMMITTED, PUSHED, SESSION_LIFETIME_HOURS, STARTED, UPLOADING, expired_sessions, instant)
 from quayside.sources.tables import (
     check_identifier, create_external, drop_table_if_exists, point_to, quoted, table_exists, table_location,
     table_properties)
@@ -113,6 +116,22 @@ def with_locks(datasets: DataFrame, sessions: DataFrame) -> DataFrame:
     return joined.select(*[locked.alias(c) if c == "locked" else F.col(f"`{c}`") for c in datasets.columns])
 
 
+def closing_rows(sessions: DataFrame, now: dt.datetime) -> DataFrame:
+    """The next state row of every session past its lifetime: aborted at ``now``. One plan for all of them."""
+    at = instant(now, sessions.schema["created_at"].dataType)
+    closed = {"status": F.lit(ABORTED), "updated_at": at, "completed_at": at, "revision": F.col("revision") + 1}
+    return expired_sessions(sessions, now).select(*[
+        closed[f.name].cast(f.dataType).alias(f.name) if f.name in closed else F.col(f"`{f.name}`") for f in sessions.schema.fields])
+
+
+def dataset_lease(dataset_id: int) -> str:
+    """Name of the lease of a dataset, for everything that rewrites its tables."""
+    return f"dataset-{dataset_id}"
+
+
+LIFETIME = dt.timedelta(hours=SESSION_LIFETIME_HOURS)
+
+
 class TableReplacer:
     """Runs replace sessions against a catalogue. ``root`` holds the session log and staging data."""
 
@@ -120,7 +139,8 @@ class TableReplacer:
         self.spark = spark
         self.root = root.rstrip("/")
         self.log_path = f"{self.root}/_sessions"
-        self._now = now or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+        self._now = now or utc_now
+        self.leases = Leases(spark, f"{self.root}/_leases", self._now)
 
     # -- session rows
 
@@ -141,6 +161,8 @@ class TableReplacer:
         return ReplaceSession(**row.asDict())
 
     def _record(self, session: ReplaceSession) -> ReplaceSession:
+        if not self.leases.holds(dataset_lease(session.dataset_id), session.id, LIFETIME):
+            raise StateError("another job has taken the dataset of the session")
         following = changed(session, revision=session.revision + 1)
         self.spark.createDataFrame([tuple(asdict(following).values())], SESSION_SCHEMA).coalesce(1) \
             .write.mode("append").parquet(self.log_path)
@@ -159,13 +181,23 @@ class TableReplacer:
 
     def start(self, dataset_id: int, schema: str, table: str, user_id: int | None = None) -> ReplaceSession:
         """Lock the dataset and open an empty staging table with the columns of the source."""
-        self.abort_expired()
-        if self.locked(dataset_id):
+        job, lease = uuid.uuid4().hex, dataset_lease(dataset_id)
+        if not self.leases.acquire(lease, job, LIFETIME):
             raise StateError("the dataset is being replaced already")
+        try:
+            # Under the lease of the dataset: what outlived its time gives way to the new session.
+            self._close({dataset_id})
+            if self.locked(dataset_id):
+                raise StateError("the dataset is being replaced already")
+            return self._open(job, dataset_id, schema, table, user_id)
+        except BaseException:
+            self.leases.release(lease, job)
+            raise
+
+    def _open(self, job: str, dataset_id: int, schema: str, table: str, user_id: int | None) -> ReplaceSession:
         source = f"{schema}.{table}"
         if not table_exists(self.spark, source):
             raise StateError("the source table does not exist")
-        job = uuid.uuid4().hex
         staging = check_identifier(staged_name(table, "staging", job))
         path = f"{self.root}/{schema}/{staging}"
         properties = table_properties(self.spark, source)
@@ -285,6 +317,7 @@ class TableReplacer:
         delete_path(self.spark, session.source_path)
         at = self._now()
         pushed = self._record(changed(session, status=PUSHED, completed_at=at, updated_at=at))
+        self.leases.release(dataset_lease(session.dataset_id), session.id)
         return pushed if sections is None else (pushed, clear_index_metadata(sections, session.table_name))
 
     def abort(self, session_id: str) -> ReplaceSession:
@@ -292,20 +325,57 @@ class TableReplacer:
         session = self.load(session_id)
         if not allowed_transition(session.status, ABORTED):
             raise StateError("the session is closed already")
-        if session.old_table:
+        self._take_back(session, lambda name: table_exists(self.spark, name))
+        at = self._now()
+        aborted = self._record(changed(session, status=ABORTED, completed_at=at, updated_at=at))
+        self.leases.release(dataset_lease(session.dataset_id), session.id)
+        return aborted
+
+    def _take_back(self, session: ReplaceSession, exists: Callable[[str], bool]) -> None:
+        """The catalogue steps of an abort; each may be repeated."""
+        if session.old_table and exists(self._full(session, session.table_name)):
             point_to(self.spark, self._full(session, session.table_name), session.source_path)
-        drop_table_if_exists(self.spark, self._full(session, self._old_name(session)))
-        drop_table_if_exists(self.spark, self._full(session, session.staging_table))
+        for name in (self._old_name(session), session.staging_table):
+            if exists(self._full(session, name)):
+                drop_table_if_exists(self.spark, self._full(session, name))
         delete_path(self.spark, session.staging_path)
-        at = self._now()
-        return self._record(changed(session, status=ABORTED, completed_at=at, updated_at=at))
 
     def abort_expired(self) -> int:
-        """Abort sessions past their lifetime; returns how many."""
-        rows = expired_sessions(self.sessions(), self._now()).select("id").collect()
-        for row in rows:
-            self.abort(row["id"])
-        return len(rows)
+        """Abort all sessions past their lifetime; returns how many.
+
+        Each is taken over by its dataset's lease first. Their catalogue steps come from one list, and their closing
+        rows are one append.
+        """
+        closer, taken = f"expiry-{uuid.uuid4().hex}", set()
+        due = expired_sessions(self.sessions(), self._now()).select("dataset_id").distinct().orderBy("dataset_id").collect()
+        for dataset_id, in due:
+            if self.leases.acquire(dataset_lease(dataset_id), closer, LIFETIME):
+                taken.add(dataset_id)
+        try:
+            return self._close(taken)
+        finally:
+            for dataset_id in taken:
+                self.leases.release(dataset_lease(dataset_id), closer)
+
+    def _close(self, datasets: set[int]) -> int:
+        """Close the sessions of these datasets, whose leases the caller has, that outlived their time."""
+        if not datasets:
+            return 0
+        of = self.spark.createDataFrame([(x,) for x in sorted(datasets)], "dataset_id long")
+        now = self._now()
+        # States are read under the leases: a session that ended meanwhile is not due any more.
+        due = [ReplaceSession(**r.asDict()) for r in expired_sessions(self.sessions(), now).join(of, "dataset_id", "left_semi").collect()]
+        if not due:
+            return 0
+        tables = {}
+        for schema in {s.schema_name for s in due}:
+            found = self.spark.sql(f"SHOW TABLES IN {quoted(schema)}").collect() if self.spark.catalog.databaseExists(schema) else []
+            tables[schema] = {f"{schema}.{r['tableName']}".lower() for r in found}
+        for session in due:
+            self._take_back(session, lambda name: name.lower() in tables[name.split(".", 1)[0]])
+        closing = closing_rows(self.sessions().join(of, "dataset_id", "left_semi"), now)
+        closing.select(*SESSION_SCHEMA.names).coalesce(1).write.mode("append").parquet(self.log_path)
+        return len(due)
 
     def recover(self, session_id: str) -> ReplaceSession:
         """Finish a commit that stopped between its steps; other sessions are left as they are."""

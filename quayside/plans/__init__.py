@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("profiles", "ingest", "slices", "scalars", "catalog", "usage", "export", "replace", "streams")
+_MODULES = ("profiles", "ingest", "slices", "scalars", "catalog", "usage", "export", "replace", "streams", "index_jobs")
 
 
 def catalogue_of_queries():

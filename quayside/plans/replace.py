@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame
@@ -115,6 +116,15 @@ def replace_transitions(portal: Portal) -> DataFrame:
         R.transition_allowed_column(status, F.lit(R.ABORTED)).alias("may_abort"))
 
 
+@query("replace_sessions_expire", """
+SELECT id, 4 AS status, 4 AS revision, TIMESTAMP '1995-06-01 12:00:00' AS completed_at FROM replace_sessions
+WHERE created_at <= TIMESTAMP '1995-06-01 11:00:00' AND status NOT IN (3, 4)""", "replace_sessions")
+def replace_sessions_expire(portal: Portal) -> DataFrame:
+    """The closing rows of all sessions past their lifetime, by one plan."""
+    sessions = portal.replace_sessions().select("*", F.lit(3).alias("revision"), F.lit(None).cast("timestamp_ntz").alias("completed_at"))
+    return R.closing_rows(sessions, dt.datetime(1995, 6, 1, 12)).select("id", "status", "revision", "completed_at")
+
+
 @query("replace_session_states", """
 SELECT DISTINCT ON (dataset_id) dataset_id, status, created_at FROM (
   SELECT o_custkey AS dataset_id, CAST(o_orderkey % 5 AS INTEGER) AS status, o_orderdate AS created_at, o_orderkey FROM orders)

@@ -8,8 +8,11 @@ second read is columnar and can be pruned.
 
 from __future__ import annotations
 
+import contextlib
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,16 +47,71 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _owned(spark: SparkSession, path: str):
+    """The Hadoop file system that owns a path, and the path in it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _owned(spark, path)
+    return system.exists(target)
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Remove a data folder through the Hadoop file system that owns it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _owned(spark, path)
+    return system.delete(target, True)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder, in order; none if there is no such folder."""
+    system, target = _owned(spark, folder)
+    return sorted(x.getPath().getName() for x in system.listStatus(target)) if system.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """Content of a small file."""
+    system, target = _owned(spark, path)
+    stream = system.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_exclusive(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless it is there already; of several writers exactly one gets True.
+
+    Hadoop's local file system looks before it creates, which is two steps: there the file is made under another name
+    and linked, which is one. Other file systems create without overwriting as one step of their own.
+    """
+    system, target = _owned(spark, path)
+    if system.getScheme() == "file":
+        place = unquote(urlsplit(target.toUri().toString()).path)
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        draft = f"{place}.{uuid.uuid4().hex}.draft"
+        with open(draft, "x", encoding="utf-8") as file:
+            file.write(text)
+        try:
+            os.link(draft, place)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            with contextlib.suppress(FileNotFoundError):
+                os.unlink(draft)
+    try:
+        stream = system.create(target, False)
+    except Exception:
+        if system.exists(target):
+            return False
+        raise
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return True
 
 
 # Size a shuffle partition is planned for, and a ceiling for wrong estimates.
