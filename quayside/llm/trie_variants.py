@@ -41,9 +41,13 @@ _PRIME, _BASE = (1 << 127) - 1, 0x2545F4914F6CDD1D9E3779B97F4A7C15
 # Latin-1 codes that are letters of a word, A-Z in lower case; every other sign is a gap.
 _LETTERS = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 0xC0 else 32 for x in range(256))
 _LAST_BIT = 62
+# Prefixes of up to so many signs are nodes without a look at their branches.
+SHORT = 2
+# Edges of a level that are broadcast at most: one row takes some hundred bytes.
+LEVEL_ROWS = 200_000
 STEPS = "id long, at int, node binary, next string"
 EDGES = "node binary, label string, child binary, depth int, lengths long, ends long, signs long, first string"
-STATES = "word long, position int, rest string, node binary, edits int, found long"
+STATES = "word long, position int, rest string, node binary, edits int, found long, able boolean"
 
 
 def utf8(word: bytes) -> bytes:
@@ -63,7 +67,7 @@ def changed_words(doc_id: str, text: str) -> tuple[list[bytes], list[tuple[bytes
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
-    """``id, word, n``: the words that are long and frequent enough, written once."""
+    """``id, word, n, node``: the words that are long and frequent enough, at the root, written once."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
@@ -87,7 +91,8 @@ def counted_words(docs: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("text"))
     words = in_workers(texts, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_COUNT}")
-    return materialise(words.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "variant-words")
+    # The root is written with the words: as a literal it would turn the first join into a nested loop.
+    return materialise(words.select(F.monotonically_increasing_id().alias("id"), "word", "n", F.lit(ROOT).alias("node")), "variant-words")
 
 
 def prefixes(words: DataFrame) -> DataFrame:
@@ -119,8 +124,8 @@ def sign_bit(sign: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(sign) % 63).cast("int"))
 
 
-def edge_table(words: DataFrame, path: str) -> int:
-    """Write the edges below ``path``, a folder per level; returns the number of levels.
+def edge_table(words: DataFrame, path: str) -> list[int]:
+    """Write the edges below ``path``, a folder per level; returns the edges of each level.
 
     ``word`` is the word that ends at the child, ``depth`` the length of its prefix, ``lengths`` has a bit for the
     length of each word at or below it, ``signs`` one for the first sign of each edge below it.
@@ -129,8 +134,10 @@ def edge_table(words: DataFrame, path: str) -> int:
     stepped = fresh_path(spark, "variant-prefixes")
     prefixes(words).write.parquet(stepped)
     steps = spark.read.schema(STEPS).parquet(stepped)
-    kept = steps.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b")).where("a < b or a = ''").select("node")
-    places = steps.join(kept, "node", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "node"))).alias("stops"))
+    # Short prefixes stay nodes whether they branch or not: they are few, and their rows are too many for one key.
+    short, long = steps.where(F.col("at") <= SHORT), steps.where(F.col("at") > SHORT)
+    kept = long.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b")).where("a < b or a = ''").select("node")
+    places = short.select("id", "at", "node").unionByName(long.join(kept, "node", "left_semi").select("id", "at", "node")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "node"))).alias("stops"))
     stop, before = F.get("stops", F.col("level")), F.get("stops", F.col("level") - 1)
     from_at = F.coalesce(before["at"], F.lit(0))
     cut = places.join(words.select("id", "word"), "id").select("id", "word", "stops", F.explode(F.sequence(F.lit(0), F.size("stops") - 1)).alias("level")).select(
@@ -145,62 +152,56 @@ def edge_table(words: DataFrame, path: str) -> int:
     edges = edges.withColumn("first", F.substring("label", 1, 1))
     edges.write.partitionBy("level").parquet(path)
     delete_path(spark, stepped)
-    return 0 if words.isEmpty() else spark.read.parquet(path).agg(F.max("level")).first()[0] + 1
+    if words.isEmpty():
+        return []
+    return [n for _, n in sorted(map(tuple, spark.read.parquet(path).groupBy("level").count().collect()))]
 
 
 def moved(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states after one edge, for those that may still end, and one row with ``found`` for each neighbour."""
-    n = F.length("label")
+    """The states after one edge: ``found`` is the word that ends there one edit away, ``able`` tells which may go on."""
+    n, left, way = F.length("label"), F.length("rest"), F.col("way")
     whole = F.startswith("rest", "label")
-
-    def apart(size: Column) -> Column:
-        """One edit between the label and so many signs of the rest."""
-        return F.levenshtein("label", F.substring(F.col("rest"), F.lit(1), size), 1) == 1
-
-    spent = F.struct(n.alias("taken"), F.lit(1).alias("edits"))
-    way = lambda size: F.struct(size.alias("taken"), F.lit(1).alias("edits"))
-    left = F.length("rest")
-    fresh = states.where("edits = 0").join(edges, "node").withColumn("move", F.explode(
-        F.when(whole, F.array(F.struct(n.alias("taken"), F.lit(0).alias("edits")))).otherwise(F.array(
-            F.when(apart(n - 1), way(n - 1)), F.when((left >= n) & apart(n), way(n)), F.when((left > n) & apart(n + 1), way(n + 1))))))
+    # Ways to take a label: as it is, or with its sign left out, replaced, or after a sign that is skipped.
+    taken = F.when(way == 1, n - 1).when(way == 3, n + 1).otherwise(n)
+    # Most labels near the root are one sign, where a look at the next one tells what the distance would.
+    sign = (way == 1) | (way == 2) & (left >= 1) | (way == 3) & (F.substring("rest", 2, 1) == F.col("label"))
+    longer = (left >= taken) & (F.levenshtein("label", F.substring(F.col("rest"), F.lit(1), taken), 1) == 1)
+    columns = ["word", "position", "rest", "child", "depth", "lengths", "ends", "signs"]
+    fresh = states.where("edits = 0").join(edges, "node").withColumn("way", F.explode(F.lit([0, 1, 2, 3]))).where(
+        F.when(way == 0, whole).otherwise(~whole & F.when(n == 1, sign).otherwise(longer))).select(
+        *columns, taken.alias("taken"), F.least(way, F.lit(1)).alias("edits"))
     following = states.where("edits = 1").withColumn("first", F.substring("rest", 1, 1)).join(edges, ["node", "first"]).where(whole)
-    columns = ["word", "position", "rest", "child", "depth", "lengths", "ends", "signs", "move"]
-    both = fresh.where("move is not null").select(*columns).unionByName(following.withColumn("move", spent).select(*columns))
-    moves = both.select(
-        "word", (F.col("position") + F.col("move.taken")).alias("position"),
-        F.substring(F.col("rest"), F.col("move.taken") + 1, F.length("rest")).alias("rest"), F.col("child").alias("node"),
-        F.col("move.edits").alias("edits"), "depth", "lengths", "ends", "signs")
-    left = F.length("rest")
-    found = F.when(((F.col("edits") == 1) & (left == 0)) | ((F.col("edits") == 0) & (left == 1)), F.col("ends"))
+    both = fresh.unionByName(following.select(*columns, n.alias("taken"), F.lit(1).alias("edits")))
+    moves = both.select("word", (F.col("position") + F.col("taken")).alias("position"),
+                        F.substring(F.col("rest"), F.col("taken") + 1, F.length("rest")).alias("rest"), F.col("child").alias("node"),
+                        "edits", "depth", "lengths", "ends", "signs")
+    ended = F.when(F.col("edits") == 1, left == 0).otherwise(left == 1)
     # What may still end: an edit spent needs a word of exactly this length and an edge with the next sign.
     able = F.when(F.col("edits") == 0, F.col("signs") != 0).otherwise(
         (left > 0) & (F.col("lengths").bitwiseAND(bit(F.col("depth") + left)) != 0) & (F.col("signs").bitwiseAND(sign_bit(F.col("rest"))) != 0))
-    return moves.select("word", "position", "rest", "node", "edits", F.explode(F.filter(F.array(
-        F.when(found.isNotNull(), found), F.when(able, F.lit(-1).cast("long"))), lambda x: x.isNotNull())).alias("found"))
+    return moves.select("word", "position", "rest", "node", "edits", F.when(ended, F.col("ends")).alias("found"), able.alias("able")).where(
+        "able or found is not null")
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """``word, near``: ids of all pairs of words that one edit separates, in both directions."""
     spark = words.sparkSession
     edges, root = fresh_path(spark, "variant-edges"), fresh_path(spark, "variant-states")
-    levels = edge_table(words, edges)
-    states = words.select(F.col("id").alias("word"), F.lit(0).alias("position"), F.col("word").alias("rest"), F.lit(ROOT).alias("node"), F.lit(0).alias("edits"))
-    for level in range(levels):
-        here = f"{root}/{level}"
-        rows = moved(states, spark.read.schema(EDGES).parquet(f"{edges}/level={level}"))
-        rows.select("*", (F.col("found") >= 0).alias("ended")).write.partitionBy("ended").parquet(here)
-        if level:
-            delete_path(spark, f"{root}/{level - 1}/ended=false")
-        written = spark.read.schema(STATES + ", ended boolean").parquet(here)
-        states = written.where("not ended").drop("ended", "found")
-    if not levels:
+    sizes = edge_table(words, edges)
+    if not sizes:
         return spark.createDataFrame([], "word long, near long")
+    states = words.select(F.col("id").alias("word"), F.lit(0).alias("position"), F.col("word").alias("rest"), "node", F.lit(0).alias("edits"))
+    for level, size in enumerate(sizes):
+        here = spark.read.schema(EDGES).parquet(f"{edges}/level={level}")
+        moved(states, F.broadcast(here) if size <= LEVEL_ROWS else here).write.parquet(f"{root}/{level}")
+        written = spark.read.schema(STATES).parquet(f"{root}/{level}")
+        written.where("found is not null").select("word", F.col("found").alias("near")).write.mode("append").parquet(f"{root}/found")
+        if level:
+            delete_path(spark, f"{root}/{level - 1}")
+        states = written.where("able").drop("found", "able")
+    delete_path(spark, f"{root}/{len(sizes) - 1}")
     delete_path(spark, edges)
-    pairs = [spark.read.schema(STATES + ", ended boolean").parquet(f"{root}/{level}").where("ended") for level in range(levels)]
-    found = pairs[0]
-    for more in pairs[1:]:
-        found = found.unionByName(more)
-    return found.select("word", F.col("found").alias("near"))
+    return spark.read.schema("word long, near long").parquet(f"{root}/found")
 
 
 def roots(forms: DataFrame) -> DataFrame:
