@@ -125,14 +125,19 @@ def activity_slots(log: DataFrame, key: str, time: str, minutes: int, sums: Sequ
         *[F.sum(c).alias(c) for c in sums])
 
 
-def chain_slots(slots: DataFrame, key: str, minutes: int, sums: Sequence[str] = ()) -> DataFrame:
-    """Join slots without a pause longer than ``minutes`` between them into windows."""
+def numbered_runs(slots: DataFrame, key: str, minutes: int) -> DataFrame:
+    """Slots with the number (``_run``) of the run they belong to: slots without a pause longer than ``minutes``."""
     gap = F.make_dt_interval(mins=F.lit(minutes))
     in_time = Window.partitionBy(key).orderBy("first_at")
     apart = F.col("first_at") > F.lag("last_at").over(in_time) + gap
-    numbered = slots.withColumn("_new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).withColumn(
-        "_run", F.sum("_new").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "_run").agg(
+    return slots.withColumn("_new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).withColumn(
+        "_run", F.sum("_new").over(in_time.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def chain_slots(slots: DataFrame, key: str, minutes: int, sums: Sequence[str] = ()) -> DataFrame:
+    """Join slots without a pause longer than ``minutes`` between them into windows."""
+    gap = F.make_dt_interval(mins=F.lit(minutes))
+    return numbered_runs(slots, key, minutes).groupBy(key, "_run").agg(
         F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"),
         F.sum("events").alias("events"), *[F.sum(c).alias(c) for c in sums]).select(
         key, F.col("first_at").alias("window_start"), (F.col("last_at") + gap).alias("window_end"),

@@ -42,8 +42,8 @@ SELECT date_trunc('day', accessed_at) AS day, count(*) AS requests, CAST(sum(byt
        sum(bytes) >= 16000000 AS exceeded FROM access_log GROUP BY 1""", "access_log")
 def stream_daily_quota(portal: Portal) -> DataFrame:
     path = fresh_path(portal.spark, "daily")
-    Q.update_into(Q.daily_quota_stream(log_stream(portal), limit=16_000_000), path, path + "-checkpoint").awaitTermination()
-    return _zoneless(Q.newest(portal.spark, path, ["day"]), "day")
+    Q.run_daily_quota(log_stream(portal), path, path + "-checkpoint", limit=16_000_000).awaitTermination()
+    return _zoneless(Q.daily_state(portal.spark, path), "day")
 
 
 @query("stream_token_quota", _TOKENS + f"SELECT *, bytes >= 500000 AS exceeded FROM islands WHERE {_CLOSED.format('accessed_at', 'access_log', 'token_id')}", "access_log")
@@ -57,7 +57,7 @@ def stream_token_quota(portal: Portal) -> DataFrame:
 def stream_token_live(portal: Portal) -> DataFrame:
     """All windows, open ones included, from the running slots of the stream."""
     path = fresh_path(portal.spark, "slots")
-    Q.update_into(Q.token_slots_stream(log_stream(portal)), path, path + "-checkpoint").awaitTermination()
+    Q.run_token_slots(log_stream(portal), path, path + "-checkpoint").awaitTermination()
     return _zoneless(Q.live_token_windows(portal.spark, path, limit=500_000), "window_start", "window_end")
 
 
