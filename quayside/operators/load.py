@@ -14,18 +14,20 @@ from quayside.operators.convert import (
 from quayside.operators.rowindex import row_index, row_index_by_location, surrogate_key_name
 from quayside.sources.tables import publish
 from quayside.sources.tabular import FILE, FILE_SEQ, ROW_NO
-from quayside.storage import delete_path, fresh_path, materialise, path_exists
+from quayside.storage import fresh_path, job_folders, materialise, path_exists
 
 
 def load_table(df: DataFrame, columns: Sequence[L.ColumnDef], table: str, on_errors: str = "fail",
                dense_key: bool = True, path: str | None = None,
-               currency: str = "¤") -> tuple[ImportResult, DataFrame]:
+               currency: str = "¤", purge: bool = False) -> tuple[ImportResult, DataFrame]:
     """Convert ``df``, write it to a fresh folder, and publish it as ``table``.
 
     Counts come from the write job itself (``observe``). The old table stays in place until the new
     data is complete and accepted; a ``path`` that exists is refused. Returns the counts and the rejects, which are
-    written apart. A dense key costs one more write, of the converted rows, deleted at the end;
-    ``dense_key=False`` numbers the rows in the conversion job itself, with gaps.
+    written apart. A dense key costs one more write, of the converted rows;
+    ``dense_key=False`` numbers the rows in the conversion job itself, with gaps. Of the folders made on the way only
+    the table's and the rejects' stay, and after a failure none. ``purge`` also deletes the folder of the
+    table that is replaced, once nobody reads it any more.
     """
     spark = df.sparkSession
     if path is not None and path_exists(spark, path):
@@ -35,9 +37,9 @@ def load_table(df: DataFrame, columns: Sequence[L.ColumnDef], table: str, on_err
     counts = Observation()
     converted = convert(df, columns, currency=currency)
     watched = converted.observe(counts, *result_aggregates(names))
-    target = path or fresh_path(spark, "table-" + table.replace(".", "-"))
-    staged = None
-    try:
+    with job_folders(spark) as job:
+        target = path or fresh_path(spark, "table-" + table.replace(".", "-"))
+        job.made += [path] if path else []   # made by this call: it did not exist before
         if dense_key:
             staged = fresh_path(spark, "converted")
             watched.write.parquet(staged)
@@ -55,12 +57,7 @@ def load_table(df: DataFrame, columns: Sequence[L.ColumnDef], table: str, on_err
             else:
                 keyed = row_index(kept, (), key)
             keyed.select(key, *names).write.parquet(target)
-        rejects = materialise(import_errors(converted), "rejects")
-    except Exception:
-        delete_path(spark, target)   # made by this call: it did not exist before
-        raise
-    finally:
-        if staged:
-            delete_path(spark, staged)
-    publish(spark, table, target, keyed.select(key, *names).schema, {"quayside.key": key})
+        rejects = materialise(import_errors(converted), "rejects", keep=True)
+        job.keep(target)
+    publish(spark, table, target, keyed.select(key, *names).schema, {"quayside.key": key}, purge)
     return result, rejects

@@ -28,6 +28,14 @@ FIELDS = ("column_name", "data_type", "category", "unique_count", "non_null_coun
           "max_value", "avg_value", "stddev_value", "min_length", "max_length", "avg_length")
 
 
+def date_text(value: Column, kind: T.DataType) -> Column:
+    """A date or time as ISO text, times in UTC with seven digits."""
+    if isinstance(kind, T.DateType):
+        return F.date_format(value, "yyyy-MM-dd")
+    at = utc_zoneless(value) if isinstance(kind, T.TimestampType) else value
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0"))
+
+
 def _stats(field: T.StructField, category: str) -> Column:
     cell = F.col(f"`{field.name}`")
     nothing = F.lit(None)
@@ -39,11 +47,7 @@ def _stats(field: T.StructField, category: str) -> Column:
         low, high = F.min(cell).cast("string"), F.max(cell).cast("string")
         mean, deviation = F.avg(number), F.stddev_samp(number)
     elif category == L.CATEGORY_DATE:
-        pattern = "yyyy-MM-dd" if isinstance(field.dataType, T.DateType) else "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-        instants = isinstance(field.dataType, T.TimestampType)
-        low, high = (F.date_format(utc_zoneless(f(cell)) if instants else f(cell), pattern) for f in (F.min, F.max))
-        if pattern != "yyyy-MM-dd":
-            low, high = F.concat(low, F.lit("0")), F.concat(high, F.lit("0"))
+        low, high = (date_text(f(cell), field.dataType) for f in (F.min, F.max))
     elif category == L.CATEGORY_TEXT:
         # Trailing spaces do not count as length.
         length = F.length(F.rtrim(cell))
@@ -65,11 +69,15 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: str =
     fields = [(i, f, L.type_category(L.sql_name(f.dataType)))
               for i, f in enumerate(df.schema.fields) if f.name in wanted]
     approx = distinct == "approx"
+    # One distinct count alone fits the main aggregation: no second scan, no join.
+    counted = F.count_distinct if len(fields) == 1 else None
     aggregates = []
     for i, field, category in fields:
         parts = [_stats(field, category).alias("s")]
         if approx:
             parts.append(F.approx_count_distinct(F.col(f"`{field.name}`"), error).alias("unique_count"))
+        elif counted:
+            parts.append(counted(F.col(f"`{field.name}`")).alias("unique_count"))
         aggregates.append(F.struct(*parts).alias(f"c{i}"))
     reduced = df.agg(*aggregates)
     long = reduced.select(F.explode(F.array(*[
@@ -78,7 +86,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: str =
                  F.col(f"c{i}").alias("p"))
         for i, f, category in fields])).alias("r")).select("r.*")
     long = long.select("ordinal", "column_name", "data_type", "category", "p.*")
-    if not approx:
+    if not approx and not counted:
         long = long.join(F.broadcast(distinct_counts(df, fields)), "ordinal")
     return long.select("ordinal", *[
         F.col(name) if name in ("column_name", "data_type", "category", "unique_count")
@@ -96,9 +104,14 @@ def distinct_counts(df: DataFrame, fields: Sequence[tuple[int, T.StructField, st
 
 def compare_profiles(old: DataFrame, new: DataFrame) -> DataFrame:
     """Audit of a replaced table: both profiles side by side per column, with deltas."""
+    return side_by_side(profile(old), profile(new))
+
+
+def side_by_side(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two profiles per column, with deltas."""
     sides = []
-    for side, df in (("old", old), ("new", new)):
-        sides.append(profile(df).select(
+    for side, rows in (("old", old), ("new", new)):
+        sides.append(rows.select(
             F.lower("column_name").alias("column_key"),
             *[F.col(c).alias(f"{side}_{c}") for c in
               ("unique_count", "non_null_count", "min_value", "max_value", "avg_value")]))

@@ -30,17 +30,18 @@ from quayside.functions.text import staged_name
 from quayside.leases import Leases, utc_now
 from quayside.operators.convert import ImportResult, convert, drop_empty_rows, import_errors, result_aggregates
 from quayside.operators.headers import align_by_name
-from quayside.operators.profile import compare_profiles
+from quayside.operators.profile import compare_profiles, side_by_side
 from quayside.operators.rowindex import row_index
+from quayside.operators.sketches import merged_profile, sketch, sketch_schema
 from quayside.operators.usage import (
     ABORTED, COMMITTED, PUSHED, SESSION_LIFETIME_HOURS, STARTED, UPLOADING, expired_sessions, instant)
 from quayside.sources.tables import (
     check_identifier, create_external, drop_table_if_exists, point_to, quoted, table_exists, table_location,
-    table_properties)
+    table_properties, text_literal)
 from quayside.sources.tabular import LOCATION, read_parquet
-from quayside.storage import delete_path
+from quayside.storage import delete_path, job_folders, path_exists
 
-KEY_PROPERTY = "quayside.key"
+KEY_PROPERTY, SKETCH_PROPERTY = "quayside.key", "quayside.sketches"
 
 
 @dataclass(frozen=True)
@@ -245,6 +246,19 @@ class TableReplacer:
         converted = convert(aligned, columns, CHUNK)
         counts = Observation()
         kept = drop_empty_rows(converted.observe(counts, *result_aggregates(names)), names)
+        used, place = 0, f"{session.staging_path}/chunk-{number}"
+        with job_folders(self.spark):   # the numbered copy of a keyed chunk goes when the chunk is written
+            used = self._write_chunk(session, kept, target, source, key, place)
+        self._store_sketch(session, place, number, source.schema)
+        seen = counts.get
+        self._record(changed(session, status=UPLOADING, chunks=max(session.chunks, number), updated_at=self._now(),
+                             next_key=session.next_key + used))
+        result = ImportResult(seen["rows_read"], seen["rows_copied"], seen["empty_rows"], seen["errors"], True)
+        return result, import_errors(converted)
+
+    @staticmethod
+    def _write_chunk(session: ReplaceSession, kept: DataFrame, target: list, source: DataFrame, key: str | None, place: str) -> int:
+        """Write the rows of a chunk; returns how many keys they took."""
         typed = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target]
         used = 0
         if key:
@@ -255,12 +269,16 @@ class TableReplacer:
             if session.next_key + used > _LARGEST.get(type(kind), 0):
                 raise StateError("the keys of the table are used up")
             typed.insert(0, (F.col("__key") + F.lit(session.next_key)).cast(kind).alias(key))
-        kept.select(*typed).write.mode("overwrite").parquet(f"{session.staging_path}/chunk-{number}")
-        seen = counts.get
-        self._record(changed(session, status=UPLOADING, chunks=max(session.chunks, number), updated_at=self._now(),
-                             next_key=session.next_key + used))
-        result = ImportResult(seen["rows_read"], seen["rows_copied"], seen["empty_rows"], seen["errors"], True)
-        return result, import_errors(converted)
+        kept.select(*typed).write.mode("overwrite").parquet(place)
+        return used
+
+    def _sketches(self, session: ReplaceSession) -> str:
+        return f"{self.root}/_sketches/{session.id}"
+
+    def _store_sketch(self, session: ReplaceSession, place: str, number: int, schema: T.StructType) -> None:
+        """One row of mergeable statistics about the chunk as it was written; sent again, it replaces its own."""
+        rows = self.spark.read.schema(schema).parquet(place)
+        sketch(rows).coalesce(1).write.mode("overwrite").parquet(f"{self._sketches(session)}/chunk-{number}")
 
     def staged(self, session_id: str) -> DataFrame:
         """Rows of all chunks so far."""
@@ -292,7 +310,7 @@ class TableReplacer:
     def _finish(self, session: ReplaceSession) -> ReplaceSession:
         old, source = self._full(session, session.old_table), self._full(session, session.table_name)
         if not table_exists(self.spark, old):
-            properties = {k: v for k, v in table_properties(self.spark, source).items() if k == KEY_PROPERTY}
+            properties = {k: v for k, v in table_properties(self.spark, source).items() if k in (KEY_PROPERTY, SKETCH_PROPERTY)}
             create_external(self.spark, old, session.source_path, self.spark.table(quoted(source)).schema, properties)
         point_to(self.spark, source, session.staging_path)
         drop_table_if_exists(self.spark, self._full(session, session.staging_table))
@@ -307,6 +325,26 @@ class TableReplacer:
         return compare_profiles(self.spark.table(quoted(self._full(session, session.old_table))),
                                 self.spark.table(quoted(self._full(session, session.table_name))))
 
+    def audit_from_sketches(self, session_id: str) -> DataFrame:
+        """The same review from the statistics that were stored chunk by chunk.
+
+        The new content is not read again. The old one is not either if it came by a replacement; otherwise it is
+        summed up once, and that is kept with the session. Distinct counts are estimates.
+        """
+        session = self.load(session_id)
+        if session.status != COMMITTED:
+            raise StateError("only a committed session can be reviewed")
+        old = self._full(session, session.old_table)
+        schema = self.spark.table(quoted(old)).schema
+        stored = table_properties(self.spark, old).get(SKETCH_PROPERTY)
+        if not stored:
+            stored = f"{self._sketches(session)}-old"
+            sketch(self.spark.table(quoted(old))).coalesce(1).write.mode("overwrite").parquet(stored)
+        read = lambda path: self.spark.read.schema(sketch_schema(schema)).option("recursiveFileLookup", True).parquet(path)
+        if not path_exists(self.spark, self._sketches(session)):
+            sketch(self.spark.table(quoted(self._full(session, session.table_name)))).coalesce(1).write.parquet(self._sketches(session))
+        return side_by_side(merged_profile(read(stored), schema), merged_profile(read(self._sketches(session)), schema))
+
     def push(self, session_id: str, sections: DataFrame | None = None):
         """Finalise: drop the old content and unlock. The index of the section is void: given the section records,
         their new state is returned too."""
@@ -315,6 +353,12 @@ class TableReplacer:
             raise StateError("only a committed session can be pushed")
         drop_table_if_exists(self.spark, self._full(session, session.old_table))
         delete_path(self.spark, session.source_path)
+        # From now on the statistics of the chunks are those of the table.
+        name = quoted(self._full(session, session.table_name))
+        if path_exists(self.spark, self._sketches(session)):
+            self.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({text_literal(SKETCH_PROPERTY)} = {text_literal(self._sketches(session))})")
+        else:
+            self.spark.sql(f"ALTER TABLE {name} UNSET TBLPROPERTIES IF EXISTS ({text_literal(SKETCH_PROPERTY)})")
         at = self._now()
         pushed = self._record(changed(session, status=PUSHED, completed_at=at, updated_at=at))
         self.leases.release(dataset_lease(session.dataset_id), session.id)
@@ -339,6 +383,8 @@ class TableReplacer:
             if exists(self._full(session, name)):
                 drop_table_if_exists(self.spark, self._full(session, name))
         delete_path(self.spark, session.staging_path)
+        for path in (self._sketches(session), self._sketches(session) + "-old"):
+            delete_path(self.spark, path)
 
     def abort_expired(self) -> int:
         """Abort all sessions past their lifetime; returns how many.

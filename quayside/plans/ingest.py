@@ -254,11 +254,11 @@ SELECT 0 AS ordinal, 'number' AS column_name, CASE WHEN count(*) > 0 THEN 'NVarC
 UNION ALL SELECT 1, 'whole', CASE WHEN count(*) > 0 THEN 'Int' END FROM orders""")
 def infer_late_bad_cell(portal: Portal) -> DataFrame:
     """One cell that is no number, the last of all, makes its column text: every row is tested."""
-    orders = portal.raw("orders")
-    last = orders.agg(F.max("o_orderkey").alias("last"))
-    key = F.col("o_orderkey")
-    cells = orders.crossJoin(F.broadcast(last)).select(   # one row
-        F.when(key == F.col("last"), F.lit("x")).otherwise(key.cast("string")).alias("number"), (key + 2).cast("string").alias("whole"))
+    # Marked in the stored cells themselves: the last one by key, wherever it lies.
+    orders, key = portal.raw("orders"), F.col("o_orderkey")
+    last = orders.select(key).orderBy(key.desc()).limit(1).select(key.alias("last"))
+    cells = orders.join(last, key == F.col("last"), "left").select(
+        F.when(F.col("last").isNotNull(), F.lit("x")).otherwise(key.cast("string")).alias("number"), (key + 2).cast("string").alias("whole"))
     return inference_report(cells).select("ordinal", "column_name", "logical_type")
 
 

@@ -15,7 +15,7 @@ from quayside.functions.render import render_all
 from quayside.functions.text import truncate
 from quayside.operators.rowindex import row_index, scan_row_index
 from quayside.sources.tables import quoted
-from quayside.storage import materialise
+from quayside.storage import job_folders, materialise
 
 # Rows per part and tracked warnings.
 DEFAULT_ROWS_PER_PART = 1_000_000
@@ -80,6 +80,11 @@ def export_csv_parts(df: DataFrame, path: str, rows_per_part: int = DEFAULT_ROWS
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             raise InputError(f"column {field.name} is nested and has no CSV form")
+    with job_folders(df.sparkSession):   # the numbered copy is read by nobody once the parts are written
+        return _exported(df, path, size, order, info, scan)
+
+
+def _exported(df: DataFrame, path: str, size: int, order: Sequence[str], info: dict | None, scan: bool) -> dict:
     numbered = number_parts(df, size, order, scan)
     # The one counting job; its rows, one per part, size the shuffle below.
     parts = materialise(manifest_parts(numbered), "export-parts")

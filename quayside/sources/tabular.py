@@ -29,6 +29,7 @@ from quayside.functions.parsing import BLANKS
 from quayside.functions.render import render_value
 from quayside.operators.headers import check_headers_positional, check_headers_unique, trim_headers
 from quayside.session import ship_package
+from quayside.sources.footers import many_at_once, parquet_schemas
 from quayside.storage import materialise
 
 FILE = "_file"
@@ -173,13 +174,15 @@ def _rounds(paths: Sequence[str]) -> list[list[tuple[int, str]]]:
 def _places(spark: SparkSession, numbered: Sequence[tuple[int, str]]) -> DataFrame:
     """``(_place, _file_seq)``: the URI of each given file or folder and its number in the list."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    rows = []
-    for seq, path in numbered:
+
+    def uris(path: str) -> list[str]:
         target = jvm.org.apache.hadoop.fs.Path(path)
         found = target.getFileSystem(conf).globStatus(target)
         if not found:
             raise InputError(f"{_base_name(path)} does not exist")
-        rows += [(x.getPath().toUri().toString(), seq) for x in found]
+        return [x.getPath().toUri().toString() for x in found]
+
+    rows = [(uri, seq) for (seq, _), found in zip(numbered, many_at_once(uris, [p for _, p in numbered])) for uri in found]
     return spark.createDataFrame(rows, f"_place string, {FILE_SEQ} int").select(_plain_uri("_place").alias("_place"), FILE_SEQ)
 
 
@@ -351,18 +354,21 @@ def leaf_columns(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]
 def read_parquet(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Leaf fields with trimmed names. Row numbers come from the Parquet reader, without a shuffle."""
     paths = list(paths)
-    schemas = [spark.read.parquet(p).schema for p in paths]
+    schemas = parquet_schemas(spark, paths)
     header = [name for _, name in leaf_columns(schemas[0])]
     check_headers_unique(header)
-    for schema in schemas[1:]:
+    distinct = list({id(x): x for x in schemas}.values())
+    for schema in distinct[1:]:
         check_headers_positional(header, [name for _, name in leaf_columns(schema)], "Parquet")
-    types = [[f.dataType for f in schema.fields] for schema in schemas]
+    types = [[f.dataType for f in schema.fields] for schema in distinct]
     mixed = any(other != types[0] for other in types)
     # Files of one schema are one read, however many they are.
     alike: dict[tuple[str, int], list[int]] = {}
+    texts: dict[int, str] = {}   # of each distinct schema object, once
     for i, own in enumerate(_rounds(paths)):
         for seq, _ in own:
-            alike.setdefault((schemas[seq].json(), i), []).append(seq)
+            own_text = texts.get(id(schemas[seq])) or texts.setdefault(id(schemas[seq]), schemas[seq].json())
+            alike.setdefault((own_text, i), []).append(seq)
     parts = []
     for seqs in alike.values():
         schema = schemas[seqs[0]]

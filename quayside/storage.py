@@ -9,9 +9,11 @@ second read is columnar and can be pruned.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +38,51 @@ def shared_dir(spark: SparkSession) -> str:
     raise QuaysideError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+class JobFolders:
+    """Folders made by a job, in the order they were made, and those of them that outlive it."""
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+        self.kept: set[str] = set()
+
+    def keep(self, path: str) -> str:
+        self.kept.add(path)
+        return path
+
+
+_job: contextvars.ContextVar[JobFolders | None] = contextvars.ContextVar("job", default=None)
+
+
+@contextlib.contextmanager
+def job_folders(spark: SparkSession) -> Iterator[JobFolders]:
+    """Every folder from ``fresh_path`` inside the block is deleted at its end, also after a failure, but for those that are
+    kept because a result reads them. Blocks may be nested; each one deletes its own."""
+    job = JobFolders()
+    token = _job.set(job)
+    try:
+        yield job
+    except BaseException:
+        job.kept.clear()
+        raise
+    finally:
+        _job.reset(token)
+        for path in job.made:
+            if path not in job.kept:
+                delete_path(spark, path)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if job := _job.get():
+        job.made.append(path)
+    return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet and return the written rows."""
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once as Parquet and return the written rows; ``keep`` lets them outlive the job around it."""
     path = fresh_path(df.sparkSession, label)
+    if keep and (job := _job.get()):
+        job.keep(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -64,6 +104,14 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return system.delete(target, True)
 
 
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    """Give a finished folder its place; there must be nothing yet."""
+    system, target = _owned(spark, path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+    if system.exists(place) or not system.rename(target, place):
+        raise QuaysideError(f"{to} could not be put in its place")
+
+
 def names_in(spark: SparkSession, folder: str) -> list[str]:
     """Names of what lies in a folder, in order; none if there is no such folder."""
     system, target = _owned(spark, folder)
