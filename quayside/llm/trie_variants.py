@@ -44,7 +44,9 @@ _LAST_BIT = 62
 # Prefixes of up to so many signs are nodes without a look at their branches.
 SHORT = 2
 # Edges of a level that are broadcast at most: one row takes some hundred bytes.
-LEVEL_ROWS = 200_000
+LEVEL_ROWS = 60_000
+# Words that a task takes from the root.
+WORDS_PER_TASK = 20_000
 STEPS = "id long, at int, node binary, next string"
 EDGES = "node binary, label string, child binary, depth int, lengths long, ends long, signs long, first string"
 STATES = "word long, position int, rest string, node binary, edits int, found long, able boolean"
@@ -190,7 +192,9 @@ def near_words(words: DataFrame) -> DataFrame:
     sizes = edge_table(words, edges)
     if not sizes:
         return spark.createDataFrame([], "word long, near long")
-    states = words.select(F.col("id").alias("word"), F.lit(0).alias("position"), F.col("word").alias("rest"), "node", F.lit(0).alias("edits"))
+    # A word becomes some fifty states at once: its few bytes should not decide how many words a task has.
+    dealt = words.repartition(-(-words.count() // WORDS_PER_TASK))
+    states = dealt.select(F.col("id").alias("word"), F.lit(0).alias("position"), F.col("word").alias("rest"), "node", F.lit(0).alias("edits"))
     for level, size in enumerate(sizes):
         here = spark.read.schema(EDGES).parquet(f"{edges}/level={level}")
         moved(states, F.broadcast(here) if size <= LEVEL_ROWS else here).write.parquet(f"{root}/{level}")
