@@ -110,3 +110,9 @@ def staged_name(base: str, label: str, job: str) -> str:
     if room <= 0:
         raise ValueError("the table name is too long")
     return base[:room] + suffix
+
+
+def staged_name_column(base: Column, label: str, job: Column) -> Column:
+    """The same over columns. No name if label and job leave no room."""
+    room = F.lit(MAX_TABLE_NAME - len(label) - 4) - F.length(job)
+    return F.when(room > 0, F.concat(F.substring(base, F.lit(1), room), F.lit(f"__{label}__"), job))

@@ -38,24 +38,21 @@ def inference_report(df: DataFrame, columns: Sequence[str] | None = None,
                      currency: str = "¤") -> DataFrame:
     """One row per column: which types every non-blank value fits, and the resolved type.
 
-    A single aggregation without grouping: each task reduces its rows to one row, so the only thing
-    shuffled is one row per task, whatever the size of the input.
+    Cells become rows of (column number, text), so that the tests stand once in the generated code and are compiled,
+    however many columns there are. Each task reduces them to one row per column: the only thing shuffled.
     """
     columns = list(columns or df.columns)
     cells = as_text(df.select(*[F.col(f"`{c}`") for c in columns]), columns)
-    every = range(len(columns))
-    # One expression serves all cells, so the generated code does not grow with the columns.
-    texts = cells.select(F.array(*[trimmed(F.col(f"`{c}`")) for c in columns]).alias("texts"))
-    masks = texts.select("texts", F.transform("texts", lambda text: fit_mask(text, currency)).alias("masks"))
-    # A blank cell is NULL in both arrays, and aggregates leave NULLs out.
-    reduced = masks.agg(*[
-        F.struct(F.count(F.get("texts", F.lit(i))).alias("n_values"),
-                 F.max(F.length(F.get("texts", F.lit(i)))).alias("max_length"),
-                 F.bit_and(F.get("masks", F.lit(i))).alias("mask")).alias(f"c{i}") for i in every])
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column_name"), F.col(f"c{i}").alias("seen"))
-        for i, name in enumerate(columns)]))
-    long = reduced.select(rows.alias("r")).select("r.ordinal", "r.column_name", "r.seen.*")
+    texts = cells.select(F.posexplode(F.array(*[trimmed(F.col(f"`{c}`")) for c in columns])).alias("at", "text"))
+    # A blank cell is NULL, and aggregates leave NULLs out.
+    reduced = texts.withColumn("mask", fit_mask(F.col("text"), currency)).groupBy("at").agg(
+        F.count("text").alias("n_values"), F.max(F.length("text")).alias("max_length"), F.bit_and("mask").alias("mask"))
+    # One row per column is left; a table without rows has its columns all the same.
+    seen = reduced.agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("n_values", "max_length", "mask")))).alias("seen"))
+    long = seen.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column_name"), F.try_element_at("seen", F.lit(i)).alias("seen"))
+        for i, name in enumerate(columns)])).alias("r")).select("r.ordinal", "r.column_name", "r.seen.*").withColumn(
+        "n_values", F.coalesce("n_values", F.lit(0)))
     has_value = F.col("n_values") > 0
     flags = {logical: F.coalesce(F.col("mask").bitwiseAND(FIT_BITS[logical]) > 0, F.lit(False))
              for logical in PRECEDENCE}

@@ -10,7 +10,7 @@ from quayside.functions.render import render_all
 from quayside.operators.rowindex import scan_row_index
 from quayside.plans.portal_tables import Portal
 from quayside.plans.registry import query
-from quayside.sources.export import export_csv_parts, manifest_parts, manifest_totals, number_parts
+from quayside.sources.export import export_csv_parts, manifest_parts, manifest_totals, number_parts, render_warnings
 from quayside.storage import fresh_path
 
 ROWS_PER_PART = 3_000
@@ -85,3 +85,16 @@ def scan_index_orders(portal: Portal) -> DataFrame:
     return scan_row_index(portal.raw("orders")).agg(
         F.count(F.lit(1)).alias("n"), F.min("row_index").alias("first_row"), F.max("row_index").alias("last_row"),
         F.count_distinct("row_index").alias("distinct_rows"))
+
+
+@query("export_warnings", """
+WITH numbered AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS row_index FROM lineitem)
+SELECT row_index, 'l_quantity' AS column_name, 'Infinity' AS value, 'the value is not a finite number' AS message FROM numbered WHERE l_orderkey % 97 = 0
+UNION ALL SELECT row_index, 'l_tax', 'NaN', 'the value is not a finite number' FROM numbered WHERE l_linenumber = 7
+""")
+def export_warnings(portal: Portal) -> DataFrame:
+    """Cells of an export that are no finite numbers, with their row."""
+    rows = portal.raw("lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 97 == 0, F.lit(float("inf"))).otherwise(F.col("l_quantity")).alias("l_quantity"),
+        F.when(F.col("l_linenumber") == 7, F.lit(float("nan"))).otherwise(F.col("l_tax")).alias("l_tax"))
+    return render_warnings(number_parts(rows, 10_000, ["l_orderkey", "l_linenumber"]))

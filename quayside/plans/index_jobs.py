@@ -51,8 +51,8 @@ def _run(portal: Portal) -> tuple[IndexRunner, DataFrame]:
 
 @query("index_run_states", f""", {_SECTIONS},
 judged AS (
-  SELECT s.*, index_enabled AND index_status = 'pending' AND s.dataset_id NOT IN (SELECT id FROM datasets WHERE locked) AS runs,
-    table_name IN ('{SCHEMA}.T_{FITTING}', '{SCHEMA}.T_{UNFIT}', '{SCHEMA}.T_{HELD}') AS there FROM stated s)
+  SELECT s.*, coalesce(index_enabled AND index_status = 'pending', false) AND s.dataset_id NOT IN (SELECT id FROM datasets WHERE locked) AS runs,
+    coalesce(table_name IN ('{SCHEMA}.T_{FITTING}', '{SCHEMA}.T_{UNFIT}', '{SCHEMA}.T_{HELD}'), false) AS there FROM stated s)
 SELECT dataset_id, section_type,
   CASE WHEN NOT runs OR (there AND dataset_id = {HELD}) THEN index_status
        WHEN there AND dataset_id = {FITTING} THEN 'completed' WHEN runs THEN 'failed' ELSE index_status END AS index_status,

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quayside import types as L
 from quayside.operators.convert import convert, drop_empty_rows, import_errors, import_result
 from quayside.operators.headers import align_by_name, duplicate_headers
-from quayside.operators.infer import inference_report
+from quayside.operators.infer import apply_overrides, index_column_candidates, infer_columns, inference_report
+from quayside.functions.text import staged_name_column
 from quayside.operators.load import load_table
+from quayside.operators.profile import profile
 from quayside.operators.rowindex import add_surrogate_key, row_index
 from quayside.plans.portal_tables import Portal
 from quayside.plans.registry import query
@@ -113,21 +115,22 @@ def convert_drop_empty_rows(portal: Portal) -> DataFrame:
 
 
 _REJECT_COUNTS = f"""WITH {EXPECTED_SQL}, cells AS (
-  SELECT k, 'flag' AS column_name, 'bit' AS t, flag IS NULL AND NOT (k % 5 = 3 AND k % 11 <> 0 AND NOT bad) AS failed FROM expected
-  UNION ALL SELECT k, 'count', 'int', "count" IS NULL AND (bad OR k % 13 <> 2) FROM expected
-  UNION ALL SELECT k, 'total', 'bigint', total IS NULL FROM expected
-  UNION ALL SELECT k, 'price', 'decimal', price IS NULL FROM expected
-  UNION ALL SELECT k, 'ratio', 'float', ratio IS NULL FROM expected
-  UNION ALL SELECT k, 'seen', 'datetime2', seen IS NULL FROM expected)
+  SELECT k, 'flag' AS column_name, 'bit' AS t, flag IS NULL AND NOT (k % 5 = 3 AND k % 11 <> 0 AND NOT bad) AS failed, 'maybe' AS raw FROM expected
+  UNION ALL SELECT e.k, 'count', 'int', "count" IS NULL AND (e.bad OR e.k % 13 <> 2),
+    CASE e.k % 13 WHEN 0 THEN 'x1' WHEN 1 THEN (cents // 100) || '.0' ELSE '3000000000' END FROM expected e JOIN base USING (k)
+  UNION ALL SELECT k, 'total', 'bigint', total IS NULL, '1e3' FROM expected
+  UNION ALL SELECT k, 'price', 'decimal', price IS NULL, '--5' FROM expected
+  UNION ALL SELECT k, 'ratio', 'float', ratio IS NULL, '1d' FROM expected
+  UNION ALL SELECT k, 'seen', 'datetime2', seen IS NULL, CASE k % 6 WHEN 4 THEN '2024' ELSE '2024-02-30' END FROM expected)
 """
 
 
 @query("convert_rejects", _REJECT_COUNTS + """
-SELECT 'events' AS file_name, k AS row_number, column_name,
+SELECT 'events' AS file_name, k AS row_number, column_name, CASE WHEN k % 23 = 1 THEN '?' ELSE raw END AS raw_value,
        'Cannot convert value to ' || t || '; stored as NULL.' AS message
 FROM cells WHERE failed AND k % 23 <> 0""")
 def convert_rejects(portal: Portal) -> DataFrame:
-    return import_errors(typed(portal)).drop("raw_value")
+    return import_errors(typed(portal))
 
 
 @query("convert_result", _REJECT_COUNTS + """
@@ -249,6 +252,62 @@ def duplicate_header_names(portal: Portal) -> DataFrame:
     return duplicate_headers(portal.raw("part"), "p_type")
 
 
+@query("infer_override_convert", """
+SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(value AS DOUBLE) AS value, CAST(NULL AS BIGINT) AS props,
+  (SELECT count(*) FROM events WHERE props IS NOT NULL AND trim(props) <> '') AS rejects FROM events""")
+def infer_override_convert(portal: Portal) -> DataFrame:
+    """Types inferred from every row, overruled by a user, and the cells converted by them."""
+    keep = [F.col(c).cast("string").alias(c) for c in ("event_id", "user_id", "value", "props")]
+    texts = portal.raw("events").select(*keep)
+    columns = apply_overrides(infer_columns(texts), {"user_id": "NoSuchType", "value": L.FLOAT, "props": L.BIG_INT}, {"user_id": 20})
+    converted = convert(texts.select("*", F.lit("events").alias(FILE), F.col("event_id").cast("bigint").alias(ROW_NO)), columns)
+    failed = import_errors(converted).agg(F.count(F.lit(1)).alias("rejects"))
+    rejects = failed.head()["rejects"]
+    return converted.select(F.col("event_id").cast("bigint").alias("event_id"), "user_id", "value", "props", F.lit(rejects).cast("bigint").alias("rejects"))
+
+
+def _names(spark, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+@query("index_candidates_events", """
+SELECT * FROM (SELECT 'time' AS use, 'ts' AS column_name UNION ALL SELECT 'id', 'event_id' UNION ALL SELECT 'id', 'user_id' UNION ALL SELECT 'id', 'value'
+  UNION ALL SELECT 'include', 'ts' UNION ALL SELECT 'include', 'event_id' UNION ALL SELECT 'include', 'user_id' UNION ALL SELECT 'include', 'value')
+WHERE (SELECT count(*) FROM events) > 0""")
+def index_candidates_events(portal: Portal) -> DataFrame:
+    """Index columns offered for a table, by the types its cells were inferred to have."""
+    events = portal.raw("events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    offered = index_column_candidates(infer_columns(events.select(*[F.col(c).cast("string").alias(c) for c in events.columns])))
+    return _names(portal.spark, [(use, name) for use, names in offered.items() for name in names], "use string, column_name string")
+
+
+@query("sql_types_of_columns", """
+SELECT column_name, data_type, min(CASE WHEN data_type IN ('bigint') THEN 'BigInt' WHEN data_type = 'int' THEN 'Int'
+  WHEN data_type IN ('float', 'real') THEN 'Float' WHEN data_type = 'datetime2' THEN 'DateTime2' ELSE 'NVarChar' END) AS logical_type,
+  count(v) AS n FROM (
+  SELECT 'l_orderkey' AS column_name, 'bigint' AS data_type, CAST(l_orderkey AS VARCHAR) AS v FROM lineitem
+  UNION ALL SELECT 'l_linenumber', 'int', CAST(l_linenumber AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'l_quantity', 'float', CAST(l_quantity AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'l_returnflag', 'nvarchar', l_returnflag FROM lineitem
+  UNION ALL SELECT 'l_shipdate', 'datetime2', CAST(l_shipdate AS VARCHAR) FROM lineitem) GROUP BY 1, 2""")
+def sql_types_of_columns(portal: Portal) -> DataFrame:
+    """The logical type behind the SQL type each column is published under, beside the cells it holds."""
+    rows = portal.raw("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
+    found = profile(rows).select("column_name", "data_type", F.col("non_null_count").alias("n"))
+    kinds = {name: L.map_sql_type(name) for name in {L.sql_name(f.dataType) for f in rows.schema}}
+    logical = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return found.select("column_name", "data_type", logical[F.col("data_type")].alias("logical_type"), "n")
+
+
+@query("staged_names_of_sections", """
+SELECT dataset_id, section_type, substr(repeat(replace(table_name, '.', '_'), 12), 1, 128 - length('__staging__') - 32) || '__staging__' || md5(table_name) AS staged
+FROM sections""", "sections")
+def staged_names_of_sections(portal: Portal) -> DataFrame:
+    """Names of staging tables: long names are cut so that label and job fit."""
+    base = F.repeat(F.replace("table_name", F.lit("."), F.lit("_")), F.lit(12))
+    return portal.sections().select("dataset_id", "section_type", staged_name_column(base, "staging", F.md5("table_name")).alias("staged"))
+
+
 @query("infer_late_bad_cell", """
 SELECT 0 AS ordinal, 'number' AS column_name, CASE WHEN count(*) > 0 THEN 'NVarChar' END AS logical_type FROM orders
 UNION ALL SELECT 1, 'whole', CASE WHEN count(*) > 0 THEN 'Int' END FROM orders""")

@@ -117,7 +117,7 @@ def replace_transitions(portal: Portal) -> DataFrame:
 
 
 @query("replace_sessions_expire", """
-SELECT id, 4 AS status, 4 AS revision, TIMESTAMP '1995-06-01 12:00:00' AS completed_at FROM replace_sessions
+SELECT id, 3 AS status, 4 AS revision, TIMESTAMP '1995-06-01 12:00:00' AS completed_at FROM replace_sessions
 WHERE created_at <= TIMESTAMP '1995-06-01 11:00:00' AND status NOT IN (3, 4)""", "replace_sessions")
 def replace_sessions_expire(portal: Portal) -> DataFrame:
     """The closing rows of all sessions past their lifetime, by one plan."""
@@ -183,3 +183,41 @@ SELECT id FROM datasets WHERE allow_api AND NOT locked AND visibility = 1
 def servable_while_replacing(portal: Portal) -> DataFrame:
     """A dataset is not served while one of its replace sessions is open or under review."""
     return servable(R.with_locks(portal.datasets(), portal.replace_sessions()), "public").select("id")
+
+
+@query("replace_audit_from_chunks", """
+SELECT column_name, CAST(0 AS BIGINT) AS non_null_delta, round(avg_delta, 2) AS avg_delta, old_min_value, true AS distinct_near
+FROM (SELECT 'o_orderkey' AS column_name, 0.0 AS avg_delta, CAST(min(o_orderkey) AS VARCHAR) AS old_min_value FROM orders
+UNION ALL SELECT 'o_custkey', 0.0, CAST(min(o_custkey) AS VARCHAR) FROM orders
+UNION ALL SELECT 'o_totalprice', avg(o_totalprice + 0.5) - avg(o_totalprice), CAST(min(o_totalprice + 0.5) AS VARCHAR) FROM orders
+UNION ALL SELECT 'o_orderdate', NULL, strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%S') || '.0000000' FROM orders
+UNION ALL SELECT 'o_orderstatus', NULL, NULL FROM orders GROUP BY 1 UNION ALL SELECT 'o_orderpriority', NULL, NULL FROM orders GROUP BY 1)""")
+def replace_audit_from_chunks(portal: Portal) -> DataFrame:
+    """A second replacement reviewed from what was stored of the chunks of both: neither table is read."""
+    replacer, table, session = _staged(portal)
+    replacer.commit(session)
+    replacer.push(session)
+    again = replacer.start(1, SCHEMA, table).id
+    for number, rows in enumerate(_chunks(portal), 1):
+        replacer.append_chunk(again, rows.withColumn("o_totalprice", F.col("o_totalprice") + 0.5), chunk=number)
+    replacer.commit(again)
+    orders = portal.raw("orders")
+    counts = orders.agg(*[F.count_distinct(c).alias(c) for c in orders.columns]).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in orders.columns])).alias("r")).select("r.*")
+    audit = replacer.audit_from_sketches(again)
+    near = F.abs(F.col("new_unique_count") - F.col("n")) <= 0.05 * F.col("n")
+    return audit.join(counts, "column_name").select(
+        "column_name", "non_null_delta", F.round("avg_delta", 2).alias("avg_delta"), "old_min_value", near.alias("distinct_near"))
+
+
+@query("replace_pushed_sections", """
+SELECT dataset_id, section_type, index_enabled AND dataset_id <> 8 AS index_enabled, CASE WHEN NOT (dataset_id = 8) THEN index_time END AS index_time,
+  CASE WHEN NOT (dataset_id = 8) THEN index_name END AS index_name, CASE WHEN NOT (dataset_id = 8) THEN index_status END AS index_status
+FROM sections""", "sections")
+def replace_pushed_sections(portal: Portal) -> DataFrame:
+    """The section records after a push: the index of the pushed table is void, all others are as they were."""
+    replacer, table, session = _staged(portal)
+    replacer.commit(session)
+    own = F.when(F.col("dataset_id") == 8, F.lit(table)).otherwise(F.col("table_name"))
+    _, sections = replacer.push(session, portal.sections().withColumn("table_name", own))
+    return sections.select("dataset_id", "section_type", "index_enabled", "index_time", "index_name", "index_status")
