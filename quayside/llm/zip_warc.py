@@ -3,7 +3,10 @@
 A package holds ``archive/data-N.warc.gz`` (one gzip member per record, stored without further compression) and
 ``indexes/index-N.cdxj`` (one line per record with its offset and length). The reader parses the central directory
 (ZIP64 records where sizes or offsets need them), finds the stored members, lists their records from the indexes and
-reads each record's bytes from the package itself: nothing is extracted.
+reads each record's bytes from the package itself: nothing is extracted. Packages of other writers are read too: CDXJ
+and CDX indexes, plain or gzipped, that name an archive by its path or file name; archives without an index, compressed
+or not, are walked once. Records without a page (``warcinfo``, ``request``, ``metadata``) are passed over; what is
+damaged, or cannot be read by range, is refused with its name. Paths keep their scheme.
 
 Of records with equal payloads the one with the largest page id is the response and the others are revisits of it;
 payloads below ``least_bytes`` are all responses.
@@ -25,9 +28,10 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,14 +73,30 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+# Schemes that Spark knows under another name than Arrow.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def place_of(uri: str) -> tuple[FileSystem, str]:
+    """The Arrow file system of a path or URI as Spark writes it, and the path in it."""
+    scheme, mark, rest = uri.partition(":")
+    if mark and scheme in _SCHEMES:
+        uri = f"{_SCHEMES[scheme]}:{rest}"
+    elif mark and scheme == "file":
+        return LocalFileSystem(), "/" + rest.lstrip("/")
+    return FileSystem.from_uri(uri)
+
+
 class Package:
     """One ZIP package being written; members and their index are rolled by size."""
 
     def __init__(self, folder: str, zip64: bool = False):
-        self.system, root = FileSystem.from_uri(folder)
+        self.system, root = place_of(folder)
         self.system.create_dir(root, recursive=True)
-        self.path = f"{root}/{uuid.uuid4().hex}.zip"
-        self.stream, self.zip64 = self.system.open_output_stream(self.path), zip64
+        name = f"{uuid.uuid4().hex}.zip"
+        # The package is listed as the caller names its folder, scheme and all: readers may run anywhere.
+        self.path = f"{folder.rstrip('/')}/{name}"
+        self.stream, self.zip64 = self.system.open_output_stream(f"{root.rstrip('/')}/{name}"), zip64
         self.zip = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_STORED)
         self.member = None
         self.members = self.records = self.size = 0
@@ -201,28 +221,110 @@ def member_start(file, local: int) -> int:
     return local + 30 + sum(struct.unpack("<2H", head[26:30]))
 
 
+def index_entries(name: str, data: bytes) -> Iterator[tuple[str, int, int]]:
+    """``(file name, offset, length)`` of the lines of an index: CDXJ, or CDX with its line of field letters.
+
+    Lines that are no entry (headers of CDXJ) and entries without a place are passed over.
+    """
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    fields: list[str] = []
+    for line in data.decode("utf-8", "replace").splitlines():
+        if line.startswith(" CDX "):
+            fields = line.split()[1:]
+        elif fields:
+            entry = dict(zip(fields, line.split(" ")))
+            if entry.get("V", "-") != "-" and entry.get("S", "-") != "-":
+                yield entry["g"], int(entry["V"]), int(entry["S"])
+        elif " {" in line and not line.startswith("!"):
+            try:
+                found = json.loads(line[line.index(" {") + 1 :])
+                if "offset" in found and "length" in found:
+                    yield found["filename"], int(found["offset"]), int(found["length"])
+            except (ValueError, KeyError, TypeError) as error:
+                raise ValueError(f"{name} has a damaged line: {line[:200]}") from error
+
+
+def is_index(name: str) -> bool:
+    return name.removesuffix(".gz").endswith((".cdxj", ".cdx"))
+
+
+def is_archive(name: str) -> bool:
+    return name.removesuffix(".gz").endswith(".warc")
+
+
+def walked(file, name: str, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """``(offset, length)`` of the records of a stored archive that no index lists, from the archive itself.
+
+    Compressed records are gzip members of their own; plain ones tell their length. A few MB are held at a time.
+    """
+    at = 0
+    plain = size >= 5 and read_range(file, start, 5) == b"WARC/"
+    while at < size:
+        if plain:
+            head = b""
+            while b"\r\n\r\n" not in head:
+                more = min(1 << 14, size - at - len(head))
+                if more <= 0 or len(head) > 1 << 22:
+                    raise ValueError(f"{name} has a damaged record at {at}")
+                head += read_range(file, start + at + len(head), more)
+            head = head[: head.index(b"\r\n\r\n") + 4]
+            body = header_fields(head.decode("utf-8", "replace").split("\r\n"))["content-length"]
+            length = len(head) + int(body) + 4
+        else:
+            reader, length = zlib.decompressobj(31), 0
+            while not reader.eof:
+                if at + length >= size:
+                    raise ValueError(f"{name} ends inside a record at {at}")
+                part = read_range(file, start + at + length, min(1 << 20, size - at - length))
+                try:
+                    rest = part
+                    while rest and not reader.eof:   # what comes out is thrown away, a little at a time
+                        reader.decompress(rest, 1 << 20)
+                        rest = reader.unconsumed_tail
+                    while not reader.eof and reader.decompress(b"", 1 << 20):
+                        pass
+                except zlib.error as error:
+                    raise ValueError(f"{name} has a damaged record at {at}") from error
+                length += len(part) - len(reader.unused_data)
+        if at + length - (4 if plain else 0) > size:   # the blank lines after the last record may be missing
+            raise ValueError(f"{name} ends inside a record at {at}")
+        yield at, min(length, size - at)
+        at += length
+
+
 def record_ranges(path: str) -> Iterator[tuple[str, int, list[int], list[int]]]:
-    """``(package, first byte, record starts from there, record lengths)``, a few MB of neighbouring records each."""
-    system, local = FileSystem.from_uri(path)
+    """``(package, first byte, record starts from there, record lengths)``, a few MB of neighbouring records each.
+
+    An index names an archive by its path in the package or by its file name alone. Archives that no index names are
+    walked. What cannot be read by range is refused.
+    """
+    system, local = place_of(path)
     size = system.get_file_info(local).size
     with system.open_input_file(local) as file:
         found = {x[0]: x[1:] for x in directory(file, size)}
-        archives = {x for x in found if x.endswith(".warc.gz")}
-        listed: dict[str, list[tuple[int, int]]] = {x: [] for x in archives}
+        listed: dict[str, list[tuple[int, int]]] = {x: [] for x in found if is_archive(x)}
+        short = {x.rsplit("/", 1)[-1]: x for x in listed}
         for name, (method, stored, _, at) in found.items():
-            if name.endswith(".cdxj"):
+            if is_index(name):
+                if method not in (0, 8):
+                    raise ValueError(f"{name} in {path} is packed by a method that is not known: {method}")
                 data = read_range(file, member_start(file, at), stored)
-                text = data if method == 0 else zlib.decompress(data, -15)
-                for line in text.decode().splitlines():
-                    entry = json.loads(line[line.index(" {") + 1 :])
-                    listed[entry["filename"]].append((entry["offset"], entry["length"]))
-        for name in sorted(archives):
-            method, _, _, at = found[name]
+                for of, offset, length in index_entries(f"{name} in {path}", data if method == 0 else zlib.decompress(data, -15)):
+                    archive = of if of in listed else short.get(of.rsplit("/", 1)[-1])
+                    if archive is None:
+                        raise ValueError(f"{name} in {path} lists {of}, which the package does not hold")
+                    listed[archive].append((offset, length))
+        for name in sorted(listed):
+            method, stored, _, at = found[name]
             if method != 0:
-                raise ValueError(f"{name} is compressed inside the package; only stored members can be read by range")
+                raise ValueError(f"{name} in {path} is compressed inside the package; only stored members can be read by range")
             start = member_start(file, at)
+            records = sorted(set(listed[name])) or walked(file, f"{name} in {path}", start, stored)
             group: list[tuple[int, int]] = []
-            for record in [*sorted(listed[name]), None]:
+            for record in chain(records, [None]):
+                if record and record[0] + record[1] > stored:
+                    raise ValueError(f"a record of {name} in {path} lies beyond its end")
                 if group and (record is None or record[0] + record[1] - group[0][0] > READ_BYTES):
                     yield path, start + group[0][0], [x - group[0][0] for x, _ in group], [n for _, n in group]
                     group = []
@@ -230,25 +332,62 @@ def record_ranges(path: str) -> Iterator[tuple[str, int, list[int], list[int]]]:
                     group.append(record)
 
 
-def parse_record(data: bytes) -> dict:
-    """Fields of one record; the payload of a response is checked against its digest."""
-    head, _, block = gzip.decompress(data).partition(b"\r\n\r\n")
+def header_fields(lines: list[str]) -> dict[str, str]:
+    """Named fields of header lines, names in lower case; a line that goes on with white space belongs to the one before."""
+    fields: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            fields[name] = value.strip()
+    return fields
+
+
+def own_number(uri: str | None) -> int | None:
+    """The page id in a record id that this module wrote; None for any other."""
+    text = (uri or "").strip("<>")
+    return int(text[len(ID) :]) if text.startswith(ID) and text[len(ID) :].lstrip("-").isdigit() else None
+
+
+def parse_record(data: bytes) -> dict | None:
+    """Fields of one record; None for records that carry no page (``warcinfo``, ``request``, ``metadata`` and so on).
+
+    The payload of a response is what follows the HTTP header, that of a resource the whole block. A SHA-1 digest
+    in the record is checked.
+    """
+    whole = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    head, mark, block = whole.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
-    if not lines[0].startswith("WARC/"):
+    if not lines[0].startswith("WARC/") or not mark:
         raise ValueError("not a WARC record")
-    fields = dict(x.split(": ", 1) for x in lines[1:])
-    block = block[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x[16:]) for x in http.decode("latin-1").split("\r\n") if x.lower().startswith("content-length: "))
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    number = lambda x: int(x) if (x := x.strip("<>").removeprefix(ID)) else None
-    revisit = fields["WARC-Type"] == "revisit"
-    if not revisit and (base32_sha1(payload) != digest or len(payload) != length):
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
-    return {"page_id": number(fields["WARC-Record-ID"]),
-            "url": fields.get("WARC-Target-URI"),
-            "payload_bytes": length, "payload_digest": digest, "record_type": fields["WARC-Type"],
-            "refers_to": number(fields["WARC-Refers-To"]) if revisit else None, "payload": None if revisit else payload}
+    fields = header_fields(lines[1:])
+    kind = fields.get("warc-type", "")
+    if kind not in ("response", "revisit", "resource"):
+        return None
+    size = int(fields["content-length"])
+    if len(block) < size:
+        raise ValueError(f"record {fields.get('warc-record-id')} ends early")
+    block = block[:size]
+    http, _, payload = block.partition(b"\r\n\r\n") if kind != "resource" else (b"", b"", block)
+    stated = header_fields(http.decode("latin-1").split("\r\n")[1:]).get("content-length", "")
+    algorithm, _, digest = fields.get("warc-payload-digest", "").partition(":")
+    url, revisit = fields.get("warc-target-uri"), kind == "revisit"
+    if revisit:
+        length = int(stated) if stated.isdigit() else None
+    else:
+        length, own = len(payload), base32_sha1(payload)
+        chunked = b"chunked" in http.lower()   # such a digest may be that of the joined chunks
+        if algorithm == "sha1" and len(digest) == 32 and digest.upper() != own and not chunked:
+            raise ValueError(f"payload of {fields.get('warc-record-id')} does not match its digest")
+        digest = own
+    if url and lines[0] == "WARC/1.0" and url[0] == "<" and url[-1] == ">":   # as some writers put it
+        url = url[1:-1]
+    return {"page_id": own_number(fields.get("warc-record-id")), "url": url,
+            "payload_bytes": length, "payload_digest": digest or None, "record_type": kind,
+            "refers_to": own_number(fields.get("warc-refers-to")) if revisit else None, "payload": None if revisit else payload}
 
 
 READ_SCHEMA = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
@@ -274,11 +413,13 @@ def read_packages(packages: DataFrame, *, payload: bool = True) -> DataFrame:
         target = pa.schema([(x, kinds.get(x, pa.string())) for x in names])
         for batch in batches:
             for row in batch.to_pylist():
-                system, local = FileSystem.from_uri(row["package"])
+                system, local = place_of(row["package"])
                 with system.open_input_file(local) as file:
                     data = read_range(file, row["start"], row["starts"][-1] + row["lengths"][-1])
-                records = [parse_record(data[x : x + n]) for x, n in zip(row["starts"], row["lengths"])]
-                yield pa.RecordBatch.from_pylist([{k: x[k] for k in names} for x in records], target)
+                parsed = (parse_record(data[x : x + n]) for x, n in zip(row["starts"], row["lengths"]))
+                records = [x for x in parsed if x is not None]
+                if records:
+                    yield pa.RecordBatch.from_pylist([{k: x[k] for k in names} for x in records], target)
 
     spark = packages.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

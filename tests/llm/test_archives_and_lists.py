@@ -1,6 +1,7 @@
 """ZIP packages of WARC records, temporal lists."""
 
 import base64
+import gzip
 import hashlib
 import random
 import zipfile
@@ -101,3 +102,91 @@ def test_empty_lists_and_captures(spark):
     assert [x.verdict for x in judge_captures(one, none).collect()] == ["allowed"]
     assert judge_captures(one.limit(0), none).count() == 0
     assert validity(none).count() == 0
+
+
+# -- packages of other writers
+
+def plain_record(kind, uri, block, extra=""):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{abs(hash(uri))}>\r\n"
+    head += f"WARC-Target-URI: <{uri}>\r\n{extra}Content-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def foreign_records():
+    page = lambda text: b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + text
+    return [("warcinfo", plain_record("warcinfo", "info", b"software: x\r\n")), ("request", plain_record("request", "http://a/", b"GET / HTTP/1.1\r\n\r\n")),
+            ("a", plain_record("response", "http://a/", page(b"<html>a</html>"), "WARC-Payload-Digest: sha256:abc\r\n")),
+            ("b", plain_record("response", "http://b/", page(b"b" * 3_000_000))), ("c", plain_record("resource", "http://c/", b"resource")),
+            ("d", plain_record("response", "http://d/", page(b"")))]
+
+
+def foreign_package(path, archive, index=None, packed=True, cut=0, method=zipfile.ZIP_STORED):
+    """A package with one archive of foreign records; ``index(places)`` gives the name and bytes of its index."""
+    data, places = b"", {}
+    for name, record in foreign_records():
+        own = gzip.compress(record) if packed else record
+        places[name] = (len(data), len(own))
+        data += own
+    with zipfile.ZipFile(path, "w", method) as package:
+        package.writestr(archive, data[: len(data) - cut])
+        if index:
+            package.writestr(*index(places))
+    return str(path)
+
+
+def read_foreign(spark, path):
+    rows = read_packages(spark.createDataFrame([(path,)], "package string"))
+    return {x.url: (x.payload_bytes, x.payload_digest, x.record_type, x.page_id, bytes(x.payload)) for x in rows.collect()}
+
+
+EVERY = {f"http://{n}/": (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), t, None, p)
+         for n, p, t in (("a", b"<html>a</html>", "response"), ("b", b"b" * 3_000_000, "response"), ("c", b"resource", "resource"), ("d", b"", "response"))}
+
+
+def cdxj(places, of, text=str):
+    return "".join(f'com,{n})/ 2024 {{"offset": "{o}", "length": "{m}", "filename": "{of}"}}\n' for n, (o, m) in places.items() if len(n) == 1)
+
+
+@pytest.mark.parametrize("index", [
+    None,
+    lambda p: ("indexes/index.cdx.gz", gzip.compress(("!meta {}\n" + cdxj(p, "data.warc.gz")).encode())),
+    lambda p: ("indexes/index.cdxj", cdxj(p, "archive/data.warc.gz")),
+    lambda p: ("index.cdx", " CDX N b a m s k r M S V g\n" + "".join(f"{n} 2024 http://{n}/ - 200 X - - {m} {o} data.warc.gz\n" for n, (o, m) in p.items())),
+])
+def test_packages_of_other_writers(spark, tmp_path, index):
+    path = foreign_package(tmp_path / "x.wacz", "archive/data.warc.gz", index)
+    assert read_foreign(spark, path) == EVERY
+    assert read_foreign(spark, f"file://{path}") == EVERY
+
+
+def test_plain_archives_are_walked(spark, tmp_path):
+    assert read_foreign(spark, foreign_package(tmp_path / "x.zip", "data.warc", packed=False)) == EVERY
+
+
+@pytest.mark.parametrize("cut", [3, 500, 5000])
+@pytest.mark.parametrize("packed", [True, False])
+def test_a_damaged_archive_is_refused(spark, tmp_path, cut, packed):
+    path = foreign_package(tmp_path / "x.zip", "data.warc.gz" if packed else "data.warc", packed=packed, cut=cut)
+    if not packed and cut == 3:
+        assert read_foreign(spark, path) == EVERY   # only blank lines after the last record are gone
+        return
+    with pytest.raises(Exception, match="data.warc"):
+        read_foreign(spark, path)
+
+
+@pytest.mark.parametrize("index, method, said", [
+    (lambda p: ("index.cdxj", cdxj(p, "other.warc.gz")), zipfile.ZIP_STORED, "does not hold"),
+    (lambda p: ("index.cdxj", 'x 1 {"offset": 1, "length": }\n'), zipfile.ZIP_STORED, "damaged line"),
+    (lambda p: ("index.cdxj", 'x 1 {"offset": 99999999, "length": 5, "filename": "data.warc.gz"}\n'), zipfile.ZIP_STORED, "beyond its end"),
+    (None, zipfile.ZIP_DEFLATED, "compressed inside"),
+])
+def test_what_cannot_be_read_is_refused(spark, tmp_path, index, method, said):
+    with pytest.raises(Exception, match=said):
+        read_foreign(spark, foreign_package(tmp_path / "x.zip", "data.warc.gz", index, method=method))
+
+
+def test_packages_keep_the_scheme_of_their_folder(spark, tmp_path):
+    folder = f"file://{tmp_path}/with scheme"
+    packages = write_packages(pages_of(spark), folder)
+    assert all(x.package.startswith(folder + "/") for x in packages.collect())
+    assert read_packages(packages).count() == len(PAGES)
