@@ -177,6 +177,64 @@ def test_recall_of_a_full_block_of_given_texts(spark, docs_of, listed_block):
     assert len(truth & {(x.doc_id, x.item_id) for x in found if x.cosine is not None}) >= 0.99 * len(truth)
 
 
+def paraphrase(words, kind, rng, others):
+    """Words left out, swapped with their neighbour, replaced, or with others between them."""
+    if kind == 0:
+        return [w for w in words if rng.random() > 0.17]
+    if kind == 1:
+        out = list(words)
+        for i in range(len(out) - 1):
+            if rng.random() < 0.2:
+                out[i], out[i + 1] = out[i + 1], out[i]
+        return out
+    if kind == 2:
+        return [rng.choice(others) if rng.random() < 0.17 else w for w in words]
+    return [x for w in words for x in ([w] if rng.random() > 0.25 else [w, rng.choice(others)])]
+
+
+def test_recall_of_paraphrases_in_the_latent_space(spark):
+    """Planted paraphrases against the rule over whole documents; the cosine alone has to bring them."""
+    docs = [(x.doc_id, x.text) for x in spark.read.parquet(f"{LARGE}/documents.parquet").where("doc_id % 20 = 0").orderBy("doc_id").collect()]
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{LARGE}/benchmark.parquet").orderBy("item_id").collect()]
+    rng, plain = random.Random(4), [latent.plain_words(t.encode()) for _, t in items]
+    hosts = [x for x in (latent.plain_words((t or "").encode()) for _, t in docs) if 60 < len(x) < 500]
+    others = [w for x in hosts for w in x]
+    answers = [set(latent.plain_words([x for x in latent._SENTENCE.split(t.encode()) if latent.plain_words(x)][-1])) for _, t in items]
+    asked = latent.Items([i for i, _ in items], plain, answers, [], {})
+    rows, truth = list(docs), set()
+    for n in range(2 * len(items)):
+        host, number = hosts[n % len(hosts)], n % len(items)
+        at = rng.randrange(len(host))
+        words = host[:at] + paraphrase(plain[number], n % 4, rng, others) + host[at:]
+        rows.append((10**7 + n, b" ".join(words).decode()))
+        if latent.check(asked, number, words, np.arange(len(words))):
+            truth.add((10**7 + n, items[number][0]))
+    found = contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4),
+                         spark.createDataFrame(items, "item_id long, text string")).collect()
+    near = {(x.doc_id, x.item_id) for x in found if x.cosine is not None}
+    assert len(truth) > 1.8 * len(items) and len(truth & near) >= 0.98 * len(truth)
+
+
+def test_the_latent_space_decides(spark, docs_of):
+    """Words that occur together share directions: a passage is near an item by words that the item does not hold."""
+    rng = random.Random(2)
+    topics = [[f"t{t}w{i}" for i in range(12)] for t in range(40)]
+    docs = [(i, " ".join(rng.choice(topics[i % 40]) for _ in range(64))) for i in range(1500)]
+    texts = [[w.encode() for w in rng.sample(topics[t], 6)] for t in range(40) for _ in range(8)]
+    frequency, total = latent.document_frequency(docs_of(docs))
+    terms = latent.Terms.of(texts, frequency, total)
+    spaces = latent.latent_spaces(docs_of(docs).select("text"), texts, terms)
+    assert [x.basis.shape[1] for x in spaces] == [latent.RANK] and len(spaces[0].owner) == len(texts) > latent.RANK
+    reader, apart, own = latent.Reader(terms), [], []
+    for number, item in enumerate(texts):
+        # The words of the topic that the item lacks, as far as other items know them: no word in common.
+        others = [w.encode() for w in topics[number // 8] if w.encode() not in item]
+        for words, to in ((others, apart), (item, own)):
+            for _, cosine in latent.similar(reader.passages(words), spaces[0]):
+                to.append(float(cosine[0, number]))
+    assert min(own) > 0.5 and sum(x > 0.05 for x in apart) > len(apart) / 2   # plain TF-IDF gives zero for every one
+
+
 def test_item_below_the_cosine_is_found_word_for_word(spark, docs_of):
     rng = random.Random(2)
     some = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
@@ -191,7 +249,7 @@ def test_any_stretch_may_convict(between):
     item, fill = [b"i%d" % i for i in range(20)], [b"x%d" % i for i in range(between)]
     words = item[:12] + fill + [b"y"] * 40 + item[:11] + [b"answer"] + [b"z"] * 40
     places = np.array([0, 40 + len(fill) + 12])
-    asked = latent.Items(["a"], [item], [{b"answer"}], np.zeros((1, 1), np.float32), np.array([0]), {})
+    asked = latent.Items(["a"], [item], [{b"answer"}], [], {})
     found = latent.check(asked, 0, words, places)
     assert found is not None and found[:2] == (11 / 20, 1.0)
     asked.answers[0] = {b"other"}
