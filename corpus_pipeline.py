@@ -4,6 +4,10 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is writt
 next stage's documents. All stages but the last return the columns of ``documents``, whatever they are. A decision is
 made per row by the document's id; rows without an id are judged by the stages that read single texts and are left
 alone by those that compare documents (near duplicates, benchmark matches).
+
+Cases: a null or empty text is a document without words, which the first two stages reject; very long texts are read
+whole; of documents that are alike the smallest id stays, and of rows that repeat both id and text one; an empty table
+gives empty tables of the same columns at every stage; further columns travel along, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,20 +26,33 @@ from quayside.llm.simhash_bytes import near_duplicates
 from quayside.storage import materialise
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``rejected(doc_id)``; rows without an id stay."""
-    named = rejected.where("doc_id is not null").select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(named, F.col("doc_id").cast("long") == F.col("__rejected"), "left_anti")
+    """Rows of ``docs`` whose id is not in ``rejected(doc_id)``; rows without an id stay.
+
+    The ids are written first: Spark then knows how few they are, and the texts are not shuffled for them.
+    """
+    key = _free(docs, "rejected_id")
+    named = materialise(rejected.where("doc_id is not null").select(F.col("doc_id").alias(key)).distinct(), "pipeline-rejected")
+    return docs.join(named, docs["doc_id"].cast("long") == named[key], "left_anti")
 
 
 def _once(docs: DataFrame) -> DataFrame:
     """Rows that repeat both id and text once; only ids that repeat are shuffled with their texts."""
-    repeated = materialise(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__repeated")).agg(
-        F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__repeated"), "pipeline-repeated")
-    again = F.col("doc_id") == F.col("__repeated")
+    key, number, digest = (_free(docs, x) for x in ("repeated_id", "times", "digest"))
+    repeated = materialise(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(
+        F.count(F.lit(1)).alias(number)).where(F.col(number) > 1).select(key), "pipeline-repeated")
+    again = docs["doc_id"] == repeated[key]
     single = docs.join(repeated, again, "left_anti")
-    several = docs.join(repeated, again, "left_semi").withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return single.unionByName(several.dropDuplicates(["doc_id", "__sha"]).drop("__sha"))
+    several = docs.join(repeated, again, "left_semi").withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    return single.unionByName(several.dropDuplicates(["doc_id", digest]).drop(digest))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +75,7 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    return _without(docs, materialise(contaminated(docs, read_table(spark, sf_dir, "benchmark")), "pipeline-matches"))
+    return _without(docs, contaminated(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
