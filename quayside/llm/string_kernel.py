@@ -2,7 +2,7 @@
 
 Two strings are alike by the subsequences of three characters they share, gaps allowed: an occurrence weighs
 ``DECAY ** gaps`` (Lodhi et al. 2002), the ends of a string count as characters, and the kernel is normed by the
-weights of all occurrences and raised to a power. Gapped, stretched and inflected insults stay close to their landmark; punctuation inside a string is
+weights of all occurrences and raised to the third power. Gapped, stretched and inflected insults stay close to their landmark; punctuation inside a string is
 taken out, and runs of single letters are read as one string as well.
 
 Training: labelled sentences (each distinct one once) of a bounded sample of labelled documents give, per string, the
@@ -35,15 +35,17 @@ from pyspark.sql import functions as F
 from quayside.llm.common import as_bytes, calls, fold, in_workers, map_texts
 from quayside.storage import materialise
 
-DECAY, POWER, BUCKET_BITS, LONGEST = 0.6, 3, 15, 20
+DECAY, BUCKET_BITS, LONGEST = 0.6, 15, 20
 FOLDS, HELD_FOLD, THRESHOLD = 3, 1, 0.7
 # Documented bounds of the training sample: labelled documents of each kind, strings, landmarks.
 TOXIC_DOCS, CLEAN_DOCS = 4096, 8192
 POSITIVES, NEGATIVES = 2000, 15000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 48
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 112, 16
 SIGNIFICANT, LIFT = 30.0, 2.5
 STEMS = (4, 5, 6)
 MEMO_STRINGS = 300_000
+# Strings compared with each other at a time when landmarks are chosen; numbers that are gathered at a time.
+VARIED_PART, CELLS = 1000, 1 << 17
 # Text of which the strings are held at once.
 PART_BYTES = 1 << 20
 NOTHING = -2.0
@@ -84,24 +86,52 @@ def windows(text: str) -> list[str]:
     return [text[i : i + LONGEST] for i in range(0, len(text) - LONGEST // 2, LONGEST // 2)]
 
 
-def kernel(strings: list[str], table: np.ndarray) -> np.ndarray:
-    """Kernel of strings (at most LONGEST characters) with each landmark, a column of ``table``."""
-    out = np.empty((len(strings), table.shape[1]), np.float32)
+@dataclass
+class Landmarks:
+    """Strings to compare with: ``rows`` has a line per bucket that one of them holds, ``row_of`` the line of each bucket.
+
+    Line 0 is empty: it stands for all buckets that no landmark holds, so what is looked up again and again stays small.
+    """
+
+    row_of: np.ndarray
+    rows: np.ndarray
+
+    @staticmethod
+    def of(strings: list[str]) -> Landmarks:
+        at = [buckets([x]) for x in strings]
+        held = np.unique(np.concatenate([x[0].ravel() for x in at]))
+        row_of = np.zeros(1 << BUCKET_BITS, np.int32)
+        row_of[held] = np.arange(1, len(held) + 1)
+        rows = np.zeros((len(held) + 1, len(strings)), np.float32)
+        for column, (places, weights) in enumerate(at):
+            np.add.at(rows[:, column], row_of[places[0]], weights)
+        return Landmarks(row_of, rows)
+
+
+def kernel(strings: list[str], landmarks: Landmarks) -> np.ndarray:
+    """Kernel of strings (at most LONGEST characters) with each landmark."""
+    many = landmarks.rows.shape[1]
+    out = np.empty((len(strings), many), np.float32)
     by_length = defaultdict(list)
     for i, x in enumerate(strings):
         by_length[len(x)].append(i)
-    for length, rows in by_length.items():
-        step = max(1, 2_000_000 // (len(triples(length + 2)[0]) * table.shape[1]))
-        for start in range(0, len(rows), step):
-            part = rows[start : start + step]
-            at, weights = buckets([strings[i] for i in part])
-            out[part] = np.einsum("ntm,t->nm", table[at], weights)
-    return np.maximum(out, 0) ** POWER
+    for length, own in by_length.items():
+        size = len(triples(length + 2)[0])
+        step = max(1, CELLS // (size * many))
+        for start in range(0, len(own), 64 * step):
+            some = own[start : start + 64 * step]
+            at, weights = buckets([strings[i] for i in some])
+            at = landmarks.row_of[at]
+            for i in range(0, len(some), step):
+                lines = landmarks.rows.take(at[i : i + step].T.ravel(), axis=0)
+                out[some[i : i + step]] = (weights @ lines.reshape(size, -1)).reshape(-1, many)
+    np.maximum(out, 0, out=out)
+    return out * out * out
 
 
 @dataclass
 class Model:
-    table: np.ndarray
+    landmarks: Landmarks
     weights: np.ndarray
     bias: float
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
@@ -109,7 +139,7 @@ class Model:
     def strings(self, strings: list[str]) -> np.ndarray:
         """SVM value of each string; a long one has that of its best window."""
         pieces = [windows(x) for x in strings]
-        values = kernel([y for x in pieces for y in x], self.table) @ self.weights + self.bias
+        values = kernel([y for x in pieces for y in x], self.landmarks) @ self.weights + self.bias
         if len(values) == len(strings):
             return values
         return np.maximum.reduceat(values, np.cumsum([0] + [len(x) for x in pieces[:-1]]))
@@ -118,24 +148,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(best @ np.array(self.curve[:2]) + self.curve[2], -50, 50)))
 
 
-def landmark_table(landmarks: list[str]) -> np.ndarray:
-    table = np.zeros((1 << BUCKET_BITS, len(landmarks)), np.float32)
-    for column, x in enumerate(landmarks):
-        at, weights = buckets([x])
-        np.add.at(table[:, column], at[0], weights)
-    return table
-
-
-def varied(strings: list[str], most: int, apart: float = 0.5, looked_at: int = 600) -> list[str]:
-    """The first strings that are not too alike to an earlier choice."""
-    listed = [*dict.fromkeys(x[:LONGEST] for x in strings[:looked_at])]
-    chosen: list[int] = []
-    if listed:
-        alike = kernel(listed, landmark_table(listed))
-        for i in range(len(listed)):
-            if len(chosen) < most and (not chosen or alike[i, chosen].max() < apart):
-                chosen.append(i)
-    return [listed[i] for i in chosen]
+def varied(strings: list[str], most: int, apart: float = 0.5) -> list[str]:
+    """The first strings (windows of long ones) that are not too alike to an earlier choice, out of all of them."""
+    listed = [*dict.fromkeys(y for x in strings for y in windows(x))]
+    chosen: list[str] = []
+    # A part at a time: what is like an earlier choice, then what is like another one of the part.
+    for start in range(0, len(listed), VARIED_PART):
+        part = listed[start : start + VARIED_PART]
+        if chosen:
+            part = [x for x, near in zip(part, kernel(part, Landmarks.of(chosen)).max(axis=1)) if near < apart]
+        alike, own = kernel(part, Landmarks.of(part)) if part else None, []
+        for i in range(len(part)):
+            if len(chosen) + len(own) < most and (not own or alike[i, own].max() < apart):
+                own.append(i)
+        chosen += [part[i] for i in own]
+        if len(chosen) >= most:
+            break
+    return chosen
 
 
 def svm(features: np.ndarray, sign: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -158,15 +187,17 @@ def fit_strings(positive: list[tuple[str, float]], negative: list[tuple[str, flo
     landmarks = [*dict.fromkeys(
         varied([x for x, _ in positive], TOXIC_LANDMARKS) + varied(hard, CLEAN_LANDMARKS // 2)
         + varied([x for x, _ in negative], CLEAN_LANDMARKS // 2 if hard else CLEAN_LANDMARKS))]
-    table = landmark_table(landmarks)
-    values, vectors = np.linalg.eigh(kernel(landmarks, table) + 1e-3 * np.eye(len(landmarks)))
+    known = Landmarks.of(landmarks)
+    values, vectors = np.linalg.eigh(kernel(landmarks, known).astype(float) + 1e-3 * np.eye(len(landmarks)))
     root = (vectors / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
-    rows = [(x[:LONGEST], w, 1.0) for x, w in positive] + [(x[:LONGEST], w, -1.0) for x, w in [*negative, *((x, 1.0) for x in hard)]]
+    # Long strings are learnt as they are scored: by their windows, which share the weight of a positive one.
+    rows = [(y, w / len(pieces), 1.0) for x, w in positive for pieces in [windows(x)] for y in pieces]
+    rows += [(y, w, -1.0) for x, w in [*negative, *((x, 1.0) for x in hard)] for y in windows(x)]
     sign = np.array([x[2] for x in rows])
     weight = np.sqrt(np.maximum([x[1] for x in rows], 1.0))
     weight[sign > 0] *= 0.5 * weight[sign < 0].sum() / weight[sign > 0].sum()
-    v, bias = svm(kernel([x[0] for x in rows], table) @ root, sign, weight)
-    return Model(table, (root @ v).astype(np.float32), bias)
+    v, bias = svm(kernel([x[0] for x in rows], known) @ root, sign, weight)
+    return Model(known, (root @ v).astype(np.float32), bias)
 
 
 def logistic(best: np.ndarray, label: np.ndarray, rounds: int = 60) -> tuple[float, float, float]:
