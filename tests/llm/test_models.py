@@ -67,8 +67,7 @@ def test_quality_of_odd_rows_and_missing_ratings(spark, docs_of, odd_rows):
 
 
 def test_kernel_prefers_gapped_and_stretched_strings():
-    table = string_kernel.landmark_table(["moron"])
-    model = Model(table, np.ones(1, np.float32), 0.0)
+    model = Model(string_kernel.Landmarks.of(["moron"]), np.ones(1, np.float32), 0.0)
     values = dict(zip(["moron", "moorron", "mxoron", "kalomi", "mo", "a" * 50 + "moron" + "b" * 50], model.strings(
         ["moron", "moorron", "mxoron", "kalomi", "mo", "a" * 50 + "moron" + "b" * 50]).tolist()))
     assert values["moron"] >= 1  # a repeated subsequence counts more
@@ -77,6 +76,34 @@ def test_kernel_prefers_gapped_and_stretched_strings():
     assert strings_of(["m-o.r_o*n", "i", "d", "i", "o", "t", "..."])[-1] == "idiot" and strings_of(["m-o.r_o*n"]) == ["moron"]
 
 
+def plain_kernel(a, b):
+    """The same by listing all subsequences of three signs with their gaps."""
+    def spread(x):
+        x, out = ("\x02", *x, "\x03"), {}
+        for i in range(len(x)):
+            for j in range(i + 1, len(x)):
+                for k in range(j + 1, len(x)):
+                    out.setdefault((x[i], x[j], x[k]), []).append(0.6 ** (k - i - 2))
+        size = sum(w * w for ws in out.values() for w in ws) ** 0.5
+        return {t: sum(ws) / size for t, ws in out.items()}
+    p, q = spread(a), spread(b)
+    return max(0.0, sum(w * q.get(t, 0.0) for t, w in p.items())) ** 3
+
+
+def test_kernel_equals_listed_subsequences():
+    rng = random.Random(6)
+    words = ["moron", "mo", "a", "aaaa", "straße", "x" * 20, *("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 20))) for _ in range(60))]
+    found = string_kernel.kernel(words, string_kernel.Landmarks.of(words))
+    plain = np.array([[plain_kernel(a, b) for b in words] for a in words])
+    assert np.median(np.abs(found - plain)) < 1e-5 and np.abs(found - plain).max() < 0.05 * plain.max()   # buckets may be shared
+
+
+def test_landmarks_come_from_all_strings():
+    many = [f"{'abcdefghij'[i // 300]}word{i:04d}" for i in range(3000)] + ["zzzzyyyxxx" * 5]
+    chosen = string_kernel.varied(many, 5000, apart=1e9)
+    assert set(many[:3000]) <= set(chosen) and len(chosen) > 3000   # windows of the long one too
+
+
 def test_toxicity_on_held_out_rows(spark, docs_of):
     rng = random.Random(9)
     insults, rows, labels = ["grubworm", "slimetoad", "dunghead"], [], []
@@ -224,7 +251,7 @@ def test_the_latent_space_decides(spark, docs_of):
     frequency, total = latent.document_frequency(docs_of(docs))
     terms = latent.Terms.of(texts, frequency, total)
     spaces = latent.latent_spaces(docs_of(docs).select("text"), texts, terms)
-    assert [x.basis.shape[1] for x in spaces] == [latent.RANK] and len(spaces[0].owner) == len(texts) > latent.RANK
+    assert [x.loadings.shape[1] for x in spaces] == [latent.RANK] and len(spaces[0].owner) == len(texts) > latent.RANK
     reader, apart, own = latent.Reader(terms), [], []
     for number, item in enumerate(texts):
         # The words of the topic that the item lacks, as far as other items know them: no word in common.
