@@ -37,25 +37,31 @@ def _first_file(system, status):
     return None
 
 
-def signature(spark: SparkSession, path: str) -> str | None:
-    """What tells the schema of a file, folder or pattern; None if it has no readable footer."""
+def signatures(spark: SparkSession, paths: Sequence[str]) -> list[str | None]:
+    """What tells the schema of each file, folder or pattern; None if it has no readable footer."""
+    # Every name on the way to a class is a call of its own: they are looked up once for all paths.
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    try:
-        system = target.getFileSystem(conf)
-        matches = system.globStatus(target)
-        first = _first_file(system, matches[0]) if matches else None
-        if first is None:
-            return None
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
-            jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(first, conf))
+    as_path, reader_of = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.parquet.hadoop.ParquetFileReader
+    file_of = jvm.org.apache.parquet.hadoop.util.HadoopInputFile
+
+    def signature(path: str) -> str | None:
         try:
-            meta = reader.getFileMetaData()
-            return f"{meta.getSchema().toString()}\n{meta.getKeyValueMetaData().get(_NOTE)}"
-        finally:
-            reader.close()
-    except Exception:  # no Parquet file: Spark says why when it is asked for the schema
-        return None
+            target = as_path(path)
+            system = target.getFileSystem(conf)
+            matches = system.globStatus(target)
+            first = _first_file(system, matches[0]) if matches else None
+            if first is None:
+                return None
+            reader = reader_of.open(file_of.fromStatus(first, conf))
+            try:
+                meta = reader.getFileMetaData()
+                return f"{meta.getSchema().toString()}\n{meta.getKeyValueMetaData().get(_NOTE)}"
+            finally:
+                reader.close()
+        except Exception:  # no Parquet file: Spark says why when it is asked for the schema
+            return None
+
+    return many_at_once(signature, paths)
 
 
 def parquet_schemas(spark: SparkSession, paths: Sequence[str]) -> list[T.StructType]:
@@ -63,7 +69,7 @@ def parquet_schemas(spark: SparkSession, paths: Sequence[str]) -> list[T.StructT
     paths = list(paths)
     known: dict[str, T.StructType] = {}
     found = []
-    for path, text in zip(paths, many_at_once(lambda p: signature(spark, p), paths) if len(paths) > 1 else [None]):
+    for path, text in zip(paths, signatures(spark, paths) if len(paths) > 1 else [None]):
         if text is None:
             found.append(spark.read.parquet(path).schema)
         else:

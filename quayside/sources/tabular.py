@@ -173,10 +173,10 @@ def _rounds(paths: Sequence[str]) -> list[list[tuple[int, str]]]:
 
 def _places(spark: SparkSession, numbered: Sequence[tuple[int, str]]) -> DataFrame:
     """``(_place, _file_seq)``: the URI of each given file or folder and its number in the list."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    as_path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
 
     def uris(path: str) -> list[str]:
-        target = jvm.org.apache.hadoop.fs.Path(path)
+        target = as_path(path)
         found = target.getFileSystem(conf).globStatus(target)
         if not found:
             raise InputError(f"{_base_name(path)} does not exist")

@@ -21,10 +21,10 @@ from quayside.plans.portal_tables import Portal
 INDEX = IndexColumns(time="ts", key="event_id", id="user_id", include="value")
 
 
-def plan(df) -> str:
+def plan(df, mode: str = "formatted") -> str:
     text = io.StringIO()
     with contextlib.redirect_stdout(text):
-        df.explain("formatted")
+        df.explain(mode)
     return text.getvalue()
 
 
@@ -70,6 +70,8 @@ SINGLE_TASK_WINDOW = re.compile(r"Window.*\n(?:.*\n){0,6}?.*Exchange SingleParti
 
 @pytest.mark.parametrize("name", [n for n in contract.queries() if n.split("_")[0] not in ("replace", "stream", "load", "read", "export")])
 def test_no_cross_joins_no_python_rows(name, spark, folder):
-    text = plan(contract.queries()[name](spark, folder))
+    rows = contract.queries()[name](spark, folder)
+    text = plan(rows)
     assert "CartesianProduct" not in text and "BatchEvalPython" not in text
     assert "BroadcastNestedLoopJoin" not in text
+    assert not SINGLE_TASK_WINDOW.search(plan(rows, "simple"))
