@@ -340,6 +340,9 @@ def read_csv_row_numbers(portal: Portal) -> DataFrame:
 def content_hashes_of_files(portal: Portal) -> DataFrame:
     """Hashes of file contents: one small file per supplier, written and hashed."""
     path = fresh_path(portal.spark, "supplier-files")
-    portal.raw("supplier").select(F.col("s_suppkey").alias("key"), "s_name").write.partitionBy("key").text(path)
+    # A small table is one task; a file costs milliseconds, whatever it holds, so the keys are spread over all tasks.
+    tasks = int(portal.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = portal.raw("supplier").select(F.col("s_suppkey").alias("key"), "s_name").repartition(tasks, "key")
+    rows.write.partitionBy("key").text(path)
     found = content_hashes(portal.spark, path)
     return found.select(F.regexp_extract("path", "/key=(\\d+)/", 1).cast("bigint").alias("s_suppkey"), "sha256")

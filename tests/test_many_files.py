@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 import os
 import time
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -18,6 +20,7 @@ from quayside.operators import replace as R
 from quayside.operators.load import load_table
 from quayside.operators.profile import profile
 from quayside.operators.sketches import merged_profile, sketch, sketch_schema
+from quayside.plans import catalogue_of_queries
 from quayside.sources.export import export_csv_parts
 from quayside.sources.footers import parquet_schemas
 from quayside.sources.pages import most_bytes, write_page_parquet
@@ -185,3 +188,18 @@ def test_an_audit_from_chunks_reads_no_table(spark, tmp_path):
     assert "/_sketches/" in read and "/chunk-" in read and "staging" not in read and path not in read
     replacer.abort(second)
     assert not names_in(spark, f"{replacer.root}/_sketches/{second}") and names_in(spark, f"{replacer.root}/_sketches/{first}")
+
+
+# -- content hashes
+
+def test_small_files_are_written_by_all_tasks(spark, tmp_path):
+    """One task that writes a file per row takes as long as there are rows; a repeated key is one file."""
+    rows = [(i, f"name {i}") for i in range(60)] + [(7, "name 7")]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    before = {x for x in os.listdir(shared_dir(spark)) if x.startswith("supplier-files")}
+    found = {x.s_suppkey: x.sha256 for x in catalogue_of_queries()[0]["content_hashes_of_files"](spark, str(tmp_path)).collect()}
+    text = {i: f"name {i}\n" for i in range(60)} | {7: "name 7\n" * 2}
+    assert found == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in text.items()}
+    folder, = {x for x in os.listdir(shared_dir(spark)) if x.startswith("supplier-files")} - before
+    parts = [x.name.split("-")[1] for x in Path(shared_dir(spark), folder).rglob("part-*.txt")]
+    assert len(parts) == 60 and len(set(parts)) > 1
