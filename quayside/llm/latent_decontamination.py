@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are read as overlapping passages of words. Passages and benchmark items become TF-IDF vectors; a randomised
-SVD (subspace iteration, the products with the passage matrix are made by Spark tasks) gives a latent basis, and
-passages and items are projected to it and compared there: a passage is a candidate for an item if the cosine between the
+SVD (subspace iteration on the sums of products of the passage matrix, which Spark tasks make and multiply) gives a latent
+basis, and passages and items are projected to it and compared there: a passage is a candidate for an item if the cosine between the
 whole passage and the item's latent direction reaches a threshold. Words that occur together share directions, so a passage
 is near an item whose words it partly replaces. A basis serves at most BASIS_PASSAGES item passages, about twice its rank, so that each
 item keeps a direction of its own. Items that stand in a document word
@@ -11,9 +11,10 @@ subsequence of words, which paraphrases with inserted, dropped or swapped words
 item's answer.
 
 Document frequencies cover all documents; words that are frequent everywhere have no weight, but every item keeps its
-rarest words. The basis is fitted on a documented bounded sample of documents, with the
+rarest words. The basis is fitted on every passage of every document, with the
 benchmark given the same mass, so that the directions of its rare words are in the basis; every passage of every
-document is searched. The benchmark is the stated query set: it is taken in blocks of ITEM_BLOCK items and searched for
+document is searched. The fit needs of the documents only how often two words of the items share a passage, so one job
+reads the texts for it, and what it keeps is bounded by the items' words. The benchmark is the stated query set: it is taken in blocks of ITEM_BLOCK items and searched for
 SEARCH_PASSAGES passages at once (a longer item alone), which bounds the vocabulary and what is broadcast.
 
 Cases: null and empty texts and items have no passages and match nothing; a text shorter than a passage is one
@@ -28,7 +29,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,10 @@ DF_BUCKETS = 1 << 17
 RANK, OVERSAMPLE, POWER_ROUNDS, SUM_TASKS = 192, 16, 2, 6
 # Passages handled at once.
 PART = 512
-# Documented bound of the sample for the basis; items per block.
-BASIS_DOCS, ITEM_BLOCK = 2048, 512
+# Words of texts read at once, unless one text has more; pairs of words a task holds.
+GROUP_WORDS, HELD_PAIRS = 1 << 16, 1 << 20
+# Items per block.
+ITEM_BLOCK = 512
 # Item passages of one basis and of one search.
 BASIS_PASSAGES, SEARCH_PASSAGES = 384, 1024
 LEAST_COSINE = 0.15
@@ -104,6 +107,10 @@ class Terms:
         at = np.fromiter(map(bucket, words), np.int64, len(words))
         return np.where(self.common[at] & (rows < 0), np.float32(0), self.idf[at])
 
+    def loads(self) -> np.ndarray:
+        """Weights of the items' words, in the order of their rows."""
+        return self.weights(list(self.row_of), np.arange(len(self.row_of)))
+
     @staticmethod
     def of(items: list[list[bytes]], frequency: np.ndarray, total: int) -> Terms:
         """The items' rare words, and of every item at least its ITEM_TERMS rarest."""
@@ -149,21 +156,42 @@ class Reader:
         No inner product with an item exceeds the norm of a passage's known words: passages below ``least`` of their
         full norm are left out, for they cannot be candidates.
         """
-        n, at = len(words), self.at(words)
-        weights, rows = self.weights[at], self.rows[at]
-        starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
-        places = np.flatnonzero(rows >= 0)
-        stops = np.minimum(starts + WINDOW, n)
-        squares, known = np.zeros(n + 1), np.zeros(len(places) + 1)
-        np.cumsum(np.square(weights, dtype=np.float64), out=squares[1:])
-        np.cumsum(np.square(weights[places], dtype=np.float64), out=known[1:])
-        norms = np.sqrt(squares[stops] - squares[starts])
-        shares = known[np.searchsorted(places, stops)] - known[np.searchsorted(places, starts)]
-        norms = np.maximum(norms, 1e-6)
+        return self.passages_of([words], least)[1]
+
+    def passages_of(self, texts: list[list[bytes]], least: float = 0.0) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """The same of several texts, which are laid one behind the other, each filled up to whole strides and to a passage;
+        before them the place where each begins."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        strides = np.maximum(-(-sizes // STRIDE), WINDOW // STRIDE)
+        heads = np.cumsum(strides) - strides
+        at = self.at(texts[0] if len(texts) == 1 else list(chain.from_iterable(texts)))
+        to = np.arange(len(at)) + np.repeat(heads * STRIDE - (np.cumsum(sizes) - sizes), sizes)
+        weights = self.weights[at]
+        known = np.flatnonzero(self.rows[at] >= 0)
+        places, rows, loads = to[known], self.rows[at[known]], weights[known]
+        number = int(strides.sum())
+        squares = np.bincount(to // STRIDE, np.square(weights, dtype=np.float64), number)
+        shares = np.bincount(places // STRIDE, np.square(loads, dtype=np.float64), number)
+        first = np.ones(number, bool)   # strides that a passage begins with: all but the last of each text
+        first[heads + strides - 1] = False
+        first = np.flatnonzero(first)
+        norms = np.maximum(np.sqrt(squares[first] + squares[first + 1]), 1e-6)
         if least:
-            able = shares >= (least * norms) ** 2
-            starts, norms = starts[able], norms[able]
-        return starts, norms, places, rows[places], weights[places]
+            able = shares[first] + shares[first + 1] >= (least * norms) ** 2
+            first, norms = first[able], norms[able]
+        return heads * STRIDE, (first * STRIDE, norms, places, rows, loads)
+
+
+def groups_of(texts: list[list[bytes]]) -> Iterator[slice]:
+    """Runs of texts of at most GROUP_WORDS words; a longer text is a run of its own."""
+    start, held = 0, 0
+    for i, words in enumerate(texts):
+        if held and held + len(words) > GROUP_WORDS:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(words)
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 @dataclass
@@ -221,49 +249,102 @@ def product(rows: list[np.ndarray], values: list[np.ndarray], q: np.ndarray) ->
     return out
 
 
-def sparse_passages(sample: DataFrame, terms: Terms) -> DataFrame:
-    """``at, x``: the normed TF-IDF passages of the sample."""
-    shared = sample.sparkSession.sparkContext.broadcast(terms)
+def pairs_of(passages: tuple[np.ndarray, ...], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``keys, values``: of every two known words of a passage, as ``smaller row * size + larger row``, one over the squared
+    norm of the passage. A word twice in a passage is a pair with itself, once for either order."""
+    starts, norms, places, rows, _ = passages
+    for i in range(0, len(starts), 8 * PART):
+        first = np.searchsorted(places, starts[i : i + 8 * PART])
+        held = np.searchsorted(places, starts[i : i + 8 * PART] + WINDOW) - first
+        share = norms[i : i + 8 * PART] ** -2.0
+        for n in np.unique(held[held > 0]).tolist():
+            of, (a, b) = held == n, np.triu_indices(n)
+            found = rows[first[of, None] + np.arange(n)]
+            left, right = found[:, a], found[:, b]
+            value = np.where((left == right) & (a != b), 2.0, 1.0) * share[of, None]
+            yield (np.minimum(left, right) * size + np.maximum(left, right)).ravel(), value.ravel()
+
 
-    def sparse(batch: pa.RecordBatch) -> dict:
-        reader, out = Reader(shared.value), []
-        for text in as_bytes(batch.column("text")):
-            if words := plain_words(text):
-                starts, norms, places, rows, weights = reader.passages(words)
-                first, last = np.searchsorted(places, starts), np.searchsorted(places, starts + WINDOW)
-                out += [(rows[a:b], weights[a:b] / n) for a, b, n in zip(first, last, norms) if b > a]
-        return {"at": [x for x, _ in out], "x": [x for _, x in out]}
+def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, and the sums of their values."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(values), len(found))
 
-    return materialise(map_texts(sample.select("text").repartition(SUM_TASKS), sparse, "at array<int>, x array<float>"), "latent-passages")
 
+def shared_passages(docs: DataFrame, terms: Terms) -> tuple[DataFrame, float]:
+    """``i, j, v``: over all passages of all documents, the sum of the products of the normed TF-IDF weights of the rows ``i`` and
+    ``j``, in both orders; and the mass of all passages, the sum of their words' squared normed weights."""
+    shared, size = docs.sparkSession.sparkContext.broadcast(terms), len(terms.row_of)
 
-def basis_of(passages: DataFrame, mass: float, own_rows: list[np.ndarray], own_values: list[np.ndarray], size: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, keys, values, held = Reader(shared.value), [], [], 0
+
+        def batch_of(found: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], ["key", "v"])
+
+        for batch in batches:
+            for cut in calls(batch):
+                texts = [x for x in map(plain_words, as_bytes(cut.column("text"))) if x]
+                for group in groups_of(texts):
+                    for found, value in pairs_of(reader.passages_of(texts[group])[1], size):
+                        keys.append(found)
+                        values.append(value)
+                        held += len(found)
+                        if held > HELD_PAIRS:
+                            one, total = summed(keys, values)
+                            keys, values, held = [one], [total], len(one)
+                            if held > HELD_PAIRS // 2:
+                                yield batch_of(one, total)
+                                keys, values, held = [], [], 0
+        if keys:
+            yield batch_of(*summed(keys, values))
+
+    loads = terms.loads().astype(np.float64)
+    sums = in_workers(docs.select("text"), run, "key long, v double").groupBy("key").agg(F.sum("v").alias("v"))
+    both = sums.select(F.expr(f"cast(key div {size} as int)").alias("i"), F.expr(f"cast(key % {size} as int)").alias("j"), "v").select(
+        F.expr("inline(if(i = j, array(struct(i, j, v)), array(struct(i, j, v), struct(j as i, i as j, v))))"))
+    weight = docs.sparkSession.sparkContext.broadcast(loads)
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j, v = (x.to_numpy() for x in batch.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v * weight.value[i] * weight.value[j])], ["i", "j", "v"])
+
+    pairs = materialise(in_workers(both.repartition(SUM_TASKS, "i").sortWithinPartitions("i", "j"), weighted,
+                                   "i int, j int, v double"), "latent-pairs")
+    return pairs, pairs.where("i = j").agg(F.sum("v")).first()[0] or 1.0
+
+
+def basis_of(pairs: DataFrame, mass: float, own_rows: list[np.ndarray], own_values: list[np.ndarray], size: int) -> np.ndarray:
     """Right singular vectors of the passage matrix by randomised subspace iteration.
 
-    ``A`` holds the passages of the sample (its columns are the items' words), below it the items' passages with the
-    mass of the whole sample. Each round is one job that returns ``A' A Q``, a few columns.
+    ``A`` holds the passages of all documents (its columns are the items' words), below it the items' passages with the
+    mass of all of them. Each round is one job that multiplies the ``pairs``, which are ``A' A``, by ``Q``, a few columns.
     """
     rank = min(size, RANK + OVERSAMPLE)
-    context = passages.sparkSession.sparkContext
-    scale = mass / max(sum(float((x * x).sum()) for x in own_values), 1e-9)
+    context = pairs.sparkSession.sparkContext
+    scale = mass / max(sum(float(np.square(np.bincount(np.unique(at, return_inverse=True)[1], x)).sum()) for at, x in zip(own_rows, own_values)), 1e-9)
     q = np.linalg.qr(np.random.default_rng(0).standard_normal((size, rank)))[0]
     for last in range(POWER_ROUNDS, -1, -1):
-        now = context.broadcast(q.astype(np.float32))
+        now = context.broadcast(q)
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            total, held = np.zeros_like(now.value), np.zeros(size, bool)
             for batch in batches:
-                if batch.num_rows:
-                    rows = [np.asarray(x.values) for x in batch.column("at")]
-                    got = product(rows, [np.asarray(x.values) for x in batch.column("x")], now.value)
-                    total = got if total is None else total + got
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["part"])
-
-        # The sample is bounded, and so is the number of tasks that return a matrix.
-        parts = in_workers(passages.coalesce(SUM_TASKS), partial, "part binary").collect()
-        b = scale * product(own_rows, own_values, q) + sum(np.frombuffer(x[0], "<f4").reshape(q.shape) for x in parts)
-        del parts
+                for k in range(0, batch.num_rows, 8 * PART):
+                    i, j, v = (x.to_numpy() for x in batch.slice(k, 8 * PART).columns)
+                    heads = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                    np.add.at(total, i[heads], np.add.reduceat(now.value[j] * v[:, None], heads, axis=0))
+                    held[i] = True
+            at = np.flatnonzero(held)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()),
+                                                  pa.array([total[at].astype("<f8").tobytes()], pa.binary())], ["at", "part"])
+
+        # A task returns the rows it holds, so that each row reaches the driver once.
+        b = scale * product(own_rows, own_values, q)
+        for at, part in in_workers(pairs, partial, "at binary, part binary").collect():
+            b[np.frombuffer(at, "<i4")] += np.frombuffer(part, "<f8").reshape(-1, rank)
         if last:
             q = np.linalg.qr(b)[0]
     small = q.T @ b
@@ -277,7 +358,7 @@ def directions_of(basis: np.ndarray, own_rows: list[np.ndarray], own_values: lis
     return np.ascontiguousarray(out / np.maximum(np.linalg.norm(out, axis=0), 1e-9), np.float32)
 
 
-def latent_spaces(sample: DataFrame, items: list[list[bytes]], terms: Terms) -> list[Latent]:
+def latent_spaces(docs: DataFrame, items: list[list[bytes]], terms: Terms) -> list[Latent]:
     """Bases for runs of at most BASIS_PASSAGES item passages, and the directions of these."""
     reader = Reader(terms)
     own_rows, own_values, owner = [], [], []
@@ -289,13 +370,12 @@ def latent_spaces(sample: DataFrame, items: list[list[bytes]], terms: Terms) ->
                 own_rows.append(rows[a:b])
                 own_values.append(weights[a:b] / np.float32(n))
                 owner.append(number)
-    passages = sparse_passages(sample, terms)
-    mass = passages.select(F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v))).first()[0] or 1.0
-    loads = terms.weights(list(terms.row_of), np.arange(len(terms.row_of)))   # in the order of the rows
+    pairs, mass = shared_passages(docs, terms)
+    loads = terms.loads()
     spaces = []
     for i in range(0, len(owner), BASIS_PASSAGES):
         part = own_rows[i : i + BASIS_PASSAGES], own_values[i : i + BASIS_PASSAGES]
-        basis = basis_of(passages, mass, *part, len(terms.row_of))
+        basis = basis_of(pairs, mass, *part, len(terms.row_of))
         spaces.append(Latent(basis * loads[:, None], directions_of(basis, *part), np.array(owner[i : i + BASIS_PASSAGES])))
     return spaces
 
@@ -369,6 +449,31 @@ def check(items: Items, number: int, words: list[bytes], places: np.ndarray) ->
 _readers: dict = {}
 
 
+def matches(items: Items, reader: Reader, anchored: np.ndarray, texts: list[tuple[int, list[bytes]]]) -> Iterator[tuple]:
+    """The rows of some texts, given with their ids; ``anchored`` says whether a row is an anchor."""
+    heads, passages = reader.passages_of([x for _, x in texts], LEAST_COSINE)
+    near: dict[tuple[int, int], dict[int, float | None]] = {}
+    _, _, places, rows, _ = passages
+    anchor = anchored[rows]
+    places, rows = places[anchor], rows[anchor]
+    owner = np.searchsorted(heads, places, side="right") - 1
+    for text in np.unique(owner).tolist():
+        own = owner == text
+        for number, start in verbatim(items, texts[text][1], places[own] - heads[text], rows[own]).items():
+            near[text, number] = {start: None}
+    for latent in items.spaces:
+        for starts, cosine in similar(passages, latent):
+            i, j = np.nonzero(cosine >= LEAST_COSINE)
+            owner = np.searchsorted(heads, starts[i], side="right") - 1
+            for text, number, place, value in zip(owner.tolist(), latent.owner[j].tolist(), (starts[i] - heads[owner]).tolist(), cosine[i, j].tolist()):
+                at = near.setdefault((text, number), {})
+                at[place] = max(at.get(place) or 0.0, value)
+    for (text, number), at in near.items():
+        doc_id, words = texts[text]
+        if best := check(items, number, words, np.array(sorted(at))):
+            yield doc_id, items.ids[number], max((x for x in at.values() if x is not None), default=None), *best
+
+
 def search(docs: DataFrame, terms: Terms, items: Items, kind: str) -> DataFrame:
     shared, token = docs.sparkSession.sparkContext.broadcast((terms, items)), uuid.uuid4().hex
 
@@ -376,24 +481,11 @@ def search(docs: DataFrame, terms: Terms, items: Items, kind: str) -> DataFrame:
         known, asked = shared.value
         if token not in _readers:
             _readers.clear()
-            _readers[token] = Reader(known)
+            _readers[token] = Reader(known), np.isin(np.arange(len(known.row_of)), list(asked.anchors))
         out = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-            words = plain_words(text)
-            if not words:
-                continue
-            passages = _readers[token].passages(words, LEAST_COSINE)
-            near: dict[int, dict[int, float | None]] = {
-                number: {start: None} for number, start in verbatim(asked, words, passages[2], passages[3]).items()}
-            for latent in asked.spaces:
-                for starts, cosine in similar(passages, latent):
-                    i, j = np.nonzero(cosine >= LEAST_COSINE)
-                    for number, place, value in zip(latent.owner[j].tolist(), starts[i].tolist(), cosine[i, j].tolist()):
-                        at = near.setdefault(number, {})
-                        at[place] = max(at.get(place) or 0.0, value)
-            for number, at in near.items():
-                if found := check(asked, number, words, np.array(sorted(at))):
-                    out.append((doc_id, asked.ids[number], max((x for x in at.values() if x is not None), default=None), *found))
+        given = [(i, x) for i, x in zip(batch.column("doc_id").to_pylist(), map(plain_words, as_bytes(batch.column("text")))) if x]
+        for group in groups_of([x for _, x in given]):
+            out += matches(asked, *_readers[token], given[group])
         columns = list(zip(*out)) or [[]] * 6
         return dict(zip(("doc_id", "item_id", "cosine", "lcs_share", "answer_share", "word_at"), columns))
 
@@ -424,9 +516,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     listed = benchmark.select("item_id", F.col("text").alias("item_text"), answer.alias("answer")).distinct()
     blocks = max(1, -(-listed.count() // ITEM_BLOCK))
     frequency, total = document_frequency(docs)
-    sample = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(BASIS_DOCS)
-    chosen = F.broadcast(sample.select(F.col("doc_id").alias("chosen")).distinct())  # bounded by BASIS_DOCS
-    sampled = materialise(docs.join(chosen, docs["doc_id"] == chosen["chosen"]).select("text"), "latent-sample")
     found = []
     for block in range(blocks):
         rows = listed.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == block).orderBy("item_id", "item_text").collect()
@@ -441,7 +530,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for part in searches(words):
             own = words[part]
             terms = Terms.of(own, frequency, total)
-            asked = Items(ids[part], own, answers[part], latent_spaces(sampled, own, terms), anchors_of(own, terms))
+            asked = Items(ids[part], own, answers[part], latent_spaces(docs, own, terms), anchors_of(own, terms))
             found.append(search(docs, terms, asked, kind))
     if not found:
         return spark.createDataFrame([], f"doc_id long, item_id {kind}, cosine double, lcs_share double, answer_share double, word_at long")

@@ -262,6 +262,81 @@ def test_the_latent_space_decides(spark, docs_of):
     assert min(own) > 0.5 and sum(x > 0.05 for x in apart) > len(apart) / 2   # plain TF-IDF gives zero for every one
 
 
+def test_the_basis_is_fitted_on_every_passage(spark, docs_of, odd_rows, monkeypatch):
+    """Sums of the products of all passages against brute force, with repeated words, rows without an id and more pairs
+    than a task holds."""
+    rng = random.Random(8)
+    texts = [(i if i % 7 else None, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice((0, 1, 15, 16, 17, 31, 32, 33, 48, 49, 200)))))
+             for i in range(400)]
+    rows = odd_rows + texts
+    items = [[b"w%d" % i for i in range(40)], [b"word", b"same", b"text"]]
+    frequency, total = latent.document_frequency(docs_of(rows))
+    terms = latent.Terms.of(items, np.minimum(frequency, 3), total)
+    size = len(terms.row_of)
+    want = np.zeros((size, size))
+    for _, text in rows:
+        words = latent.plain_words((text or "").encode())
+        weights = latent.Terms.weights(terms, words, np.array([terms.row_of.get(x, -1) for x in words], np.int64)).astype(float)
+        for start in range(0, max(1, len(words) - latent.WINDOW + latent.STRIDE), latent.STRIDE) if words else ():
+            vector, stop = np.zeros(size), min(len(words), start + latent.WINDOW)
+            for x, w in zip(words[start:stop], weights[start:stop]):
+                if x in terms.row_of:
+                    vector[terms.row_of[x]] += w
+            vector /= max(np.sqrt(np.square(weights[start:stop]).sum()), 1e-6)
+            want += np.outer(vector, vector)
+    monkeypatch.setattr(latent, "GROUP_WORDS", 500)
+    for held in (1 << 20, 100):
+        monkeypatch.setattr(latent, "HELD_PAIRS", held)
+        pairs, mass = latent.shared_passages(docs_of(rows).select("text").repartition(3), terms)
+        got = np.zeros((size, size))
+        for i, j, v in pairs.collect():
+            assert got[i, j] == 0
+            got[i, j] = v
+        assert np.allclose(got, want, rtol=1e-5) and np.isclose(mass, np.trace(want), rtol=1e-5) and mass > 1
+
+
+@pytest.fixture()
+def fitted(spark, monkeypatch, tmp_path):
+    """Numbers of documents that the basis is fitted on, and a folder with a benchmark."""
+    seen, fit = [], latent.latent_spaces
+
+    def spaces(docs, items, terms):
+        seen.append(docs.count())
+        return fit(docs, items, terms)
+
+    monkeypatch.setattr(latent, "latent_spaces", spaces)
+    spark.createDataFrame([(1, "w1 and w2 of the item")], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return seen, str(tmp_path)
+
+
+MANY = [(i if i % 5 else None, f"w{i} a text of w{i % 50}") for i in range(2500)]
+
+
+def test_no_document_is_left_out_of_the_fit(spark, docs_of, fitted):
+    """Also of more than two thousand, and without an id."""
+    contaminated(docs_of(MANY), spark.read.parquet(f"{fitted[1]}/benchmark.parquet")).count()
+    assert fitted[0] == [len(MANY)]
+
+
+def test_texts_read_together_are_read_like_single_ones():
+    rng = random.Random(6)
+    texts = [[b"w%d" % rng.randrange(90) for _ in range(n)] for n in (1, 15, 16, 17, 32, 33, 47, 48, 49, 64, 65, 300, 2)]
+    terms = latent.Terms({b"w%d" % i: i for i in range(30)}, np.ones(latent.DF_BUCKETS, np.float32), np.zeros(latent.DF_BUCKETS, bool))
+    for least in (0.0, 0.6):
+        heads, (starts, norms, places, rows, weights) = latent.Reader(terms).passages_of(texts, least)
+        passage, place = (np.searchsorted(heads, x, side="right") - 1 for x in (starts, places))
+        for i, words in enumerate(texts):
+            one = latent.Reader(terms).passages(words, least)
+            together = (starts[passage == i] - heads[i], norms[passage == i], places[place == i] - heads[i], rows[place == i], weights[place == i])
+            assert all(np.array_equal(a, b) for a, b in zip(one, together))
+            if not least:   # by the definition
+                begins = np.arange(0, max(1, len(words) - latent.WINDOW + latent.STRIDE), latent.STRIDE)
+                assert one[0].tolist() == begins.tolist()
+                assert np.allclose(one[1], [np.sqrt(len(words[b : b + latent.WINDOW])) for b in begins])
+    runs = list(latent.groups_of([[b"x"] * n for n in (40, 0, latent.GROUP_WORDS, latent.GROUP_WORDS + 1, 3, 4)]))
+    assert [(x.start, x.stop) for x in runs] == [(0, 2), (2, 3), (3, 4), (4, 6)]
+
+
 def test_item_below_the_cosine_is_found_word_for_word(spark, docs_of):
     rng = random.Random(2)
     some = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
