@@ -318,6 +318,11 @@ def test_no_document_is_left_out_of_the_fit(spark, docs_of, fitted):
     assert fitted[0] == [len(MANY)]
 
 
+def test_the_stage_fits_the_basis_on_all_its_documents(spark, docs_of, fitted):
+    corpus_pipeline.decontamination(spark, docs_of(MANY), fitted[1]).count()
+    assert fitted[0] == [len(MANY)]
+
+
 def test_texts_read_together_are_read_like_single_ones():
     rng = random.Random(6)
     texts = [[b"w%d" % rng.randrange(90) for _ in range(n)] for n in (1, 15, 16, 17, 32, 33, 47, 48, 49, 64, 65, 300, 2)]
