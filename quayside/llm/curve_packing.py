@@ -40,7 +40,8 @@ class ChunkIds:
     def __init__(self, path: str):
         tokenizer = tokenizer_at(path)
         self.encode, self.pre_tokens, merge = tokenizer.encode, PreTokens(path), tokenizer.model.tokenize
-        self.ids = Memo(lambda piece: np.array([x.id for x in merge(piece)], "<u4").tobytes(), MEMO_PIECES).__getitem__
+        stored = np.arange(tokenizer.get_vocab_size(), dtype="<u4").tobytes()
+        self.ids = Memo(lambda piece: b"".join([stored[4 * x.id : 4 * x.id + 4] for x in merge(piece)]), MEMO_PIECES).__getitem__
 
     def __call__(self, chunk: bytes) -> bytes:
         pieces = self.pre_tokens(chunk)

@@ -1,5 +1,6 @@
 """Operators on single texts: compression bands, token counts, packing."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 from quayside.llm import curve_packing
 from quayside.llm.compression_bands import BANDS, base_counts, compression_bands, within_bands
 from quayside.llm.curve_packing import hilbert_key, pack_along_curve
+from quayside.llm.pretokens import PreTokens
 from quayside.llm.token_counts import proved_whole, token_counts
 
 SMALL = "/root/testdata/sf0.001"
@@ -111,6 +113,24 @@ def test_packing_keeps_every_id(small, docs_of, odd_rows, tokenizer):
     assert pack_along_curve(docs_of([])).count() == 0
 
 
+def test_chunks_are_split_like_the_library_splits_them(tokenizer, monkeypatch):
+    """Single words with marks after them need no pattern; marks, digits, apostrophes, special tokens and other scripts do."""
+    rng, pre = random.Random(1), PreTokens(public_tokenizers.path("word_bpe_49k.json"))
+    split = lambda x: [a for a, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(x))]
+    signs = "abcXYZ'>|.,!?#*\"éİßÉ\u0301日1²ªʰ\u024f\u0250\x7f-"
+    chunks = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 7))) for _ in range(20000)]
+    assert all(pre(x.encode()) == split(x) for x in chunks)
+    assert pre(b"a<|endoftext|>.") is None and pre(b"a<b.") == split("a<b.")
+    words = ["word", "Word,", "É", "éßÉ.", "x***", 'end?!"']
+
+    def never(text):
+        raise AssertionError(text)
+
+    monkeypatch.setattr(pre, "find", never)
+    monkeypatch.setattr(pre, "split", never)
+    assert [pre(x.encode()) for x in words] == [split(x) for x in words]
+
+
 def test_hilbert_neighbours_touch():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     order = grid[np.argsort(hilbert_key(grid, 3))]
