@@ -47,6 +47,7 @@ RANK, OVERSAMPLE, POWER_ROUNDS, SUM_TASKS = 192, 16, 2, 6
 PART = 512
 # Words of texts read at once, unless one text has more; pairs of words a task holds.
 GROUP_WORDS, HELD_PAIRS = 1 << 16, 1 << 20
+MASS = -1
 # Items per block.
 ITEM_BLOCK = 512
 # Item passages of one basis and of one search.
@@ -251,15 +252,18 @@ def product(rows: list[np.ndarray], values: list[np.ndarray], q: np.ndarray) ->
 
 def pairs_of(passages: tuple[np.ndarray, ...], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``keys, values``: of every two known words of a passage, as ``smaller row * size + larger row``, one over the squared
-    norm of the passage. A word twice in a passage is a pair with itself, once for either order."""
-    starts, norms, places, rows, _ = passages
+    norm of the passage. A word twice in a passage is a pair with itself, once for either order. The values of the key MASS
+    add up to the squared normed weights of all known words."""
+    starts, norms, places, rows, weights = passages
     for i in range(0, len(starts), 8 * PART):
         first = np.searchsorted(places, starts[i : i + 8 * PART])
         held = np.searchsorted(places, starts[i : i + 8 * PART] + WINDOW) - first
         share = norms[i : i + 8 * PART] ** -2.0
         for n in np.unique(held[held > 0]).tolist():
             of, (a, b) = held == n, np.triu_indices(n)
-            found = rows[first[of, None] + np.arange(n)]
+            at = first[of, None] + np.arange(n)
+            found = rows[at]
+            yield np.array([MASS]), np.square(weights[at], dtype=np.float64).sum(axis=1)[None] @ share[of]
             left, right = found[:, a], found[:, b]
             value = np.where((left == right) & (a != b), 2.0, 1.0) * share[of, None]
             yield (np.minimum(left, right) * size + np.maximum(left, right)).ravel(), value.ravel()
@@ -301,18 +305,21 @@ def shared_passages(docs: DataFrame, terms: Terms) -> tuple[DataFrame, float]:
 
     loads = terms.loads().astype(np.float64)
     sums = in_workers(docs.select("text"), run, "key long, v double").groupBy("key").agg(F.sum("v").alias("v"))
-    both = sums.select(F.expr(f"cast(key div {size} as int)").alias("i"), F.expr(f"cast(key % {size} as int)").alias("j"), "v").select(
+    both = sums.select(*[F.when(F.col("key") == MASS, MASS).otherwise(F.expr(x)).cast("int").alias(name) for name, x in (
+        ("i", f"key div {size}"), ("j", f"key % {size}"))], "v").select(
         F.expr("inline(if(i = j, array(struct(i, j, v)), array(struct(i, j, v), struct(j as i, i as j, v))))"))
     weight = docs.sparkSession.sparkContext.broadcast(loads)
 
     def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i, j, v = (x.to_numpy() for x in batch.columns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v * weight.value[i] * weight.value[j])], ["i", "j", "v"])
+            v = np.where(i == MASS, v, v * weight.value[i] * weight.value[j])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v)], ["i", "j", "v"])
 
     pairs = materialise(in_workers(both.repartition(SUM_TASKS, "i").sortWithinPartitions("i", "j"), weighted,
                                    "i int, j int, v double"), "latent-pairs")
-    return pairs, pairs.where("i = j").agg(F.sum("v")).first()[0] or 1.0
+    mass = pairs.where(F.col("i") == MASS).select("v").first()
+    return pairs.where(F.col("i") != MASS), mass[0] if mass and mass[0] else 1.0
 
 
 def basis_of(pairs: DataFrame, mass: float, own_rows: list[np.ndarray], own_values: list[np.ndarray], size: int) -> np.ndarray:
@@ -323,7 +330,7 @@ def basis_of(pairs: DataFrame, mass: float, own_rows: list[np.ndarray], own_valu
     """
     rank = min(size, RANK + OVERSAMPLE)
     context = pairs.sparkSession.sparkContext
-    scale = mass / max(sum(float(np.square(np.bincount(np.unique(at, return_inverse=True)[1], x)).sum()) for at, x in zip(own_rows, own_values)), 1e-9)
+    scale = mass / max(sum(float((x * x).sum()) for x in own_values), 1e-9)
     q = np.linalg.qr(np.random.default_rng(0).standard_normal((size, rank)))[0]
     for last in range(POWER_ROUNDS, -1, -1):
         now = context.broadcast(q)
