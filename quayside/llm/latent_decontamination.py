@@ -17,6 +17,9 @@ document is searched. The fit needs of the documents only how often two words of
 reads the texts for it, and what it keeps is bounded by the items' words. The benchmark is the stated query set: it is taken in blocks of ITEM_BLOCK items and searched for
 SEARCH_PASSAGES passages at once (a longer item alone), which bounds the vocabulary and what is broadcast.
 
+Texts are read in groups: the words of a group are places in its bytes and hashes in arrays, without an object for each. Only
+words in the buckets of the items' words are looked up, and only texts with a candidate are split into words.
+
 Cases: null and empty texts and items have no passages and match nothing; a text shorter than a passage is one
 passage; repeated documents, items and null ids are all compared and reported per row pair once; an empty table gives
 no rows; further columns are ignored; without an ``answer`` column the last sentence of an item is its answer.
@@ -26,10 +29,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sized
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import Memo, as_bytes, calls, in_workers, map_texts
+from quayside.llm.common import as_bytes, calls, in_workers, map_texts
 from quayside.storage import materialise
 
 WINDOW, STRIDE = 32, 16   # words; a passage is two strides
@@ -45,8 +47,8 @@ DF_BUCKETS = 1 << 17
 RANK, OVERSAMPLE, POWER_ROUNDS, SUM_TASKS = 192, 16, 2, 6
 # Passages handled at once.
 PART = 512
-# Words of texts read at once, unless one text has more; pairs of words a task holds.
-GROUP_WORDS, HELD_PAIRS = 1 << 16, 1 << 20
+# Words of texts read at once, unless one text has more, and the bytes counted for a word; pairs of words a task holds.
+GROUP_WORDS, WORD_BYTES, HELD_PAIRS = 1 << 16, 8, 1 << 20
 MASS = -1
 # Items per block.
 ITEM_BLOCK = 512
@@ -56,7 +58,6 @@ LEAST_COSINE = 0.15
 # Words of a larger share of the documents have no weight; an item keeps at least so many terms.
 MOST_DOCS, ITEM_TERMS = 0.02, 8
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER_SHARE = 0.80, 0.50, 0.60
-MEMO_WORDS = 400_000
 # Lower-case A-Z, every other ASCII sign is a gap.
 _PLAIN = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
 _SENTENCE = re.compile(rb"[.!?\n]+")
@@ -67,22 +68,89 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
+SEED = 11
+# The factors of XXH64, and the longest word that is hashed together with others: longer ones are read in four lanes.
+_A, _B, _C, _D, _E = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579,
+                                           2870177450012600261))
+MOST_LETTERS = 31
+
+
 def bucket(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 11) % DF_BUCKETS
+    return xxhash.xxh64_intdigest(word, SEED) % DF_BUCKETS
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def hashes_of(letters: np.ndarray) -> np.ndarray:
+    """XXH64 of words of one length, at most MOST_LETTERS; a row of ``letters`` holds the bytes of a word."""
+    number, size = letters.shape
+    out = np.full(number, np.uint64(SEED + size) + _E)
+    for place in range(0, size - 7, 8):
+        lane = np.ascontiguousarray(letters[:, place : place + 8]).view("<u8")[:, 0]
+        out = _turned(out ^ _turned(lane * _B, 31) * _A, 27) * _A + _D
+    place = size // 8 * 8
+    if size - place >= 4:
+        lane = np.ascontiguousarray(letters[:, place : place + 4]).view("<u4")[:, 0].astype(np.uint64)
+        out = _turned(out ^ lane * _A, 23) * _B + _C
+        place += 4
+    for place in range(place, size):
+        out = _turned(out ^ letters[:, place].astype(np.uint64) * _E, 11) * _A
+    out = (out ^ out >> np.uint64(33)) * _B
+    out = (out ^ out >> np.uint64(29)) * _C
+    return out ^ out >> np.uint64(32)
+
+
+class Words:
+    """Plain words of some texts, in order, without an object for each: where they begin and end in ``plain``, how many each
+    text has (``sizes``), and their hashes, whose rest by DF_BUCKETS is the bucket."""
+
+    def __init__(self, texts: list[bytes]):
+        self.plain = b" ".join([b"", *texts, b""]).translate(_PLAIN) if texts else b""
+        data = np.frombuffer(self.plain, np.uint8)
+        solid = data != 32
+        edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        self.starts, self.ends = edges[::2], edges[1::2]
+        behind = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        self.sizes = np.diff(np.searchsorted(self.starts, behind), prepend=0)
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        lengths = np.minimum(self.ends - self.starts, MOST_LETTERS + 1).astype(np.uint8)
+        order = np.argsort(lengths, kind="stable")
+        cuts = np.cumsum(np.bincount(lengths, minlength=MOST_LETTERS + 2))
+        for n in range(1, MOST_LETTERS + 1):
+            if len(of := order[cuts[n - 1] : cuts[n]]):
+                self.hashes[of] = hashes_of(np.lib.stride_tricks.sliding_window_view(data, n)[self.starts[of]])
+        for i in order[cuts[MOST_LETTERS] :].tolist():
+            self.hashes[i] = xxhash.xxh64_intdigest(self.word(i), SEED)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def word(self, number: int) -> bytes:
+        return self.plain[self.starts[number] : self.ends[number]]
+
+    def buckets(self) -> np.ndarray:
+        return (self.hashes & np.uint64(DF_BUCKETS - 1)).astype(np.int64)
+
+    def distinct(self) -> np.ndarray:
+        """Bucket of each word of each text once. Text and word make one number of 64 bits, whose lowest are the bucket: of
+        65,536 words read at once two different ones make the same number once in some billion groups."""
+        text = np.repeat(np.arange(len(self.sizes), dtype=np.uint64), self.sizes)
+        keys = np.sort(self.hashes + text * _A * np.uint64(DF_BUCKETS))
+        return (keys[np.diff(keys, prepend=~keys[:1]) != 0] & np.uint64(DF_BUCKETS - 1)).astype(np.int64)
 
 
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold a word, summed over the words of a bucket, and documents in all; the buckets bound what reaches
     the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, memo = np.zeros(DF_BUCKETS + 1, np.int64), 0, Memo(bucket, MEMO_WORDS)
+        counts, seen = np.zeros(DF_BUCKETS + 1, np.int64), 0
         for batch in batches:
             for cut in calls(batch):
-                held: Counter = Counter()   # words of one cut, so its size is bounded
-                for text in as_bytes(cut.column("text")):
-                    held.update(set(plain_words(text)))
-                    seen += 1
-                np.add.at(counts, [memo[x] for x in held], list(held.values()))
+                for texts in groups(as_bytes(cut.column("text"))):
+                    counts += np.bincount(Words(texts).distinct(), minlength=DF_BUCKETS + 1)
+                    seen += len(texts)
         counts[DF_BUCKETS] = seen
         full = np.flatnonzero(counts)
         if len(full):
@@ -123,33 +191,23 @@ class Terms:
         return Terms({x: i for i, x in enumerate(sorted(chosen))}, -np.log(share).astype(np.float32) + np.float32(1e-3), share > MOST_DOCS)
 
 
-class Places(dict):
-    """Numbers of words in the order they are first met."""
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        return place
-
-
 class Reader:
-    """Rows and weights of words, remembered per worker: one look-up gives the place of both."""
+    """Finds the rows of the items' words in texts, and the weights of all words."""
 
     def __init__(self, terms: Terms):
-        self.terms, self.seen, self.filled = terms, Places(), 0
-        self.rows, self.weights = np.empty(MEMO_WORDS, np.int64), np.empty(MEMO_WORDS, np.float32)
-
-    def at(self, words: list[bytes]) -> np.ndarray:
-        if len(self.seen) + len(words) > len(self.rows):
-            self.seen, self.filled = Places(), 0
-            if len(words) > len(self.rows):   # a text of more words than are remembered
-                self.rows, self.weights = np.empty(len(words), np.int64), np.empty(len(words), np.float32)
-        at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-        if len(self.seen) > self.filled:
-            new = list(islice(reversed(self.seen), len(self.seen) - self.filled))[::-1]
-            self.rows[self.filled : len(self.seen)] = rows = np.fromiter((self.terms.row_of.get(x, -1) for x in new), np.int64, len(new))
-            self.weights[self.filled : len(self.seen)] = self.terms.weights(new, rows)
-            self.filled = len(self.seen)
-        return at
+        self.terms, self.asked = terms, np.zeros(DF_BUCKETS, bool)
+        self.asked[list(map(bucket, terms.row_of))] = True
+        self.light = np.where(terms.common, np.float32(0), terms.idf)
+
+    def rows_and_weights(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``known, rows, weights``: numbers of the words that items know and their rows; weights of all words."""
+        at = words.buckets()
+        weights, known = self.light[at], np.flatnonzero(self.asked[at])
+        ends = zip(words.starts[known].tolist(), words.ends[known].tolist())
+        rows = np.fromiter((self.terms.row_of.get(words.plain[a:b], -1) for a, b in ends), np.int64, len(known))
+        known, rows = known[rows >= 0], rows[rows >= 0]
+        weights[known] = self.terms.idf[at[known]]
+        return known, rows, weights
 
     def passages(self, words: list[bytes], least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``starts, norms`` of the passages; ``places, rows, weights`` of the words that items know.
@@ -162,14 +220,15 @@ class Reader:
     def passages_of(self, texts: list[list[bytes]], least: float = 0.0) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         """The same of several texts, which are laid one behind the other, each filled up to whole strides and to a passage;
         before them the place where each begins."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        return self.passages_in(Words([b" ".join(x) for x in texts]), least)
+
+    def passages_in(self, words: Words, least: float = 0.0) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        sizes = words.sizes
         strides = np.maximum(-(-sizes // STRIDE), WINDOW // STRIDE)
         heads = np.cumsum(strides) - strides
-        at = self.at(texts[0] if len(texts) == 1 else list(chain.from_iterable(texts)))
-        to = np.arange(len(at)) + np.repeat(heads * STRIDE - (np.cumsum(sizes) - sizes), sizes)
-        weights = self.weights[at]
-        known = np.flatnonzero(self.rows[at] >= 0)
-        places, rows, loads = to[known], self.rows[at[known]], weights[known]
+        to = np.arange(len(words)) + np.repeat(heads * STRIDE - (np.cumsum(sizes) - sizes), sizes)
+        known, rows, weights = self.rows_and_weights(words)
+        places, loads = to[known], weights[known]
         number = int(strides.sum())
         squares = np.bincount(to // STRIDE, np.square(weights, dtype=np.float64), number)
         shares = np.bincount(places // STRIDE, np.square(loads, dtype=np.float64), number)
@@ -183,11 +242,11 @@ class Reader:
         return heads * STRIDE, (first * STRIDE, norms, places, rows, loads)
 
 
-def groups_of(texts: list[list[bytes]]) -> Iterator[slice]:
-    """Runs of texts of at most GROUP_WORDS words; a longer text is a run of its own."""
-    start, held = 0, 0
+def groups_of(texts: list[Sized], most: int | None = None) -> Iterator[slice]:
+    """Runs of texts of at most GROUP_WORDS words (``most``: of that length); a longer text is a run of its own."""
+    start, held, most = 0, 0, GROUP_WORDS if most is None else most
     for i, words in enumerate(texts):
-        if held and held + len(words) > GROUP_WORDS:
+        if held and held + len(words) > most:
             yield slice(start, i)
             start, held = i, 0
         held += len(words)
@@ -195,6 +254,12 @@ def groups_of(texts: list[list[bytes]]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def groups(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts that are read at once."""
+    for group in groups_of(texts, WORD_BYTES * GROUP_WORDS):
+        yield texts[group]
+
+
 @dataclass
 class Latent:
     """A basis (a row per word, times its weight), and the latent directions of item passages as columns, with the item of each."""
@@ -288,9 +353,8 @@ def shared_passages(docs: DataFrame, terms: Terms) -> tuple[DataFrame, float]:
 
         for batch in batches:
             for cut in calls(batch):
-                texts = [x for x in map(plain_words, as_bytes(cut.column("text"))) if x]
-                for group in groups_of(texts):
-                    for found, value in pairs_of(reader.passages_of(texts[group])[1], size):
+                for texts in groups(as_bytes(cut.column("text"))):
+                    for found, value in pairs_of(reader.passages_in(Words(texts))[1], size):
                         keys.append(found)
                         values.append(value)
                         held += len(found)
@@ -456,9 +520,11 @@ def check(items: Items, number: int, words: list[bytes], places: np.ndarray) ->
 _readers: dict = {}
 
 
-def matches(items: Items, reader: Reader, anchored: np.ndarray, texts: list[tuple[int, list[bytes]]]) -> Iterator[tuple]:
-    """The rows of some texts, given with their ids; ``anchored`` says whether a row is an anchor."""
-    heads, passages = reader.passages_of([x for _, x in texts], LEAST_COSINE)
+def matches(items: Items, reader: Reader, anchored: np.ndarray, texts: list[bytes]) -> Iterator[tuple]:
+    """The rows of some texts, by their numbers; ``anchored`` says whether a row is an anchor. Only texts with an anchor or
+    a candidate are taken apart into words."""
+    heads, passages = reader.passages_in(Words(texts), LEAST_COSINE)
+    words_of: dict[int, list[bytes]] = {}
     near: dict[tuple[int, int], dict[int, float | None]] = {}
     _, _, places, rows, _ = passages
     anchor = anchored[rows]
@@ -466,7 +532,8 @@ def matches(items: Items, reader: Reader, anchored: np.ndarray, texts: list[tupl
     owner = np.searchsorted(heads, places, side="right") - 1
     for text in np.unique(owner).tolist():
         own = owner == text
-        for number, start in verbatim(items, texts[text][1], places[own] - heads[text], rows[own]).items():
+        words_of[text] = plain_words(texts[text])
+        for number, start in verbatim(items, words_of[text], places[own] - heads[text], rows[own]).items():
             near[text, number] = {start: None}
     for latent in items.spaces:
         for starts, cosine in similar(passages, latent):
@@ -476,9 +543,10 @@ def matches(items: Items, reader: Reader, anchored: np.ndarray, texts: list[tupl
                 at = near.setdefault((text, number), {})
                 at[place] = max(at.get(place) or 0.0, value)
     for (text, number), at in near.items():
-        doc_id, words = texts[text]
-        if best := check(items, number, words, np.array(sorted(at))):
-            yield doc_id, items.ids[number], max((x for x in at.values() if x is not None), default=None), *best
+        if text not in words_of:
+            words_of[text] = plain_words(texts[text])
+        if best := check(items, number, words_of[text], np.array(sorted(at))):
+            yield text, items.ids[number], max((x for x in at.values() if x is not None), default=None), *best
 
 
 def search(docs: DataFrame, terms: Terms, items: Items, kind: str) -> DataFrame:
@@ -490,9 +558,10 @@ def search(docs: DataFrame, terms: Terms, items: Items, kind: str) -> DataFrame:
             _readers.clear()
             _readers[token] = Reader(known), np.isin(np.arange(len(known.row_of)), list(asked.anchors))
         out = []
-        given = [(i, x) for i, x in zip(batch.column("doc_id").to_pylist(), map(plain_words, as_bytes(batch.column("text")))) if x]
-        for group in groups_of([x for _, x in given]):
-            out += matches(asked, *_readers[token], given[group])
+        ids = iter(batch.column("doc_id").to_pylist())
+        for texts in groups(as_bytes(batch.column("text"))):
+            named = list(islice(ids, len(texts)))
+            out += [(named[text], *found) for text, *found in matches(asked, *_readers[token], texts)]
         columns = list(zip(*out)) or [[]] * 6
         return dict(zip(("doc_id", "item_id", "cosine", "lcs_share", "answer_share", "word_at"), columns))
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from quayside.llm import latent_decontamination as latent
@@ -325,6 +326,35 @@ def test_the_stage_fits_the_basis_on_all_its_documents(spark, docs_of, fitted):
     assert fitted[0] == [len(MANY)]
 
 
+def test_words_are_read_without_an_object_for_each(odd_rows):
+    """Words, hashes and document frequencies of whole texts against the plain reading, with words of every length."""
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcXYZ019é\u4e2d") for _ in range(n))
+    texts = [(t or "").encode() for _, t in odd_rows] + [b"", b" .,\t", b"a", " ".join(some(n) for n in range(1, 90)).encode()]
+    texts += [" ".join(some(rng.choice((1, 1, 2, 3, 7, 8, 12, 33))) for _ in range(n)).encode() + b"." * (n % 3) for n in (1, 16, 400, 2)]
+    plain = [latent.plain_words(x) for x in texts]
+    words = latent.Words(texts)
+    assert words.sizes.tolist() == list(map(len, plain)) and len(words) == sum(map(len, plain))
+    assert [words.word(i) for i in range(len(words))] == [w for x in plain for w in x]
+    assert words.hashes.tolist() == [xxhash.xxh64_intdigest(w, latent.SEED) for x in plain for w in x]
+    assert words.buckets().tolist() == [latent.bucket(w) for x in plain for w in x]
+    assert sorted(words.distinct().tolist()) == sorted(latent.bucket(w) for x in plain for w in set(x))
+    assert len(latent.Words([])) == len(latent.Words([]).distinct()) == 0
+
+
+def test_only_texts_with_a_candidate_are_taken_apart(monkeypatch):
+    """One that holds the item's rarest word, or a passage near the item."""
+    item = [b"w%d" % i for i in range(12)]
+    terms = latent.Terms.of([item], np.zeros(latent.DF_BUCKETS, np.int64), 1000)
+    items = latent.Items(["a"], [item], [set()], [], latent.anchors_of([item], terms))
+    texts = [b"nothing of it", b"", b"Before, " + b" ".join(item) + b" after", b"words only"]
+    taken, plain = [], latent.plain_words
+    monkeypatch.setattr(latent, "plain_words", lambda x: taken.append(x) or plain(x))
+    anchored = np.isin(np.arange(len(terms.row_of)), list(items.anchors))
+    assert [x[:5] for x in latent.matches(items, latent.Reader(terms), anchored, texts)] == [(2, "a", None, 1.0, 1.0)]
+    assert taken == [texts[2]]
+
+
 def test_texts_read_together_are_read_like_single_ones():
     rng = random.Random(6)
     texts = [[b"w%d" % rng.randrange(90) for _ in range(n)] for n in (1, 15, 16, 17, 32, 33, 47, 48, 49, 64, 65, 300, 2)]
